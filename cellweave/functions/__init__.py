@@ -1,0 +1 @@
+"""Package."""
