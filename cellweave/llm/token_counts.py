@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from .common import add_columns, table
 
 MARK = "▁"
-#: Characters from which a text counts as huge, of a chunk, and of the first overlap.
-HUGE_CHARS, CHUNK_CHARS, OVERLAP_CHARS = 1 << 17, 1 << 16, 1 << 9
+#: Characters from which a text counts as huge; bytes of a chunk and of the first overlap.
+HUGE_CHARS, CHUNK_BYTES, OVERLAP_BYTES = 1 << 17, 1 << 16, 1 << 9
 
 COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -49,15 +49,17 @@ class Tokenizer:
     def count_all(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)] if texts else []
 
-    def starts(self, text: str, begin: int, end: int) -> np.ndarray:
-        """Offset of each token of text[begin:end]; past the text's start, ``begin`` is a blank.
+    def starts(self, raw: bytes, begin: int, end: int) -> np.ndarray:
+        """Byte offset of each token of raw[begin:end]; past the text's start, ``begin`` is a blank.
 
         That blank is written by the mark that the model itself puts before a text.
         """
-        skip = 1 if begin and self.prefix else 0
-        proto = self.model.encode(text[begin + skip : end], return_type="proto")
-        at = np.fromiter((p.begin for p in proto.pieces), np.int64, len(proto.pieces)) + begin + skip
-        if skip and len(at):
+        first = begin + 1 if begin and self.prefix else begin
+        while first < end and raw[first] & 0xC0 == 0x80:
+            first += 1
+        proto = self.model.encode(raw[first:end].decode(), return_type="proto")
+        at = np.fromiter((p.begin for p in proto.pieces), np.int64, len(proto.pieces)) + first
+        if first > begin and len(at):
             at[0] = begin
         return at
 
@@ -67,26 +69,34 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _stable(text: str, at: np.ndarray, after: int) -> set[int]:
+def _stable(raw: bytes, at: np.ndarray, after: int) -> set[int]:
     """Token starts behind ``after`` that are a blank right after another character."""
-    return {x for x in at.tolist() if x > after and text[x] == " " and text[x - 1] not in (" ", MARK)}
+    return {x for x in at.tolist() if x > after and raw[x] == 0x20 and raw[x - 1] != 0x20 and raw[max(0, x - 3) : x] != MARK.encode()}
 
 
-def count_huge(t: Tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
-    """Tokens of one text, counted over overlapping chunks."""
+def _whole(raw: bytes, at: int) -> int:
+    """``at``, or the start of the character that it lies in."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def count_huge(t: Tokenizer, text: str, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> int:
+    """Tokens of one text, counted over overlapping chunks of its UTF-8 bytes."""
     if not (t.stable and t.plain):
         return t.count_all([text])[0]
-    n, total, begin, width = len(text), 0, 0, chunk
+    raw = text.encode()
+    n, total, begin, width = len(raw), 0, 0, chunk
     while True:
-        end = min(n, begin + width)
-        here = t.starts(text, begin, end)
+        end = _whole(raw, min(n, begin + width))
+        here = t.starts(raw, begin, end)
         if end == n:
             return total + len(here)
         wide, common = overlap, set()
         while not common and wide < 2 * (end - begin):
-            lead = max(begin + 1, end - wide)
-            there = t.starts(text, lead, min(n, end + wide))
-            common = _stable(text, here, lead) & _stable(text, there, lead)
+            lead = _whole(raw, max(begin + 1, end - wide))
+            there = t.starts(raw, lead, _whole(raw, min(n, end + wide)))
+            common = _stable(raw, here, lead) & _stable(raw, there, lead)
             wide *= 2
         if not common:  # no agreement in the whole chunk
             width *= 2
@@ -96,7 +106,7 @@ def count_huge(t: Tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int =
         begin, width = splice, chunk
 
 
-def token_counts(docs: DataFrame, model_path: str, text: str = "text", huge: int = HUGE_CHARS, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, text: str = "text", huge: int = HUGE_CHARS, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``. One map, no shuffle."""
 
     def count(column: pa.Array) -> dict[str, pa.Array]:
