@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, quality_rules, token_counts
+from . import decontaminate, mixing, near_dedup, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        mixing.op2_pfair_mixing,
         near_dedup.op4_minhash_near_dedup,
         token_counts.op7_token_counts,
         decontaminate.op8_benchmark_decontamination,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_pfair_mixing": mixing.SQL,
     "op4_minhash_near_dedup": near_dedup.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op9_quality_rules": quality_rules.SQL,
