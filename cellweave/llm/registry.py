@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality_rules, token_counts
+from . import decontaminate, mixing, near_dedup, ordinal_quality, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_counts.op7_token_counts,
         decontaminate.op8_benchmark_decontamination,
         quality_rules.op9_quality_rules,
+        ordinal_quality.op10_ordinal_quality,
     )
 }
 
