@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, ordinal_quality, quality_rules, token_counts
+from . import decontaminate, mixing, near_dedup, ordinal_quality, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         mixing.op2_pfair_mixing,
+        toxicity.op3_toxicity,
         near_dedup.op4_minhash_near_dedup,
         token_counts.op7_token_counts,
         decontaminate.op8_benchmark_decontamination,
