@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_batches, table
+from .common import map_batches, recounted, table
 
 #: Words of a window; windows in one broadcast set.
 WINDOW, SET_WINDOWS = 10, 1 << 20
@@ -180,7 +180,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with benchmark passages cut out; one with nothing else left goes."""
     found = scan(docs, table(spark, sf_dir, "benchmark"))
     hit = F.aggregate(F.filter("hit_spans", lambda _, i: i % 3 == 2), F.lit(0).cast("long"), lambda a, b: a + b)
-    return remove_spans(found.filter((hit == 0) | (hit < F.col("n_words")))).select(*docs.columns)
+    cut = remove_spans(found.filter((hit == 0) | (hit < F.col("n_words")))).select(*docs.columns)
+    return recounted(cut)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
