@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,13 +51,22 @@ def recounted(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch; whole-stage neighbours stay in the JVM."""
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch between rows into parts of about ``limit`` bytes of a string or binary column."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(size, dtype=np.int64) - 1) // limit
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for a, b in zip(edge.tolist(), np.append(edge[1:], batch.num_rows).tolist()):
+        yield batch.slice(a, b - a)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str, limit: tuple[str, int] | None = None) -> DataFrame:
+    """Apply ``fn`` to every Arrow batch, or to parts of it of at most so many bytes of a column (``limit``: name, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield fn(batch)
+                yield from map(fn, [batch] if limit is None else slices(batch, batch.schema.get_field_index(limit[0]), limit[1]))
 
     return df.mapInArrow(run, schema)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, ordinal_quality, quality_rules, substring_dedup, token_counts, toxicity
+from . import decontaminate, mixing, near_dedup, ordinal_quality, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mixing.op2_pfair_mixing,
         toxicity.op3_toxicity,
         near_dedup.op4_minhash_near_dedup,
+        suffix_dedup.op5_suffix_dedup,
         substring_dedup.op6_substring_dedup,
         token_counts.op7_token_counts,
         decontaminate.op8_benchmark_decontamination,
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_pfair_mixing": mixing.SQL,
     "op4_minhash_near_dedup": near_dedup.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op9_quality_rules": quality_rules.SQL,
