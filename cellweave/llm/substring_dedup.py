@@ -41,6 +41,8 @@ from .common import map_batches, materialise, table
 from .touched import with_runs
 
 WINDOW, ROUNDS = 20, 2
+#: Bytes of text packed at once.
+PART = 6 << 20
 #: Documents sampled to find frequent symbols, and the share of windows that makes one frequent.
 SAMPLE_DOCS, FREQUENT = 4000, 1 / 1000
 #: Buckets for each shuffle partition.
@@ -267,7 +269,7 @@ def frequent_symbols(docs: DataFrame) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(np.append(s[top].view(np.int64), 0)), pa.array(np.append(c[top], 0)), pa.array(np.append(np.zeros(top.sum(), np.int64), len(symbol)))], names=["symbol", "n", "all"])
 
     drawn = docs.sample(min(1.0, SAMPLE_DOCS / n), 7).select("text")
-    counted = map_batches(drawn, count, "symbol bigint, n bigint, all bigint").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    counted = map_batches(drawn, count, "symbol bigint, n bigint, all bigint", ("text", PART)).groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
     rows = counted.orderBy(F.desc("all"), F.desc("n")).limit(int(1 / FREQUENT) + 1).toArrow()
     total = max(1, int(np.sum(rows.column("all").to_numpy())))
     n, s = rows.column("n").to_numpy(), rows.column("symbol").to_numpy()
@@ -281,7 +283,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS * parts
     shared = spark.sparkContext.broadcast(frequent_symbols(thin))
-    packed = map_batches(thin, lambda batch: pack(batch, buckets, shared.value), _PACKED)
+    packed = map_batches(thin, lambda batch: pack(batch, buckets, shared.value), _PACKED, ("text", PART))
     return materialise(packed.groupBy("bucket").applyInArrow(_settle, "id bigint, runs array<bigint>"))
 
 
