@@ -25,7 +25,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,16 +67,18 @@ def letters(data: np.ndarray) -> np.ndarray:
     return np.concatenate([_CLASS[data], np.zeros(SPAN - 1, np.int32)])
 
 
-def subsequences(c: np.ndarray) -> list[tuple[float, np.ndarray]]:
+def subsequences(c: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
     """For each pattern its weight and the (hashed) subsequence that starts at each place."""
     n = len(c) - SPAN + 1
     c = c.astype(np.uint32)
     first = c[:n] << np.uint32(18)
-    out = []
     for p in PATTERNS:
-        u = first | (c[p[0] : p[0] + n] << np.uint32(12)) | (c[p[1] : p[1] + n] << np.uint32(6)) | c[p[2] : p[2] + n]
-        out.append((LAMBDA ** (p[2] + 1), ((u * np.uint32(2654435769)) >> np.uint32(32 - BITS)).astype(np.int32)))
-    return out
+        u = first | (c[p[0] : p[0] + n] << np.uint32(12))
+        u |= c[p[1] : p[1] + n] << np.uint32(6)
+        u |= c[p[2] : p[2] + n]
+        u *= np.uint32(2654435769)
+        u >>= np.uint32(32 - BITS)
+        yield LAMBDA ** (p[2] + 1), u
 
 
 #: Of a window: the square root of the summed squares if no subsequence came twice; the same for every window.
@@ -102,11 +105,18 @@ class Kernel:
         text, start = window_starts(offsets)
         gain = np.zeros(len(data) + 1)
         if len(data):
-            each = sum(np.float32(w) * self.weights[u] for w, u in subsequences(letters(data)))
+            each = np.zeros(len(data), np.float32)
+            for w, u in subsequences(letters(data)):
+                each += np.float32(w) * self.weights[u]
             np.cumsum(each, out=gain[1:])
         end = np.minimum(start + WIDTH, offsets[text + 1])
         return text, start, (gain[end] - gain[start]) / NORM + self.bias
 
+    def all_passages(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``passages``, piece by piece: temporaries stay small."""
+        parts = [(t.astype(np.int32) + a, (s + offsets[a]).astype(np.int32), m.astype(np.float32)) for a, _, d, o in K.pieces(data, offsets) for t, s, m in [self.passages(d, o)]]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+
     def worst(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The highest margin of each text; the bias for one without bytes."""
         text, _, margin = self.passages(data, offsets)
@@ -158,13 +168,14 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Kernel:
     data, offsets = K.string_buffers(texts)
     c = letters(data)
     bad = toxic == 1
-    owner = np.repeat(np.arange(len(toxic)), np.diff(offsets))
     # a first ranking: how much more often a subsequence is in toxic texts than in clean ones
     seen = np.zeros((2, 1 << BITS), np.int64)
-    for _, u in subsequences(c)[:3]:
-        pairs = np.unique(owner.astype(np.int64) << BITS | u)
-        for k in (0, 1):
-            seen[k] += np.bincount(pairs[toxic[pairs >> BITS] == k] & ((1 << BITS) - 1), minlength=1 << BITS)
+    for a, _, d, o in K.pieces(data, offsets):
+        owner = np.repeat(np.arange(len(o) - 1, dtype=np.int64), np.diff(o)) << BITS
+        for _, u in islice(subsequences(letters(d)), 3):
+            pairs = np.unique(owner | u)
+            for k in (0, 1):
+                seen[k] += np.bincount(pairs[toxic[a + (pairs >> BITS)] == k] & ((1 << BITS) - 1), minlength=1 << BITS)
     rate = (seen + 0.5) / (3 * np.array([[np.sum(~bad)], [np.sum(bad)]]) + 1)
     odds = np.log(rate[1] / rate[0])
     odds[seen.sum(0) < 8] = 0
@@ -172,7 +183,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Kernel:
     positives: np.ndarray = np.zeros(0, np.int64)
     negatives: np.ndarray = np.zeros(0, np.int64)
     for step in range(ROUNDS):
-        text, start, margin = model.passages(data, offsets)
+        text, start, margin = model.all_passages(data, offsets)
         ends = offsets[text + 1]
         good = np.flatnonzero(bad[text])
         if not len(good):
@@ -229,7 +240,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Kernel:
         model.weights = np.zeros(1 << BITS, np.float32)
         model.weights[used] = folded
         model.bias = bias
-    margin = model.worst(data, offsets)
+    margin = np.concatenate([model.worst(d, o) for _, _, d, o in K.pieces(data, offsets)])
     # Platt's map on the texts' worst passages, with his smoothed targets
     hits, misses = bad.sum(), (~bad).sum()
     target = np.where(bad, (hits + 1) / (hits + 2), 1 / (misses + 2))
