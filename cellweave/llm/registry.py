@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, ordinal_quality, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import (
+    chat_format,
+    decontaminate,
+    mixing,
+    near_dedup,
+    ordinal_quality,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        chat_format.op1_chat_format,
         mixing.op2_pfair_mixing,
         toxicity.op3_toxicity,
         near_dedup.op4_minhash_near_dedup,
