@@ -546,8 +546,8 @@ def passage_section(spark, d):
 
 
 @query(f"""WITH {_LINES}, p AS (SELECT *, lag(depth) OVER w AS pd, lag(pos) OVER w AS pp FROM lines WINDOW w AS (PARTITION BY line ORDER BY pos)),
-q AS (SELECT line, min(CASE WHEN depth IS NULL THEN pos END) AS gap, min(CASE WHEN depth >= 40 THEN pos END) AS hp, min_by(CASE WHEN pd IS NULL THEN pos ELSE pp + coalesce((40 - pd) / nullif(depth - pd, 0), 0) * (pos - pp) END, pos) FILTER (WHERE depth >= 40) AS at FROM p GROUP BY line)
-SELECT line, round(CASE WHEN gap IS NULL OR gap >= hp THEN at END::DOUBLE, 6) AS at, CASE WHEN gap IS NOT NULL AND (hp IS NULL OR gap < hp) THEN 'stopped' WHEN hp IS NULL THEN 'not_reached' ELSE 'crossed' END AS status FROM q""")
+q AS (SELECT line, min(CASE WHEN depth IS NULL THEN pos END) AS gap, min(CASE WHEN depth >= 40 THEN pos END) AS hp, min_by(CASE WHEN pd IS NULL THEN pos ELSE pp + coalesce((40 - pd) / nullif(depth - pd, 0), 0) * (pos - pp) END, pos) FILTER (WHERE depth >= 40) AS hit_at FROM p GROUP BY line)
+SELECT line, round(CASE WHEN gap IS NULL OR gap >= hp THEN hit_at::DOUBLE END, 6) AS "at", CASE WHEN gap IS NOT NULL AND (hp IS NULL OR gap < hp) THEN 'stopped' WHEN hp IS NULL THEN 'not_reached' ELSE 'crossed' END AS status FROM q""")
 def first_threshold_crossing(spark, d):
     return rounded(sequence.first_crossing(_lines(spark, d), "line", "pos", "depth", 40.0))
 
