@@ -3,8 +3,8 @@
 Every 50-byte string is assigned to one of its own 12-byte grams (that of
 least fingerprint), so equal strings meet in the gram's bucket; neighbouring
 strings of one gram travel together as a segment. In a bucket, equal segments
-collapse, and the distinct segments of grams that several documents share are
-cut into shards. Each shard gets its suffix array and Burrows-Wheeler
+collapse; distinct segments of a gram that agree for 19 more bytes on one side of it
+(two that share a string must) are cut into shards. Each shard gets its suffix array and Burrows-Wheeler
 transform on its own. The transforms are then merged without sorting suffixes again: an
 interleave of the shards is refined one symbol a pass (each pass deals the
 current order out by the symbol that precedes, stably), and the places where
@@ -47,16 +47,18 @@ SAMPLE_DOCS, FREQUENT = 4000, 1 / 2000
 #: Bytes of a shard at least, and shards of a merge at most.
 SHARD, MAX_SHARDS = 1 << 15, 200
 
-_HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("count", "<i4")])
+_HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("count", "u1"), ("offset", "u1"), ("several", "?")])
+#: Bytes beside the gram that two segments must share on one side at least to share a string.
+BESIDE = (LENGTH - GRAM) // 2
 _LAST = np.uint64(1 << 63)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, strings, gram) of each run of strings that share their chosen gram."""
+def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first byte, strings, gram, its place in the segment, whether it comes there again) of each run of strings that share their chosen gram."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none.astype(np.uint8), none.astype(bool)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(K._letters(0)[data] * K.powers(0, n), out=total[1:])
     grams = K.mix((total[GRAM:] - total[:-GRAM]) * K.powers(0, n - GRAM + 1, True)) >> np.uint64(1)
@@ -75,13 +77,19 @@ def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tup
     valid[offsets[long + 1] - LENGTH + 1] -= 1
     at = np.flatnonzero(np.cumsum(valid[:-1]))
     if not len(at):
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none.astype(np.uint8), none.astype(bool)
     g = least[at]
     new = np.append(True, (at[1:] != at[:-1] + 1) | (g[1:] != g[:-1]))
     lead = np.flatnonzero(new)
     within = np.arange(len(at)) - np.repeat(lead, np.diff(np.append(lead, len(at))))
     lead = np.flatnonzero(within % SEGMENT == 0)
-    return at[lead], np.diff(np.append(lead, len(at))), g[lead]
+    start, count, gram = at[lead], np.diff(np.append(lead, len(at))), g[lead]
+    place, times = np.zeros(len(start), np.uint8), np.zeros(len(start), np.uint8)
+    for k in range(span + SEGMENT - 2, -1, -1):
+        hit = (grams[np.minimum(start + k, len(grams) - 1)] == gram) & (k < count + span - 1)
+        place[hit] = k
+        times += hit
+    return start, count, gram, place, times > 1
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -104,30 +112,45 @@ def _same_later(gram: np.ndarray, prints: np.ndarray, doc: np.ndarray) -> np.nda
     return out
 
 
+def _squeezed(head: np.ndarray) -> bytes:
+    """Heads by column, compressed; the gram is in the segment's bytes and stays out."""
+    columns = [np.diff(head["doc"], prepend=0).tobytes(), head["pos"].tobytes(), head["count"].tobytes(), head["offset"].tobytes(), head["several"].tobytes()]
+    return len(head).to_bytes(4, "little") + pa.compress(b"".join(columns), "zstd", asbytes=True)
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    """Heads as they were, but for the gram."""
+    n = int.from_bytes(raw[:4], "little")
+    data = pa.decompress(raw[4:], n * 15, "zstd", asbytes=True)
+    head = np.zeros(n, _HEAD)
+    head["doc"] = np.cumsum(np.frombuffer(data, np.int64, n))
+    head["pos"] = np.frombuffer(data, np.int32, n, 8 * n)
+    for k, c in enumerate(("count", "offset", "several")):
+        head[c] = np.frombuffer(data, np.uint8, n, (12 + k) * n)
+    return head
+
+
 def pack(batch: pa.RecordBatch, buckets: int, frequent: np.ndarray) -> pa.RecordBatch:
     """One row a bucket: heads and compressed bytes of its segments; negative buckets hold what is settled within the batch."""
     ids = batch.column(0)
     doc_of = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     data, offsets = K.string_buffers(batch.column(1))
-    starts, counts, grams, prints = [], [], [], []
+    parts = []
     for a, _, d, o in K.pieces(data, offsets):
-        s, c, g = segments(d, o, frequent)
-        starts.append(s + offsets[a])
-        counts.append(c)
-        grams.append(g)
-        prints.append(K.runs_hash(K._letters(1)[d], s, s + c + LENGTH - 1, 1))
-    start, count, gram, prints_ = (np.concatenate(x) for x in (starts, counts, grams, prints))
+        s, c, g, p, m = segments(d, o, frequent)
+        parts.append((s + offsets[a], c, g, p, m, K.runs_hash(K._letters(1)[d], s, s + c + LENGTH - 1, 1)))
+    start, count, gram, place, several, prints_ = (np.concatenate(x) for x in zip(*parts))
     row = np.searchsorted(offsets, start, "right") - 1
     keep = known[row]
     start, count, gram, prints_, row = start[keep], count[keep], gram[keep], prints_[keep], row[keep]
     head = np.zeros(len(start), _HEAD)
-    head["gram"], head["doc"], head["pos"], head["count"] = gram, doc_of[row], start - offsets[row], count
+    head["gram"], head["doc"], head["pos"], head["count"], head["offset"], head["several"] = gram, doc_of[row], start - offsets[row], count, place[keep], several[keep]
     late = _same_later(gram, prints_, head["doc"])
     out = []
     if late.any():
         settled = head[late]
-        out.append((-1 - int(settled["doc"][0] % buckets), settled.tobytes(), b"", 0))
+        out.append((-1 - int(settled["doc"][0] % buckets), _squeezed(settled), b"", 0))
     head, start, count = head[~late], start[~late], count[~late]
     bucket = ((head["gram"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -135,7 +158,7 @@ def pack(batch: pa.RecordBatch, buckets: int, frequent: np.ndarray) -> pa.Record
     for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist()):
         rows = order[a:b]
         raw = _gather(data, start[rows], count[rows] + LENGTH - 1)
-        out.append((int(bucket[rows[0]]), head[rows].tobytes(), pa.compress(raw.tobytes(), "zstd", asbytes=True), len(raw)))
+        out.append((int(bucket[rows[0]]), _squeezed(head[rows]), pa.compress(raw.tobytes(), "zstd", asbytes=True), len(raw)))
     b, h, r, n = zip(*out) if out else ((), (), (), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(h, pa.binary()), pa.array(r, pa.binary()), pa.array(n, pa.int64())], names=["bucket", "heads", "raw", "size"])
 
@@ -235,39 +258,58 @@ def _owners(raw: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.ndarray
     return out
 
 
+def _shared(value: np.ndarray, group: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Which rows have another row of the same value in their group."""
+    out = np.zeros(len(value), bool)
+    rows = np.flatnonzero(there)
+    order = rows[np.lexsort((value[rows], group[rows]))]
+    same = (value[order][1:] == value[order][:-1]) & (group[order][1:] == group[order][:-1])
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def settle(head: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, first byte, strings) of the runs of strings that a smaller document holds too."""
+    none = np.zeros(0, np.int64)
     size = head["count"].astype(np.int64) + LENGTH - 1
     at = np.cumsum(size) - size
-    order = np.lexsort((head["doc"], head["gram"]))
-    g, d = head["gram"][order], head["doc"][order]
-    new = np.append(True, g[1:] != g[:-1]) if len(g) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    lead = np.flatnonzero(new)
+    letters = K._letters(0)[raw]
+    gram = K.runs_hash(letters, at + head["offset"], at + head["offset"] + GRAM, 0)
+    order = np.lexsort((head["doc"], gram))
+    g, d = gram[order], head["doc"][order]
+    lead = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else none
     last = np.append(lead[1:], len(g)) - 1
-    shared = (d[lead] != d[last])[group] if len(g) else new
-    rows = order[shared]  # only grams of several documents
+    rows = order[np.repeat(d[lead] != d[last], last - lead + 1)]  # only grams of several documents
     if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (K.runs_hash(K._letters(k)[raw], at[rows], at[rows] + size[rows], k) for k in (0, 1))
-    by = np.lexsort((head["doc"][rows], b, a, head["gram"][rows]))
+        return none, none, none
+    a, b = K.runs_hash(letters, at[rows], at[rows] + size[rows], 0), K.runs_hash(K._letters(1)[raw], at[rows], at[rows] + size[rows], 1)
+    by = np.lexsort((head["doc"][rows], b, a, gram[rows]))
     rows, a, b = rows[by], a[by], b[by]
-    gram = head["gram"][rows]
-    new = np.append(True, (gram[1:] != gram[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    content = np.cumsum(new) - 1
-    one = rows[new]  # of each content, the row of the smallest document
+    new = np.append(True, (gram[rows][1:] != gram[rows][:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    content, lead = np.cumsum(new) - 1, np.flatnonzero(new)
+    one = rows[lead]  # of each content, the row of the smallest document
     owner = head["doc"][one]
-    count = head["count"][one].astype(np.int64)
+    several_docs = head["doc"][rows[np.append(lead[1:], len(rows)) - 1]] != owner
+    # a string that two contents share reaches BESIDE bytes beyond the gram on one side at least
+    o, og = head["offset"][one].astype(np.int64), gram[one]
+    group = np.cumsum(np.append(True, og[1:] != og[:-1])) - 1
+    left, right = o >= BESIDE, o + GRAM + BESIDE <= size[one]
+    left_print = K.runs_hash(letters, at[one] + np.where(left, o - BESIDE, 0), at[one] + o + GRAM, 0)
+    right_print = K.runs_hash(letters, at[one] + o, at[one] + np.where(right, o + GRAM + BESIDE, size[one]), 0)
+    free = np.bincount(group, head["several"][one]) > 0  # the gram comes twice in a segment: no place to compare at
+    match = (_shared(left_print, group, left) | _shared(right_print, group, right) | free[group]) & (np.bincount(group)[group] > 1)
+    live = match | several_docs
+    rows, content = rows[live[content]], content[live[content]]
+    if not len(rows):
+        return none, none, none
+    count = np.where(live, head["count"][one].astype(np.int64), 0)
     first = np.cumsum(count) - count
     owners = np.repeat(owner, count)
-    og = head["gram"][one]
-    several = np.zeros(len(one), bool)
-    several[1:] |= og[1:] == og[:-1]
-    several[:-1] |= og[1:] == og[:-1]
-    pick = np.flatnonzero(several)
+    pick = np.flatnonzero(match)
     if len(pick):
-        found = _owners(raw, at[one[pick]], size[one[pick]], owner[pick])
-        owners[np.repeat(first[pick] - (np.cumsum(count[pick]) - count[pick]), count[pick]) + np.arange(int(count[pick].sum()))] = found
+        k = count[pick]
+        owners[np.repeat(first[pick] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))] = _owners(raw, at[one[pick]], size[one[pick]], owner[pick])
     # each row against its content's strings
     k = head["count"][rows].astype(np.int64)
     begin = np.cumsum(k) - k
@@ -278,12 +320,12 @@ def settle(head: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     doc, pos = doc[late], pos[late]
     by = np.lexsort((pos, doc))
     doc, pos = doc[by], pos[by]
-    cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1))) if len(doc) else none
     return doc[cut], pos[cut], np.diff(np.append(cut, len(doc)))
 
 
 def _settle(group: pa.Table) -> pa.Table:
-    head = np.frombuffer(b"".join(group.column("heads").to_pylist()), _HEAD)
+    head = np.concatenate([_spread(x) for x in group.column("heads").to_pylist()])
     if group.column("bucket")[0].as_py() < 0:
         doc, pos, count = head["doc"], head["pos"].astype(np.int64), head["count"].astype(np.int64)
         order = np.lexsort((pos, doc))
