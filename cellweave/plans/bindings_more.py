@@ -76,7 +76,7 @@ def polygonised_pixel_runs(spark, d):
 # --- ids, text, maps ----------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT c_custkey, ((576460752303423488 | (9::BIGINT << 52)) | ((c_custkey % 120) << 45)) | ((c_custkey * 2654435761) % 134217728) << 18 | 262143 AS cell FROM customer)
+@query("""WITH c AS (SELECT c_custkey, 576460752303423488 + 9 * 4503599627370496 + (c_custkey % 120) * 35184372088832 + ((c_custkey * 2654435761) % 134217728) * 262144 + 262143 AS cell FROM customer)
 SELECT c_custkey, lower(to_hex(cell)) AS id, ((cell >> 52) & 15)::INT AS res, lower(to_hex((cell & ~(15::BIGINT << 52)) | (5::BIGINT << 52) | ((1::BIGINT << 30) - 1))) AS parent FROM c""")
 def cell_id_parents(spark, d):
     k = F.col("c_custkey")
@@ -181,7 +181,7 @@ def combined_estimates_maximum(spark, d):
     return s.groupBy("cell").agg(F.max(F.struct("t", "o_orderstatus")).alias("m")).select("cell", F.col("m.o_orderstatus").alias("best"), F.col("m.t").alias("amount"))
 
 
-@query(f"""WITH {CELLS}, c AS (SELECT cell, parent, value / nullif(weight, 0) AS ratio, least(1, greatest(0, value / 100)) AS share FROM cells) SELECT cell, round(ratio, 6) AS ratio, round(share, 6) AS share, CASE WHEN share IS NULL THEN NULL ELSE 1 - share END IS NOT NULL AS known FROM c""")
+@query(f"""WITH {CELLS}, c AS (SELECT cell, parent, value / nullif(weight, 0) AS ratio, least(1, greatest(0, value / 100)) AS share, value IS NOT NULL AS known FROM cells) SELECT cell, round(ratio, 6) AS ratio, round(CASE WHEN known THEN share END, 6) AS share, known FROM c""")
 def safe_divide_and_clip(spark, d):
     v, w = F.col("value"), F.col("weight")
     c = cells(spark, d).select("cell", (v / F.nullif(w, F.lit(0.0))).alias("ratio"), F.when(v.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), v / 100))).alias("share"))
@@ -208,13 +208,13 @@ def constriction_index(spark, d):
 
 
 @query(f"""WITH {_hops(2)}, {VALUES}, w AS (SELECT hood.src, v.z, f.z AS fz, (dst % 10 - hood.src % 10)::DOUBLE AS x, (dst // 10 - hood.src // 10)::DOUBLE AS y FROM hood JOIN vals v ON v.node = dst JOIN vals f ON f.node = hood.src WHERE hops > 0),
-s AS (SELECT src, ((CASE WHEN degrees(atan2(x, y)) < 0 THEN degrees(atan2(x, y)) + 360 ELSE degrees(atan2(x, y)) END) // 30)::INT % 12 AS sec, max(degrees(atan((z - fz) / sqrt(x * x + y * y)))) AS up, max(-degrees(atan((z - fz) / sqrt(x * x + y * y)))) AS down FROM w GROUP BY 1, 2)
+s AS (SELECT src, floor(round(CASE WHEN degrees(atan2(x, y)) < 0 THEN degrees(atan2(x, y)) + 360 ELSE degrees(atan2(x, y)) END, 6) / 30)::INT % 12 AS sec, max(degrees(atan((z - fz) / sqrt(x * x + y * y)))) AS up, max(-degrees(atan((z - fz) / sqrt(x * x + y * y)))) AS down FROM w GROUP BY 1, 2)
 SELECT src AS node, round(90 - avg(up), 6) AS positive, round(90 - avg(down), 6) AS negative, count(*) AS sectors FROM s GROUP BY src""")
 def sectoral_openness(spark, d):
     w = focal.windows(graph.neighbourhoods(nodes(spark, d), lattice(spark, d), 2), values(spark, d), 2)
     x, y = (F.col("dst") % 10 - F.col("src") % 10).cast("double"), F.expr("cast(dst div 10 - src div 10 as double)")
     turn = F.degrees(F.atan2(x, y))
-    sector = F.floor(F.when(turn < 0, turn + 360).otherwise(turn) / 30) % 12
+    sector = F.floor(F.round(F.when(turn < 0, turn + 360).otherwise(turn), 6) / 30) % 12
     rise = F.degrees(F.atan((F.col("z") - F.col("focal")) / F.sqrt(x * x + y * y)))
     s = w.groupBy("src", sector.alias("sec")).agg(F.max(rise).alias("up"), F.max(-rise).alias("down"))
     return rounded(s.groupBy(F.col("src").alias("node")).agg((90 - F.avg("up")).alias("positive"), (90 - F.avg("down")).alias("negative"), F.count(F.lit(1)).alias("sectors")))
