@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster shares.
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import add_columns, table
+from .common import add_columns, fresh, table
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -133,9 +133,10 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", rul
     docs = docs.drop(*(x for x in added if x not in (text, host)))
     counted = add_columns(docs, text, base_counts, BASE)
     hosts = host_rates(add_columns(docs.select(*{text, host}), text, base_counts, BASE, drop=() if text == host else (text,)), host, rules)
-    hosts = hosts.withColumnRenamed("host", "__cw_host")
+    key = fresh("__cw_host", counted.columns)
+    hosts = hosts.withColumnRenamed("host", key)
     base, soft = _failures(rules)
-    judged = counted.join(hosts, F.col(host).eqNullSafe(F.col("__cw_host")), "left").drop("__cw_host")
+    judged = counted.join(hosts, F.col(host).eqNullSafe(F.col(key)), "left").drop(key)
     rejected = base | (F.col("host_rate") >= rules.host_condemned) | (soft & (F.col("host_rate") >= rules.host_suspect))
     return judged.withColumns({"base_failed": base, "soft_failed": soft, "kept": ~rejected})
 

@@ -381,12 +381,12 @@ def _mask(n: int, runs: list[int] | None) -> np.ndarray:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; characters that lose only some of their bytes go whole."""
-    marked = with_runs(docs, doc_id, repeated_runs(docs, doc_id, text))
+    marked, name = with_runs(docs, doc_id, repeated_runs(docs, doc_id, text))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index(text)
-        runs = batch.column(batch.schema.get_field_index("__cw_runs")).to_pylist()
-        batch = batch.select([x for x in batch.schema.names if x != "__cw_runs"])
+        runs = batch.column(batch.schema.get_field_index(name)).to_pylist()
+        batch = batch.select([x for x in batch.schema.names if x != name])
         texts = batch.column(at).to_pylist()
         for i, r in enumerate(runs):
             if r and texts[i]:
@@ -400,7 +400,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = with_runs(thin, "doc_id", repeated_runs(thin, "doc_id", "text"))
+    marked, _ = with_runs(thin, "doc_id", repeated_runs(thin, "doc_id", "text"))
 
     def sums(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import fresh, map_batches
 
 #: Bits of the filter: 16 a wanted id, between these bounds (2 MB at most).
 BITS = (1 << 16, 1 << 24)
@@ -45,13 +45,14 @@ def split(docs: DataFrame, doc_id: str, ids: DataFrame) -> tuple[DataFrame, Data
     return tuple(map_batches(docs, partial(keep, wanted=x), docs.schema) for x in (True, False))
 
 
-def with_runs(docs: DataFrame, doc_id: str, runs: DataFrame) -> DataFrame:
-    """``docs`` with ``__cw_runs``, the runs of each id flattened; null where there are none.
+def with_runs(docs: DataFrame, doc_id: str, runs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a last column that holds the runs of each id flattened, null where there are none; and its name.
 
     ``runs`` has columns id (long) and runs (array of long); it must be cut from
     its lineage, for it is read twice.
     """
-    by_id = runs.groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("__cw_runs"))
+    key, name = fresh("__cw_id", docs.columns), fresh("__cw_runs", docs.columns)
+    by_id = runs.groupBy(F.col("id").alias(key)).agg(F.flatten(F.collect_list("runs")).alias(name))
     hit, free = split(docs, doc_id, runs.select("id").distinct())
-    joined = hit.join(by_id, hit[doc_id] == by_id["id"], "left").drop("id") if "id" not in docs.columns else hit.join(by_id.withColumnRenamed("id", "__cw_id"), F.col(doc_id) == F.col("__cw_id"), "left").drop("__cw_id")
-    return joined.select(*docs.columns, "__cw_runs").unionByName(free.withColumn("__cw_runs", F.lit(None).cast("array<bigint>")))
+    joined = hit.join(by_id, F.col(doc_id) == F.col(key), "left").select(*docs.columns, name)
+    return joined.unionByName(free.withColumn(name, F.lit(None).cast("array<bigint>"))), name
