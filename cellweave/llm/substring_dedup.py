@@ -37,16 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_batches, materialise, table
+from .common import map_batches, materialise, recounted, table
 from .touched import with_runs
 
 WINDOW, ROUNDS = 20, 2
 #: Bytes of text packed at once.
-PART = 6 << 20
+PART = 3 << 20
 #: Documents sampled to find frequent symbols, and the share of windows that makes one frequent.
 SAMPLE_DOCS, FREQUENT = 4000, 1 / 1000
 #: Buckets for each shuffle partition.
-BUCKETS = 4
+BUCKETS = 8
 
 _FAR = np.int64(1) << 40
 
@@ -297,12 +297,12 @@ def _mask(n: int, runs: list[int] | None) -> np.ndarray:
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated words, and the blanks behind them, cut out of ``text``; documents of which nothing is left go."""
-    marked = with_runs(docs, doc_id, repeated_runs(docs, doc_id, text))
+    marked, name = with_runs(docs, doc_id, repeated_runs(docs, doc_id, text))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index(text)
-        runs = batch.column(batch.schema.get_field_index("__cw_runs")).to_pylist()
-        batch = batch.select([x for x in batch.schema.names if x != "__cw_runs"])
+        runs = batch.column(batch.schema.get_field_index(name)).to_pylist()
+        batch = batch.select([x for x in batch.schema.names if x != name])
         if not any(runs):
             return batch
         texts, keep = batch.column(at).to_pylist(), np.ones(len(runs), bool)
@@ -325,7 +325,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256)."""
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = with_runs(thin, "doc_id", repeated_runs(thin, "doc_id", "text"))
+    marked, _ = with_runs(thin, "doc_id", repeated_runs(thin, "doc_id", "text"))
 
     def sums(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, gone, sha = [], [], []
@@ -343,7 +343,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without their repeated passages."""
-    return dedup(docs)
+    return recounted(dedup(docs))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
