@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import contracts, focal, graph, intervals, nearest, rollup
+from ..operators import contracts, fits, focal, graph, intervals, nearest
 from ..sources import cells as cell_ids
 from ..sources import rasters
-from . import delivery
+from . import delivery, history
 from .bindings import (
     _LINES,
     _MERGED,
@@ -379,3 +379,50 @@ def membership_filter_scan(spark, d):
     c = read(spark, d, "customer").where("c_custkey % 9 = 0").select(F.col("c_custkey").alias("user_id"))
     e = read(spark, d, "events").where(F.col("event_type").isin("click", "view") & F.col("value").between(10, 60))
     return e.join(c, "user_id", "left_semi").select("event_id", "user_id", "value")
+
+
+# --- leaves and audits --------------------------------------------------------
+
+
+@query(None)
+def quadratic_curvature(spark, d):
+    v = values(spark, d).withColumns({"x": (F.col("node") % 10).cast("double"), "y": F.expr("cast(node div 10 as double)")})
+    return rounded(fits.curvature(graph.neighbourhoods(nodes(spark, d), lattice(spark, d), 2), v, 2))
+
+
+@query(None)
+def canonical_records_with_lineage(spark, d):
+    return fits.canonical_records(points(spark, d), 150.0, ["class"])
+
+
+@query("""WITH t AS (SELECT user_id, ts::DATE AS date, sum(value) AS v FROM events GROUP BY 1, 2) SELECT user_id, date, round(v, 6) AS v FROM t WHERE date + 7 > DATE '2024-01-10' AND date < DATE '2024-01-12'""")
+def composite_history_selection(spark, d):
+    t = read(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg(F.sum("value").alias("v"))
+    return rounded(history.select_history(t, "2024-01-10", "2024-01-12", "composite", 7))
+
+
+@query("""SELECT 'days' AS area, count(DISTINCT ts::DATE) AS periods, count(*) AS rows, min(ts::DATE) AS first, max(ts::DATE) AS last, count(DISTINCT user_id) AS cells FROM events""")
+def history_coverage_report(spark, d):
+    return history.coverage({"days": read(spark, d, "events").withColumn("date", F.to_date("ts"))}, ["user_id"])
+
+
+@query("""SELECT 'orders' AS product, 'support' AS rule, count(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders) FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey WHERE o_custkey IS NULL OR c_custkey IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'orders', 'repeated_or_null_key', count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0""")
+def release_audit_faults(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("cell"), "o_totalprice")
+    return history.release_audit({"orders": o}, cells(spark, d).where("cell % 2 = 0").select("cell"), ["cell"])
+
+
+@query("""SELECT s_suppkey::VARCHAR AS record, 'supplier' AS dataset, s_acctbal AS amount, NULL::INT AS year FROM supplier UNION ALL SELECT o_orderkey::VARCHAR, 'order', o_totalprice, year(o_orderdate)::INT FROM orders""")
+def source_normalisers(spark, d):
+    schema = [("record", "string"), ("dataset", "string"), ("amount", "double"), ("year", "int")]
+    a = history.normalised(read(spark, d, "supplier"), {"record": "s_suppkey", "amount": "s_acctbal"}, {"dataset": "supplier"}, schema)
+    b = history.normalised(read(spark, d, "orders"), {"record": "o_orderkey", "amount": "o_totalprice", "year": "year(o_orderdate)"}, {"dataset": "order"}, schema)
+    return a.unionByName(b)
+
+
+@query("""WITH t AS (SELECT vec_id, embedding[1]::DOUBLE * 1000 AS a, embedding[2]::DOUBLE * 1000 AS b FROM embeddings) SELECT vec_id, round(greatest(a, b), 6) AS bounded, round(greatest(1, greatest(a, b) / greatest(abs(b), 50)), 6) AS ratio, a < b AS inconsistent FROM t""")
+def straight_line_bound(spark, d):
+    t = read(spark, d, "embeddings").select("vec_id", (F.element_at("embedding", 1).cast("double") * 1000).alias("a"), (F.element_at("embedding", 2).cast("double") * 1000).alias("b"))
+    top = F.greatest("a", "b")
+    return rounded(t.select("vec_id", top.alias("bounded"), F.greatest(F.lit(1.0), top / F.greatest(F.abs("b"), F.lit(50.0))).alias("ratio"), (F.col("a") < F.col("b")).alias("inconsistent")))
