@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,6 +59,18 @@ def recounted(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
 
 
+#: Bytes of an Arrow batch between the JVM and Python: both sides hold a few per task.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, where they are not bounded lower."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch between rows into parts of about ``limit`` bytes of a string or binary column."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -75,6 +88,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
             if batch.num_rows:
                 yield from map(fn, [batch] if limit is None else slices(batch, batch.schema.get_field_index(limit[0]), limit[1]))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

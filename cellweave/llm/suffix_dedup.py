@@ -40,8 +40,8 @@ from .touched import with_runs
 LENGTH, GRAM = 50, 12
 #: Windows of one segment at most; buckets for each shuffle partition.
 SEGMENT, BUCKETS = 40, 4
-#: Bytes of text packed at once.
-PART = 6 << 20
+#: Bytes of text packed at once, and looked at together.
+PART, CHUNK = 6 << 20, 1 << 18
 #: Documents sampled for frequent grams, and the share of segments that makes one frequent.
 SAMPLE_DOCS, FREQUENT = 4000, 1 / 2000
 #: Bytes of a shard at least, and shards of a merge at most.
@@ -53,6 +53,15 @@ BESIDE = (LENGTH - GRAM) // 2
 _LAST = np.uint64(1 << 63)
 
 
+def _rolling(best: np.ufunc, values: np.ndarray, span: int) -> np.ndarray:
+    """The least or greatest of each ``span`` neighbours, by doubling."""
+    out, width = values, 1
+    while 2 * width <= span:
+        out = best(out[:-width], out[width:])
+        width *= 2
+    return best(out[: len(out) - (span - width)], out[span - width :]) if span > width else out
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
     """(first byte, strings, gram, its place in the segment, whether it comes there again) of each run of strings that share their chosen gram."""
     n = len(data)
@@ -66,11 +75,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tup
         near = np.searchsorted(frequent, grams)
         near[near == len(frequent)] = 0
         grams = np.where(frequent[near] == grams, grams | _LAST, grams)
-    span, least, width = LENGTH - GRAM + 1, grams, 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: len(least) - (span - width)], least[span - width :]) if span > width else least
+    span = LENGTH - GRAM + 1
+    least = _rolling(np.minimum, grams, span)
     valid = np.zeros(len(least) + 1, np.int32)
     long = np.flatnonzero(np.diff(offsets) >= LENGTH)
     valid[offsets[long]] += 1
@@ -84,11 +90,21 @@ def segments(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tup
     within = np.arange(len(at)) - np.repeat(lead, np.diff(np.append(lead, len(at))))
     lead = np.flatnonzero(within % SEGMENT == 0)
     start, count, gram = at[lead], np.diff(np.append(lead, len(at))), g[lead]
-    place, times = np.zeros(len(start), np.uint8), np.zeros(len(start), np.uint8)
-    for k in range(span + SEGMENT - 2, -1, -1):
-        hit = (grams[np.minimum(start + k, len(grams) - 1)] == gram) & (k < count + span - 1)
-        place[hit] = k
-        times += hit
+    # places of grams that are the least of some string: among them, the first in each segment with its gram
+    none = np.zeros(span - 1, np.uint64)
+    chosen = np.flatnonzero(_rolling(np.maximum, np.concatenate([none, least, none]), span) == grams)
+    place, times = np.full(len(start), 255, np.uint8), np.zeros(len(start), np.uint8)
+    rows, end = np.arange(len(start)), start + count + span - 1
+    i = np.searchsorted(chosen, start)
+    while len(rows):
+        inside = i < len(chosen)
+        inside[inside] = chosen[i[inside]] < end[rows[inside]]
+        rows, i = rows[inside], i[inside]
+        hit = rows[grams[chosen[i]] == gram[rows]]
+        at = chosen[i[grams[chosen[i]] == gram[rows]]] - start[hit]
+        place[hit] = np.minimum(place[hit], at.astype(np.uint8))
+        times[hit] += 1
+        i = i + 1
     return start, count, gram, place, times > 1
 
 
@@ -137,7 +153,7 @@ def pack(batch: pa.RecordBatch, buckets: int, frequent: np.ndarray) -> pa.Record
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     data, offsets = K.string_buffers(batch.column(1))
     parts = []
-    for a, _, d, o in K.pieces(data, offsets):
+    for a, _, d, o in K.pieces(data, offsets, CHUNK):
         s, c, g, p, m = segments(d, o, frequent)
         parts.append((s + offsets[a], c, g, p, m, K.runs_hash(K._letters(1)[d], s, s + c + LENGTH - 1, 1)))
     start, count, gram, place, several, prints_ = (np.concatenate(x) for x in zip(*parts))
@@ -269,13 +285,29 @@ def _shared(value: np.ndarray, group: np.ndarray, there: np.ndarray) -> np.ndarr
     return out
 
 
+def _prints(raw: np.ndarray, at: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Columns of fingerprints of every segment: its gram, itself twice, and the gram with BESIDE bytes before and behind."""
+    out = np.empty((len(at), 5), np.uint64)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK)))
+        a, n = at[lo:hi] - at[lo], size[lo:hi]
+        data = raw[at[lo] : at[lo] + a[-1] + n[-1]]
+        o = a + offset[lo:hi]
+        left, right = np.maximum(o - BESIDE, a), np.minimum(o + GRAM + BESIDE, a + n)
+        starts, ends = np.concatenate([o, a, left, o]), np.concatenate([o + GRAM, a + n, o + GRAM, right])
+        out[lo:hi, :4] = K.runs_hash(K._letters(0)[data], starts, ends, 0).reshape(4, -1).T
+        out[lo:hi, 4] = K.runs_hash(K._letters(1)[data], a, a + n, 1)
+        lo = hi
+    return out
+
+
 def settle(head: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, first byte, strings) of the runs of strings that a smaller document holds too."""
     none = np.zeros(0, np.int64)
     size = head["count"].astype(np.int64) + LENGTH - 1
     at = np.cumsum(size) - size
-    letters = K._letters(0)[raw]
-    gram = K.runs_hash(letters, at + head["offset"], at + head["offset"] + GRAM, 0)
+    gram, whole, left_print, right_print, again = _prints(raw, at, size, head["offset"].astype(np.int64)).T
     order = np.lexsort((head["doc"], gram))
     g, d = gram[order], head["doc"][order]
     lead = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else none
@@ -283,7 +315,7 @@ def settle(head: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     rows = order[np.repeat(d[lead] != d[last], last - lead + 1)]  # only grams of several documents
     if not len(rows):
         return none, none, none
-    a, b = K.runs_hash(letters, at[rows], at[rows] + size[rows], 0), K.runs_hash(K._letters(1)[raw], at[rows], at[rows] + size[rows], 1)
+    a, b = whole[rows], again[rows]
     by = np.lexsort((head["doc"][rows], b, a, gram[rows]))
     rows, a, b = rows[by], a[by], b[by]
     new = np.append(True, (gram[rows][1:] != gram[rows][:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
@@ -295,10 +327,8 @@ def settle(head: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     o, og = head["offset"][one].astype(np.int64), gram[one]
     group = np.cumsum(np.append(True, og[1:] != og[:-1])) - 1
     left, right = o >= BESIDE, o + GRAM + BESIDE <= size[one]
-    left_print = K.runs_hash(letters, at[one] + np.where(left, o - BESIDE, 0), at[one] + o + GRAM, 0)
-    right_print = K.runs_hash(letters, at[one] + o, at[one] + np.where(right, o + GRAM + BESIDE, size[one]), 0)
     free = np.bincount(group, head["several"][one]) > 0  # the gram comes twice in a segment: no place to compare at
-    match = (_shared(left_print, group, left) | _shared(right_print, group, right) | free[group]) & (np.bincount(group)[group] > 1)
+    match = (_shared(left_print[one], group, left) | _shared(right_print[one], group, right) | free[group]) & (np.bincount(group)[group] > 1)
     live = match | several_docs
     rows, content = rows[live[content]], content[live[content]]
     if not len(rows):
@@ -347,7 +377,7 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         none = np.zeros(0, np.uint64)
-        g = np.concatenate([segments(d, o, none)[2] for _, _, d, o in K.pieces(*K.string_buffers(batch.column(0)))])
+        g = np.concatenate([segments(d, o, none)[2] for _, _, d, o in K.pieces(*K.string_buffers(batch.column(0)), CHUNK)])
         s, c = np.unique(g, return_counts=True)
         top = c > max(1, FREQUENT / 8 * len(g))
         return pa.RecordBatch.from_arrays([pa.array(np.append(s[top].view(np.int64), -1)), pa.array(np.append(c[top], 0)), pa.array(np.append(np.zeros(int(top.sum()), np.int64), len(g)))], names=["gram", "n", "all"])
