@@ -25,8 +25,9 @@ rows a partition. No group is larger than BLOCK turns or FAN tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import map_batches, materialise, table
+from .common import map_batches, materialise, small_batches, table
 
 ROLES = ("", "system", "user", "assistant")
 ALIASES = {"system": 1, "user": 2, "human": 2, "assistant": 3, "bot": 3, "gpt": 3, "model": 3}
@@ -209,14 +210,43 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     b = bounds.select(F.col("conv_id").alias("c4"), F.col("block").alias("b4"), "entry", "leave", "last")
     ready = ranked.join(b, F.col("conv_id").eqNullSafe(F.col("c4")) & (F.col("block") == F.col("b4"))).drop("c4", "b4")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        last = bool(pdf["last"].iloc[0])
-        rendered, done = render(pdf["code"].tolist(), pdf["text"].tolist(), int(pdf["entry"].iloc[0]), int(pdf["leave"].iloc[0]), last)
-        return pd.DataFrame([{"conv_id": pdf["conv_id"].iloc[0], "part": pdf["block"].iloc[0], "n_turns": len(pdf), **done, "rendered": rendered}])
-
-    longs = [T.StructField(x, T.LongType()) for x in ("part", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost")]
-    return ready.groupBy("conv_id", "block").applyInPandas(one, T.StructType([conv, *longs, T.StructField("rendered", T.StringType())]))
+    names = ["conv_id", "part", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of a partition in which each block's turns stand together, in order."""
+        key: tuple | None = None
+        roles: list[int] = []
+        texts: list[str] = []
+
+        def block_row() -> tuple:
+            conv_id, part, entry, leave, last = key
+            rendered, done = render(roles, texts, entry, leave, last)
+            return conv_id, part, len(roles), done["n_merged"], done["n_relabelled"], done["n_inserted"], done["cost"], rendered
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [kind, *[pa.int64()] * 6, pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+        kind = None
+        for b in batches:
+            kind, out = b.schema.field(0).type, []
+            for *k, role, text in zip(*(c.to_pylist() for c in b.columns)):
+                if tuple(k) != key:
+                    if key is not None:
+                        out.append(block_row())
+                    key, roles, texts = tuple(k), [], []
+                roles.append(role)
+                texts.append(text)
+            if out:
+                yield batch(out)
+        if key is not None:
+            yield batch([block_row()])
+
+    longs = [T.StructField(x, T.LongType()) for x in names[1:-1]]
+    schema = T.StructType([conv, *longs, T.StructField("rendered", T.StringType())])
+    small_batches(turns.sparkSession)
+    grouped = ready.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "rank")
+    return grouped.select("conv_id", "block", "entry", "leave", "last", "code", "text").mapInArrow(write, schema)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
