@@ -76,6 +76,11 @@ def template(shared: DataFrame) -> DataFrame:
     return slots.withColumn("nth", (F.row_number().over(W.partitionBy("idx").orderBy("slot")) - 1).cast("long"))
 
 
+def _key(source: str) -> F.Column:
+    """A source as text that is never null, so that counting, ranking and joining share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", block_docs: int = BLOCK_DOCS, exponent: float = EXPONENT, period: int = PERIOD) -> DataFrame:
     """``docs`` with ``mix_share``, ``mix_block``, ``mix_slot``, ``mix_position`` and ``mix_on_target``.
 
@@ -84,23 +89,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     added = ("mix_share", "mix_block", "mix_slot", "mix_position", "mix_on_target")
     docs = docs.drop(*(x for x in added if x not in (source, doc_id)))
     # the row travels as one value, so that no name of its columns can clash
-    hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__cw_row"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("__cw_h"), F.col(source).alias("__cw_s"))
+    hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__cw_row"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("__cw_h"), _key(source).alias("__cw_s"))
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("docs"))
     shared = shares(counts, weights, exponent, period)
     total = counts.agg(F.least(F.lit(MAX_BUCKETS), F.greatest(F.lit(1), F.ceil(F.sum("docs") / BUCKET_ROWS))).cast("long").alias("__cw_n"))
     spread = hashed.join(F.broadcast(total), F.lit(True), "inner")
     bucketed = spread.withColumn("__cw_b", F.expr("(cast(conv(substr(__cw_h, 1, 8), 16, 10) as bigint) * __cw_n) div 4294967296L"))
-    thin = docs.select(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("__cw_h"), F.col(source).alias("__cw_s")).join(F.broadcast(total), F.lit(True), "inner")
+    thin = docs.select(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("__cw_h"), _key(source).alias("__cw_s")).join(F.broadcast(total), F.lit(True), "inner")
     sizes = thin.withColumn("__cw_b", F.expr("(cast(conv(substr(__cw_h, 1, 8), 16, 10) as bigint) * __cw_n) div 4294967296L")).groupBy("__cw_s", "__cw_b").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(F.col("__cw_s").alias("__cw_s2"), F.col("__cw_b").alias("__cw_b2"), (F.sum("n").over(W.partitionBy("__cw_s").orderBy("__cw_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("__cw_before"))
     ranked = bucketed.withColumn("__cw_rn", F.row_number().over(W.partitionBy("__cw_s", "__cw_b").orderBy("__cw_h", F.col("__cw_row")[doc_id])))
-    placed = ranked.join(before, F.col("__cw_s").eqNullSafe(F.col("__cw_s2")) & (F.col("__cw_b") == F.col("__cw_b2"))).withColumn("__cw_rank", F.col("__cw_before") + F.col("__cw_rn") - 1)
+    placed = ranked.join(before, (F.col("__cw_s") == F.col("__cw_s2")) & (F.col("__cw_b") == F.col("__cw_b2"))).withColumn("__cw_rank", F.col("__cw_before") + F.col("__cw_rn") - 1)
     slots = template(shared)
     # the first block that a source lacks ends the part that is on target
     lacks = shared.withColumn("blocks", F.expr(f"(docs + {block_docs - 1}) div {block_docs}")).withColumn("nth", F.expr("blocks % share"))
     horizon = lacks.join(slots, ["idx", "nth"]).agg(F.min(F.expr("(blocks div share) * period + slot")).alias("__cw_end"))
-    sources = F.broadcast(shared.select(F.col("source").alias("__cw_s3"), F.col("idx").alias("__cw_idx"), F.col("period").alias("__cw_period"), F.col("share").alias("mix_share")))
-    timed = placed.join(sources, F.col("__cw_s").eqNullSafe(F.col("__cw_s3"))).withColumn("mix_block", F.expr(f"__cw_rank div {block_docs}")).withColumn("__cw_nth", F.expr("mix_block % mix_share"))
+    sources = F.broadcast(shared.select(_key("source").alias("__cw_s3"), F.col("idx").alias("__cw_idx"), F.col("period").alias("__cw_period"), F.col("share").alias("mix_share")))
+    timed = placed.join(sources, F.col("__cw_s") == F.col("__cw_s3")).withColumn("mix_block", F.expr(f"__cw_rank div {block_docs}")).withColumn("__cw_nth", F.expr("mix_block % mix_share"))
     tpl = F.broadcast(slots.select(F.col("idx").alias("__cw_idx2"), F.col("nth").alias("__cw_nth2"), F.col("slot").alias("__cw_slot")))
     out = timed.join(tpl, (F.col("__cw_idx") == F.col("__cw_idx2")) & (F.col("__cw_nth") == F.col("__cw_nth2"))).join(F.broadcast(horizon), F.lit(True), "inner")
     out = out.withColumn("mix_slot", F.expr("(mix_block div mix_share) * __cw_period + __cw_slot"))
