@@ -34,14 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_batches, materialise, table
+from .common import map_batches, materialise, release, table
 from .touched import with_runs
 
 LENGTH, GRAM = 50, 12
 #: Windows of one segment at most; buckets for each shuffle partition.
 SEGMENT, BUCKETS = 40, 4
 #: Bytes of text packed at once, and looked at together.
-PART, CHUNK = 6 << 20, 1 << 18
+PART, CHUNK = 8 << 20, 1 << 18
+_ZSTD = pa.Codec("zstd", compression_level=6)
 #: Documents sampled for frequent grams, and the share of segments that makes one frequent.
 SAMPLE_DOCS, FREQUENT = 4000, 1 / 2000
 #: Bytes of a shard at least, and shards of a merge at most.
@@ -131,7 +132,7 @@ def _same_later(gram: np.ndarray, prints: np.ndarray, doc: np.ndarray) -> np.nda
 def _squeezed(head: np.ndarray) -> bytes:
     """Heads by column, compressed; the gram is in the segment's bytes and stays out."""
     columns = [np.diff(head["doc"], prepend=0).tobytes(), head["pos"].tobytes(), head["count"].tobytes(), head["offset"].tobytes(), head["several"].tobytes()]
-    return len(head).to_bytes(4, "little") + pa.compress(b"".join(columns), "zstd", asbytes=True)
+    return len(head).to_bytes(4, "little") + _ZSTD.compress(b"".join(columns), asbytes=True)
 
 
 def _spread(raw: bytes) -> np.ndarray:
@@ -174,7 +175,7 @@ def pack(batch: pa.RecordBatch, buckets: int, frequent: np.ndarray) -> pa.Record
     for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist()):
         rows = order[a:b]
         raw = _gather(data, start[rows], count[rows] + LENGTH - 1)
-        out.append((int(bucket[rows[0]]), _squeezed(head[rows]), pa.compress(raw.tobytes(), "zstd", asbytes=True), len(raw)))
+        out.append((int(bucket[rows[0]]), _squeezed(head[rows]), _ZSTD.compress(raw.tobytes(), asbytes=True), len(raw)))
     b, h, r, n = zip(*out) if out else ((), (), (), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(h, pa.binary()), pa.array(r, pa.binary()), pa.array(n, pa.int64())], names=["bucket", "heads", "raw", "size"])
 
@@ -396,7 +397,10 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(frequent_grams(thin))
     packed = map_batches(thin, lambda batch: pack(batch, buckets, shared.value), "bucket int, heads binary, raw binary, size bigint", ("text", PART))
-    return materialise(packed.groupBy("bucket").applyInArrow(_settle, "id bigint, runs array<bigint>"))
+    runs = materialise(packed.groupBy("bucket").applyInArrow(_settle, "id bigint, runs array<bigint>"))
+    del packed
+    release(spark)
+    return runs
 
 
 def _mask(n: int, runs: list[int] | None) -> np.ndarray:
