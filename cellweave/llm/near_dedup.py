@@ -13,6 +13,12 @@ whose estimated similarity may reach the threshold become candidates; those
 are confirmed on full sets. Confirmed links give components; candidates that
 still join different components are confirmed in a second round.
 
+These rounds look at a bounded number of pairs and only serve to make groups
+whole cheaply. A last round leaves none out: in every region (two equal hashes in
+an order) that still holds several components, all pairs of different components
+whose estimate may reach the threshold are confirmed on full sets, blocks of
+nodes against blocks of nodes.
+
 Defined cases: null and empty texts have no shingles, are linked with nothing
 and stand for themselves; texts with fewer than five words are one shingle;
 rows that repeat a doc_id with the same text stand or fall together; a null doc_id is ignored
@@ -20,12 +26,15 @@ when a group looks for its smallest; an empty table gives an empty result.
 
 Scale: nothing is grouped by a bucket. An order is range-partitioned, so a hot
 region is spread over tasks; a border between two tasks hides neighbours in
-one order only. A node emits at most ``KEEP`` candidates per order.
+one order only. A node emits at most ``KEEP`` candidates per order. The last
+round deals a region in cells of about two times ``CELL`` nodes and sends a full
+set to as many tasks as there are blocks that it meets, never a row a pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +44,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import textkit as K
-from .common import fresh, map_batches, materialise, table
+from .common import fresh, map_batches, materialise, release, table
 from .components import components
 
 SHINGLE, HASHES, TREES, STRIDE, DEPTH = 5, 120, 24, 5, 12
@@ -45,6 +54,8 @@ SIDE, LEAST_PREFIX, KEEP = 12, 2, 4
 LONG_REGION, SAMPLED, HUBS = 24, 48, 16
 #: Agreeing four-bit hashes (of 120) below which a similarity of 0.75 is out of reach: 92 expected, less 4.5 deviations.
 LEAST_AGREE = 70
+#: The last round: nodes of a region that share a salt, nodes of a block and their shingles, columns of a product at a time.
+CELL, BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 256, 1 << 18, 4096
 
 _rng = np.random.default_rng(40961)
 _MULT = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -234,6 +245,126 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of a partition sorted by ``cell``, cut anew so that no cell is in two of them."""
+    kept: list[pa.Table] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            cell = batch.column("cell").to_numpy()
+            end = int(np.searchsorted(cell, cell[-1]))
+            here = pa.Table.from_batches([batch])
+            if not end and kept and kept[-1].column("cell")[-1].as_py() == cell[-1]:
+                kept.append(here)
+                continue
+            kept, done = [here.slice(end)], [*kept, here.slice(0, end)]
+        else:
+            done = kept
+        if done and (rows := pa.concat_tables(done)).num_rows:
+            yield rows.combine_chunks()
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y, node, lab): the ends of all pairs of a cell whose labels differ and whose estimate may reach the threshold, with the blocks of both."""
+    for rows in _whole_cells(batches):
+        n = rows.num_rows
+        cell, size, lab = (rows.column(c).to_numpy() for c in ("cell", "n_shingles", "lab"))
+        blocks, block = np.unique(rows.column("block").to_numpy(), return_inverse=True)
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(n, HASHES // 2)
+        found, held = [], 0
+        for s in range(1, n):
+            i = np.flatnonzero(cell[s:] == cell[:-s])
+            if not len(i):
+                break
+            j = i + s
+            fit = (lab[i] != lab[j]) & (100 * np.minimum(size[i], size[j]) >= 75 * np.maximum(size[i], size[j]))
+            i, j = i[fit], j[fit]
+            good = _agree(bits[i], bits[j]) >= LEAST_AGREE
+            i, j = i[good], j[good]
+            both = np.minimum(block[i], block[j]) * len(blocks) + np.maximum(block[i], block[j])
+            found += [both * n + i, both * n + j]
+            held += 2 * len(i)
+            if held > 1 << 20:
+                found = [np.unique(np.concatenate(found))]
+                held = 0
+        if not found:
+            continue
+        both, at = np.divmod(np.unique(np.concatenate(found)), n)
+        x, y = np.divmod(both, len(blocks))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks[x]), pa.array(blocks[y]), rows.column("node").take(pa.array(at)).combine_chunks(), pa.array(lab[at])], names=["x", "y", "node", "lab"])
+
+
+def crossing(nodes: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell, node, lab): nodes to be held against each other, so that every open pair of a region is together in a cell.
+
+    A pair is open if its labels differ and its estimate may reach the threshold.
+    A cell holds two blocks; nodes that candidates tie together share blocks.
+    """
+    left, right = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    tied = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    areas = components(tied).select(F.col("node").alias("label"), F.col("label").alias("area"))
+    known = nodes.drop("doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(areas, "label", "left")
+    placed = materialise(known.select("node", "hashes", "bits", "n_shingles", F.xxhash64("label").alias("lab"), F.xxhash64(F.coalesce("area", "label")).alias("area")))
+    cuts = placed.groupBy("area").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("cuts")).where("cuts > 1")
+    salt = F.xxhash64("node")
+    block = F.xxhash64("area", F.pmod(salt, F.coalesce("cuts", F.lit(1).cast("long"))))
+    slim = placed.select("node", "lab", "hashes", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    slim = slim.select("node", "lab", F.xxhash64("tree", F.expr(f"substring(hashes, tree * {2 * STRIDE} + 1, {2 * LEAST_PREFIX})")).alias("region"))
+    several = slim.groupBy("region").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).alias("salts")).where("lo <> hi").select("region", "salts")
+    dealt = slim.join(several, "region").select("node", "region", F.pmod(salt, "salts").alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("other"))
+    dealt = dealt.select("node", F.xxhash64("region", F.least("salt", "other"), F.greatest("salt", "other")).alias("cell"))
+    full = dealt.join(placed.join(F.broadcast(cuts), "area", "left").select("node", "bits", F.col("n_shingles").cast("long").alias("n_shingles"), "lab", block.alias("block")), "node")
+    ends = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(_crossing, "x long, y long, node binary, lab long")
+    return ends.select(F.xxhash64("x", "y").alias("cell"), "node", "lab").distinct()
+
+
+def _links(rows: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links of a cell between different labels, as few as tie together what its links tie together."""
+    sets = rows.column("shingles").combine_chunks()
+    values, n = sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
+    owner = np.repeat(np.arange(len(n)), n)
+    _, token, often = np.unique(values, return_inverse=True, return_counts=True)
+    shared = often[token] > 1
+    used, token = np.unique(token[shared], return_inverse=True)
+    owner = owner[shared]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    common = np.zeros((len(n), len(n)), np.int64)
+    for a in range(0, len(used), COLUMNS):
+        here = slice(*np.searchsorted(token, [a, a + COLUMNS]))
+        has = np.zeros((len(n), min(COLUMNS, len(used) - a)), np.float32)
+        has[owner[here], token[here] - a] = 1
+        common += (has @ has.T).astype(np.int64)
+    lab = rows.column("lab").to_numpy()
+    hit = (100 * common >= percent * (n[:, None] + n - common)) & (lab[:, None] != lab)
+    node, root, out = rows.column("node").to_pylist(), list(range(len(n))), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(hit, 1)))):
+        if top(i) != top(j):
+            root[top(j)] = top(i)
+            out.append((min(node[i], node[j]), max(node[i], node[j])))
+    return out
+
+
+def confirm_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different labels among the nodes of each cell, by their full sets."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_cells(batches):
+            cell = rows.column("cell").to_numpy()
+            edge = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)).tolist()
+            links = [x for a, b in zip(edge, edge[1:]) for x in _links(rows.slice(a, b - a), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return cells.join(sets, "node").repartition("cell").sortWithinPartitions("cell").mapInArrow(held, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -257,6 +388,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_pairs = pairs.join(top, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").where(~(F.col("la").eqNullSafe(F.col("lb")) & F.col("la").isNotNull())).select("a", "b")
     links = materialise(links.union(confirm(open_pairs, sets, percent)))
     labels = components(links, labels)
+    # last, every pair of a region that is still open
+    release(docs.sparkSession)
+    cells = materialise(crossing(nodes, pairs, labels))
+    unseen = materialise(cells.select("node").distinct().join(touched, "node", "left_anti"))
+    if not unseen.isEmpty():
+        wanted = nodes.join(unseen, "node", "left_semi").select(F.coalesce(ids, F.lit(0)).alias("id"))
+        sets = sets.union(full_sets(docs, wanted, doc_id, text).join(unseen, "node", "left_semi").dropDuplicates(["node"]))
+    more = materialise(confirm_cells(cells, sets, percent))
+    if not more.isEmpty():
+        labels = components(links.union(more), labels)
     grouped = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = grouped.join(least, "label").select("node", "component_id")

@@ -151,6 +151,44 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+def test_near_duplicates_inside_a_dense_region(spark):
+    """Hundreds of texts share a template at about 0.67; planted pairs of 0.75 to 0.77 among them are all found."""
+    rng = np.random.default_rng(5)
+    length, group, changes, planted = 504, 1200, 10, 60
+    template = [f"w{i}" for i in range(length)]
+    slots = np.arange(4, length - 4, 5)
+    texts = []
+    for d in range(group):
+        at = rng.choice(slots, changes, replace=False)
+        own = {int(p): f"d{d}p{p}" for p in at}
+        if d >= group - planted:  # shares three of its changes with the text so many before
+            mate = texts[d - planted]
+            taken = [int(p) for p in slots if mate[p] != template[p]][:3]
+            free = [p for p in own if p not in taken and mate[p] == template[p]][: changes - 3]
+            own = {p: mate[p] for p in taken} | {p: own[p] for p in free}
+        texts.append([own.get(i, w) for i, w in enumerate(template)])
+    order = rng.permutation(group)
+    docs = [(int(order[d]), " ".join(t)) for d, t in enumerate(texts)]
+    sets = {d: {hash(tuple(w[i : i + 5])) for w in [t.split()] for i in range(len(w) - 4)} for d, t in docs}
+    code = {x: i for i, x in enumerate(sorted(set().union(*sets.values())))}
+    has = np.zeros((group, len(code)), np.float32)
+    for d, x in sets.items():
+        has[d, [code[v] for v in x]] = 1
+    common, n = (has @ has.T).astype(int), has.sum(1).astype(int)
+    label = np.arange(group)
+    links = [(i, j) for i, j in zip(*np.nonzero(np.triu(100 * common >= 75 * (n[:, None] + n - common), 1)))]
+    for _ in range(group):
+        before = label.copy()
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if (before == label).all():
+            break
+    assert len(links) >= planted and len(set(label.tolist())) > group // 2
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    wrong = [d for d in range(group) if got[d] != label[d]]
+    assert not wrong, f"{len(wrong)} documents wrong"
+
+
 def test_near_duplicates_on_odd_inputs(odd, none):
     rows = near_dedup.near_duplicates(odd).collect()
     got = {r["doc_id"]: r for r in rows}
