@@ -163,6 +163,13 @@ def normalised_union(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("""SELECT o_custkey AS cell, o_orderkey AS record, 'orders' AS source, NULL::VARCHAR AS kind FROM orders UNION ALL SELECT l_suppkey, l_orderkey, 'items', l_returnflag FROM lineitem""")
+def whole_normalised_union(spark, d):
+    a = read(spark, d, "orders").select(F.col("o_custkey").alias("cell"), F.col("o_orderkey").alias("record"), F.lit("orders").alias("source"))
+    b = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("cell"), F.col("l_orderkey").alias("record"), F.lit("items").alias("source"), F.col("l_returnflag").alias("kind"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 @query(f"""WITH {EVIDENCE} SELECT cell, record, year, priority FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY priority, year DESC, record) AS r FROM evidence) WHERE r = 1""")
 def rank_keep_first(spark, d):
     w = W.partitionBy("cell").orderBy("priority", F.desc("year"), "record")

@@ -32,6 +32,14 @@ def test_relationships_have_a_row_and_a_status_for_every_pair(spark):
     assert len(got) == 15 and status["one", "c"] == "search_limited" and status["one", "d"] == "disconnected" and status["two", "c"] == "reachable"
 
 
+def test_whole_union_keeps_every_row_of_both_tables(spark):
+    from cellweave.plans import bindings
+
+    d = "/root/testdata/sf0.001"
+    got = dict(rows(bindings.queries()["whole_normalised_union"](spark, d).groupBy("source").count(), "source", "count"))
+    assert got == {"orders": spark.read.parquet(f"{d}/orders.parquet").count(), "items": spark.read.parquet(f"{d}/lineitem.parquet").count()}
+
+
 def test_nearest_owner_breaks_ties_by_the_smaller_owner(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "node long")
     edges = spark.createDataFrame([(0, 1, 5), (1, 2, 5), (2, 3, 10)], "src long, dst long, w long")
