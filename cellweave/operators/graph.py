@@ -55,6 +55,8 @@ def nearest_owner(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: i
         if frontier.isEmpty():
             break
         best = materialise(best.join(frontier.select("node", F.col("b").alias("c")), "node", "full").select("node", F.coalesce("c", "b").alias("b")))
+    else:
+        raise RuntimeError("nearest_owner: no fixed point")
     return nodes.select("node").join(best, "node", "left").select("node", F.col("b.dist").alias("dist"), F.col("b.owner").alias("owner"))
 
 

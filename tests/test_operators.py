@@ -40,6 +40,14 @@ def test_whole_union_keeps_every_row_of_both_tables(spark):
     assert got == {"orders": spark.read.parquet(f"{d}/orders.parquet").count(), "items": spark.read.parquet(f"{d}/lineitem.parquet").count()}
 
 
+def test_nearest_owner_raises_when_rounds_run_out(spark):
+    nodes = spark.createDataFrame([(n,) for n in range(6)], "node long")
+    edges = spark.createDataFrame([(n, n + 1, 1) for n in range(5)], "src long, dst long, w long")
+    seeds = spark.createDataFrame([(0, 7)], "node long, owner long")
+    with pytest.raises(RuntimeError):
+        graph.nearest_owner(nodes, edges, seeds, max_rounds=3)
+
+
 def test_nearest_owner_breaks_ties_by_the_smaller_owner(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "node long")
     edges = spark.createDataFrame([(0, 1, 5), (1, 2, 5), (2, 3, 10)], "src long, dst long, w long")
