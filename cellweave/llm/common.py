@@ -29,20 +29,23 @@ def fresh(name: str, columns: list[str]) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster shares.
-
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is made.
-    """
+    """Cut lineage with a reliable checkpoint in the folder the cluster shares (``shared_folder``)."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a session whose tasks all run
+    on this machine; on a cluster it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -53,10 +56,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more, instead of at some later collection."""
+def release() -> None:
+    """Forget plans that nothing refers to any more, so that Spark's cleaner can drop their shuffle files."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def recounted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -99,18 +101,32 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-def add_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Array]], added: T.StructType, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Keep every column of ``df`` (but ``drop``) and add those that ``fn`` derives from ``text``.
+def derived(df: DataFrame, fn: Callable[..., dict[str, pa.Array]], fields: T.StructType, *inputs: str) -> tuple[DataFrame, str]:
+    """``df`` with one more column, a struct of ``fields`` that ``fn`` makes from Arrow arrays of the ``inputs``; and its name.
 
-    An input column that has the name of an added one is replaced.
+    Only the inputs travel to Python and only the struct comes back; no column of
+    ``df`` is touched, whatever its name.
     """
-    gone = {*added.fieldNames(), *drop}
-    kept = [f for f in df.schema.fields if f.name not in gone]
-    schema = T.StructType(kept + list(added.fields))
-    names, new = [f.name for f in kept], added.fieldNames()
+    name = fresh("__cw_made", df.columns)
+
+    def made(*columns: pa.Array) -> pa.Array:
+        got = fn(*columns)
+        return pa.StructArray.from_arrays([got[x] for x in fields.fieldNames()], names=fields.fieldNames())
+
+    small_batches(df.sparkSession)
+    udf = F.arrow_udf(made, fields).asNondeterministic()  # once a row, wherever the result is used
+    return df.withColumn(name, udf(*(F.col(f"`{x}`") for x in inputs))), name
+
+
+def rewritten(df: DataFrame, text: str, fn: Callable[..., pa.Array], *inputs: str) -> DataFrame:
+    """``df`` with the column ``text`` as ``fn`` makes it from Arrow arrays of ``text`` and the ``inputs``."""
+    small_batches(df.sparkSession)
+    udf = F.arrow_udf(lambda *columns: fn(*columns), df.schema[text].dataType).asNondeterministic()
+    return df.withColumn(text, udf(F.col(f"`{text}`"), *(F.col(f"`{x}`") for x in inputs)))
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = fn(batch.column(batch.schema.get_field_index(text)))
-        return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)) for x in names] + [made[x] for x in new], names=names + new)
 
-    return map_batches(df, one, schema)
+def add_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.Array]], added: T.StructType) -> DataFrame:
+    """``df`` with the columns that ``fn`` derives from ``text``; input columns of these names are replaced."""
+    kept = [x for x in df.columns if x not in added.fieldNames()]
+    out, name = derived(df, fn, added, text)
+    return out.select(*(F.col(f"`{x}`") for x in kept), f"{name}.*")

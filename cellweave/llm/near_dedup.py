@@ -389,7 +389,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = materialise(links.union(confirm(open_pairs, sets, percent)))
     labels = components(links, labels)
     # last, every pair of a region that is still open
-    release(docs.sparkSession)
+    release()
     cells = materialise(crossing(nodes, pairs, labels))
     unseen = materialise(cells.select("node").distinct().join(touched, "node", "left_anti"))
     if not unseen.isEmpty():

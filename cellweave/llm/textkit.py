@@ -99,6 +99,23 @@ def pieces(data: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK_BYTES) -> I
         first = last
 
 
+def parts(data: np.ndarray, offsets: np.ndarray, chunk: int, step: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """``pieces`` that also cut a text longer than ``chunk``: (texts, bytes, offsets, own bytes of a cut text's part).
+
+    A part of a cut text starts at a multiple of ``step`` and has up to
+    ``overlap`` bytes of the next one behind its own.
+    """
+    chunk -= chunk % step
+    for a, b, d, o in pieces(data, offsets, chunk):
+        n = int(o[-1])
+        if n <= chunk:
+            yield np.arange(a, b), d, o, n
+            continue
+        for x in range(0, n, chunk):
+            end = min(n, x + chunk + overlap)
+            yield np.array([a]), d[x:end], np.array([0, end - x]), chunk
+
+
 @dataclass
 class Words:
     """Words of a run of texts, in order: byte borders, text number, fingerprints."""
