@@ -18,8 +18,11 @@ Learning takes a bounded sample of labelled rows (``PER_CLASS`` a class, whole
 texts of up to ``MAX_CHARS``), never the held-out third; ids, languages and
 sources are not inputs. Scoring is one map over all whole texts, no shuffle.
 
+A score is a function of the text alone: texts are laid out apart, sums run in
+a fixed order, and a text longer than a part is scored in overlapping parts.
+
 Defined cases: null and empty texts score as the empty passage (near 0);
-repeated rows score alike; without rows of both labels every text scores 0; an
+repeated rows score alike, whatever stands beside them; without rows of both labels every text scores 0; an
 empty table gives an empty result.
 """
 
@@ -39,13 +42,13 @@ from .common import add_columns, table
 from .labelled import held_out, sample
 
 PER_CLASS, MAX_CHARS = 1500, 20000
-WIDTH, STEP, LAMBDA, SPAN, BITS = 12, 4, 0.7, 6, 20
+WIDTH, STEP, LAMBDA, SPAN, BITS = 16, 4, 0.7, 7, 20
 #: Places of the later letters behind the first: all subsequences of four that span at most SPAN.
 PATTERNS = tuple(sorted(combinations(range(1, SPAN), 3), key=lambda x: (x[-1], x)))
 LANDMARKS, ROUNDS, PENALTY = 320, 4, 1e-4
 THRESHOLD = 0.7
 
-_CLASS = np.zeros(256, np.int32)
+_CLASS = np.zeros(256, np.uint8)
 for _b in range(256):
     _c = int(K.LOWER[_b])
     if ord("a") <= _c <= ord("z"):
@@ -62,9 +65,30 @@ for _b in range(256):
         _CLASS[_b] = 31 + (_c & 31)
 
 
-def letters(data: np.ndarray) -> np.ndarray:
-    """Letter classes 0..62, with blanks behind the end."""
-    return np.concatenate([_CLASS[data], np.zeros(SPAN - 1, np.int32)])
+class Letters:
+    """Letter classes 0..62 of a run of texts, each text alone.
+
+    Every text is laid out from a multiple of STEP and followed by blanks enough
+    that no subsequence or passage that starts in it reaches the next one.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        size = np.diff(offsets)
+        room = -(-size // STEP) * STEP + WIDTH + SPAN + (-(WIDTH + SPAN)) % STEP
+        self.first = np.cumsum(room) - room
+        self.size = size
+        place = np.arange(len(data)) + np.repeat(self.first - offsets[:-1], size)
+        self.classes = np.zeros(int(room.sum()) + SPAN - 1, np.uint8)
+        self.classes[place] = _CLASS[data]
+        self.inside = np.zeros(int(room.sum()), bool)
+        self.inside[place] = True
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place) of every passage: each STEP bytes, one at least for a text with bytes."""
+        count = -(-self.size // STEP)
+        text = np.repeat(np.arange(len(count)), count)
+        within = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        return text, self.first[text] + within * STEP
 
 
 def subsequences(c: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
@@ -81,18 +105,10 @@ def subsequences(c: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
         yield LAMBDA ** (p[2] + 1), u
 
 
-#: Of a window: the square root of the summed squares if no subsequence came twice; the same for every window.
+#: Of a passage: the square root of the summed squares if no subsequence came twice; the same for every passage.
 NORM = float(np.sqrt(WIDTH * sum(LAMBDA ** (2 * (p[2] + 1)) for p in PATTERNS)))
 
 
-def window_starts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, start) of every passage: each ``STEP`` bytes, one at least for a text with bytes."""
-    count = -(-np.diff(offsets) // STEP)
-    text = np.repeat(np.arange(len(count)), count)
-    within = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    return text, offsets[:-1][text] + within * STEP
-
-
 class Kernel:
     """Folded weights, and the map from a margin to a probability."""
 
@@ -100,41 +116,50 @@ class Kernel:
         self.weights = np.zeros(1 << BITS, np.float32)
         self.slope, self.shift, self.bias = 1.0, -20.0, 0.0
 
-    def passages(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, start, margin) of every passage."""
-        text, start = window_starts(offsets)
-        gain = np.zeros(len(data) + 1)
-        if len(data):
-            each = np.zeros(len(data), np.float32)
-            for w, u in subsequences(letters(data)):
-                each += np.float32(w) * self.weights[u]
-            np.cumsum(each, out=gain[1:])
-        end = np.minimum(start + WIDTH, offsets[text + 1])
-        return text, start, (gain[end] - gain[start]) / NORM + self.bias
+    def passages(self, c: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, margin) of every passage: sums of its own places in a fixed order, so neighbours do not matter."""
+        text, start = c.starts()
+        each = np.zeros(len(c.inside), np.float32)
+        for w, u in subsequences(c.classes):
+            each += np.float32(w) * self.weights[u]
+        each[~c.inside] = 0
+        parts = each.reshape(-1, STEP).sum(1, dtype=np.float64)
+        at = start // STEP
+        return text, start, sum(parts[at + k] for k in range(WIDTH // STEP)) / NORM + self.bias
 
     def all_passages(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``passages``, piece by piece: temporaries stay small."""
-        parts = [(t.astype(np.int32) + a, (s + offsets[a]).astype(np.int32), m.astype(np.float32)) for a, _, d, o in K.pieces(data, offsets) for t, s, m in [self.passages(d, o)]]
-        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+        """``passages`` of texts laid out together, piece by piece: temporaries stay small."""
+        found, base = [], 0
+        for a, _, d, o in K.pieces(data, offsets):
+            c = Letters(d, o)
+            t, s, m = self.passages(c)
+            found.append((t.astype(np.int32) + a, (s + base).astype(np.int32), m.astype(np.float32)))
+            base += len(c.inside)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
 
     def worst(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The highest margin of each text; the bias for one without bytes."""
-        text, _, margin = self.passages(data, offsets)
-        out = np.full(len(offsets) - 1, self.bias)
-        if len(text):
-            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-            out[text[first]] = np.maximum.reduceat(margin, first)
+        """The highest margin of each text; the bias for one without bytes. Long texts go in overlapping parts."""
+        out = np.full(len(offsets) - 1, -np.inf)
+        for text, d, o, own in K.parts(data, offsets, K.CHUNK_BYTES // 2, STEP, WIDTH + SPAN):
+            t, start, margin = self.passages(Letters(d, o))
+            if len(text) == 1:
+                t, margin = t[start < own], margin[start < own]
+            if len(t):
+                first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                at = text[t[first]]
+                out[at] = np.maximum(out[at], np.maximum.reduceat(margin, first))
+        out[np.diff(offsets) == 0] = self.bias
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(np.clip(-(self.slope * margin + self.shift), -40, 40)))
 
 
-def _features(c: np.ndarray, start: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(subsequences, weights) of passages, one row each; what starts past a passage's end has weight 0."""
+def _features(c: Letters, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(subsequences, weights) of passages, one row each; what starts past its text's end has weight 0."""
     places = start[:, None] + np.arange(WIDTH + SPAN - 1)[None, :]
-    around = c[np.minimum(places, len(c) - 1)]
-    inside = places[:, :WIDTH] < ends[:, None]
+    around = c.classes[places]
+    inside = c.inside[places[:, :WIDTH]]
     rows, width = around.shape
     cols = [(u.reshape(-1), w) for w, u in subsequences(around.reshape(-1))]  # the last places of a row reach into the next and are cut off
     found = [(np.append(u, np.zeros(rows * width - len(u), u.dtype)).reshape(rows, width)[:, :WIDTH], w) for u, w in cols]
@@ -166,14 +191,15 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Kernel:
         return model
     rng = np.random.default_rng(20011)
     data, offsets = K.string_buffers(texts)
-    c = letters(data)
+    c = Letters(data, offsets)
     bad = toxic == 1
     # a first ranking: how much more often a subsequence is in toxic texts than in clean ones
     seen = np.zeros((2, 1 << BITS), np.int64)
     for a, _, d, o in K.pieces(data, offsets):
+        mine = Letters(d, o)
         owner = np.repeat(np.arange(len(o) - 1, dtype=np.int64), np.diff(o)) << BITS
-        for _, u in islice(subsequences(letters(d)), 3):
-            pairs = np.unique(owner | u)
+        for _, u in islice(subsequences(mine.classes), 3):
+            pairs = np.unique(owner | u[mine.inside])
             for k in (0, 1):
                 seen[k] += np.bincount(pairs[toxic[a + (pairs >> BITS)] == k] & ((1 << BITS) - 1), minlength=1 << BITS)
     rate = (seen + 0.5) / (3 * np.array([[np.sum(~bad)], [np.sum(bad)]]) + 1)
@@ -184,7 +210,6 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Kernel:
     negatives: np.ndarray = np.zeros(0, np.int64)
     for step in range(ROUNDS):
         text, start, margin = model.all_passages(data, offsets)
-        ends = offsets[text + 1]
         good = np.flatnonzero(bad[text])
         if not len(good):
             return model
@@ -202,7 +227,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Kernel:
         fresh = np.concatenate([_top(text, margin, ~bad, 2), rng.choice(clean, min(2000, len(clean)), replace=False)])
         negatives = np.unique(np.concatenate([negatives, fresh]))
         marks = np.concatenate([rng.choice(positives, min(LANDMARKS * 3 // 4, len(positives)), replace=False), rng.choice(negatives, min(LANDMARKS // 4, len(negatives)), replace=False)])
-        lu, lw = _features(c, start[marks], ends[marks])
+        lu, lw = _features(c, start[marks])
         used, slot = np.unique(lu, return_inverse=True)
         slot = slot.reshape(lu.shape)
         table_ = np.zeros((len(used) + 1, len(marks)), np.float32)
@@ -212,7 +237,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Kernel:
             """Kernel values of passages against the landmarks."""
             out = np.empty((len(rows), table_.shape[1]), np.float32)  # noqa: B023
             for a in range(0, len(rows), 256):
-                u, w = _features(c, start[rows[a : a + 256]], ends[rows[a : a + 256]])  # noqa: B023
+                u, w = _features(c, start[rows[a : a + 256]])  # noqa: B023
                 at = np.searchsorted(used, u)  # noqa: B023
                 at[(at == len(used)) | (used[np.minimum(at, len(used) - 1)] != u)] = len(used)  # noqa: B023
                 out[a : a + 256] = np.einsum("nkm,nk->nm", table_[at], w, optimize=True)  # noqa: B023
@@ -240,7 +265,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Kernel:
         model.weights = np.zeros(1 << BITS, np.float32)
         model.weights[used] = folded
         model.bias = bias
-    margin = np.concatenate([model.worst(d, o) for _, _, d, o in K.pieces(data, offsets)])
+    margin = model.worst(data, offsets)
     # Platt's map on the texts' worst passages, with his smoothed targets
     hits, misses = bad.sum(), (~bad).sum()
     target = np.where(bad, (hits + 1) / (hits + 2), 1 / (misses + 2))
@@ -268,11 +293,7 @@ def score(docs: DataFrame, model: Kernel, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(column: pa.Array) -> dict[str, pa.Array]:
-        data, offsets = K.string_buffers(column)
-        out = np.zeros(len(column))
-        for a, b, d, o in K.pieces(data, offsets):
-            out[a:b] = shared.value.probability(shared.value.worst(d, o))
-        return {"score": pa.array(out)}
+        return {"score": pa.array(shared.value.probability(shared.value.worst(*K.string_buffers(column))))}
 
     return add_columns(docs, text, scores, _SCORE)
 
