@@ -1,13 +1,15 @@
 """Operator 7, token counts by overlap resynchronisation.
 
-A text of ordinary length is encoded whole by the library. A huge one is
-encoded in chunks that overlap their successor; two encodings are spliced at a
-boundary that both place in the overlap and that is proven stable: a token
-that starts with the word mark right after a character that is not one. No piece of the
-vocabulary holds a word mark behind another character (checked when the model
-is loaded), so no merge crosses such a boundary whatever stands on either side.
-Where an overlap has no such common boundary, the chunk is widened and encoded again,
-at last to the end of the text. Work on a chunk is bounded by its width, not the text's.
+Texts are encoded in chunks of ``CHUNK_BYTES`` that reach ``OVERLAP_BYTES`` into
+their successor, all chunks of a batch together; token offsets follow from the
+lengths of the pieces. Two neighbouring chunks are spliced at a boundary that
+both place in the overlap and that is proven stable: a token that starts with
+the word mark right after a character that is not one. No piece of the vocabulary
+holds a word mark behind another character (checked when the model is loaded), so no
+merge crosses such a boundary whatever stands on either side. Where an overlap
+has no such boundary, the earlier chunk is widened, twice as far each time, at
+last over its successor. Only a text of at most one chunk is encoded whole: it is
+the one chunk. Work on a chunk is bounded by its width, not by the text's.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; text that looks
 like a special token is ordinary text; nothing is cut or padded; repeated rows
@@ -24,11 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, table
+from .common import add_columns, slices, table
 
 MARK = "▁"
-#: Characters from which a text counts as huge; bytes of a chunk and of the first overlap.
-HUGE_CHARS, CHUNK_BYTES, OVERLAP_BYTES = 1 << 17, 1 << 16, 1 << 9
+#: Bytes of a chunk and of the first overlap.
+CHUNK_BYTES, OVERLAP_BYTES = 1 << 12, 1 << 7
+
+#: Bytes of text encoded together.
+PART = 1 << 20
 
 COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -39,29 +44,39 @@ class Tokenizer:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = m.get_piece_size()
+        pieces = [m.id_to_piece(i) for i in range(size)]
         self.stable = all(not p.lstrip(MARK).count(MARK) for p in pieces)
         # what the model puts before a text, and how it writes blanks
-        self.prefix = self.model.encode("a a", out_type=str)[0].startswith(MARK)
-        self.plain = self.model.normalize("A  \tb") == (MARK if self.prefix else "") + f"A{MARK}{MARK}\tb"
+        self.prefix = m.encode("a a", out_type=str)[0].startswith(MARK)
+        self.plain = m.normalize("A  \tb") == (MARK if self.prefix else "") + f"A{MARK}{MARK}\tb"
+        #: Bytes of a text that each piece stands for; a mark stands for one blank.
+        self.width = np.array([1 if m.is_byte(i) else len(p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)], np.int64)
 
     def count_all(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)] if texts else []
 
-    def starts(self, raw: bytes, begin: int, end: int) -> np.ndarray:
-        """Byte offset of each token of raw[begin:end]; past the text's start, ``begin`` is a blank.
+    def starts(self, raw: list[bytes], spans: list[tuple[int, int]]) -> list[np.ndarray]:
+        """Byte offset of each token of every raw[begin:end].
 
-        That blank is written by the mark that the model itself puts before a text.
+        Behind a text's start, ``begin`` is a blank; it is written by the mark that
+        the model itself puts before a text.
         """
-        first = begin + 1 if begin and self.prefix else begin
-        while first < end and raw[first] & 0xC0 == 0x80:
-            first += 1
-        proto = self.model.encode(raw[first:end].decode(), return_type="proto")
-        at = np.fromiter((p.begin for p in proto.pieces), np.int64, len(proto.pieces)) + first
-        if first > begin and len(at):
-            at[0] = begin
-        return at
+        own = [self.prefix and b > 0 for b, _ in spans]
+        texts = [r[b + o : e].decode() for r, (b, e), o in zip(raw, spans, own)]
+        out = []
+        for ids, r, text, (b, e), o in zip(self.model.encode(texts, num_threads=1), raw, texts, spans, own):
+            size = self.width[np.array(ids, np.int64)]
+            lead = 1 if self.prefix and text and not o else 0  # the first mark stands for nothing in the text
+            at = b + np.cumsum(size) - size - lead
+            if len(ids) and at[-1] + size[-1] != e or MARK in text:  # marks of the text's own: ask the model
+                proto = self.model.encode(text, return_type="proto")
+                at = b + o + np.fromiter((p.begin for p in proto.pieces), np.int64, len(proto.pieces))
+            if len(at):
+                at[0] = b
+            out.append(at)
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -69,59 +84,83 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _stable(raw: bytes, at: np.ndarray, after: int) -> set[int]:
+def _stable(raw: bytes, at: np.ndarray, after: int) -> np.ndarray:
     """Token starts behind ``after`` that are a blank right after another character."""
-    return {x for x in at.tolist() if x > after and raw[x] == 0x20 and raw[x - 1] != 0x20 and raw[max(0, x - 3) : x] != MARK.encode()}
+    at = at[np.searchsorted(at, after, "right") :]
+    return np.array([x for x in at.tolist() if raw[x] == 0x20 and raw[x - 1] != 0x20 and raw[max(0, x - 3) : x] != MARK.encode()], np.int64)
+
+
+def _cuts(raw: bytes, chunk: int) -> list[int]:
+    """Where chunks begin: 0 and, in every stretch of ``chunk`` bytes, the first blank after another character."""
+    out, at = [0], chunk
+    while at < len(raw):
+        x = raw.find(b" ", at)
+        while x > 0 and raw[x - 1] == 0x20:
+            x = raw.find(b" ", x + 1)
+        if x < 0:
+            break
+        out.append(x)
+        at = x + chunk
+    return out
 
 
 def _whole(raw: bytes, at: int) -> int:
     """``at``, or the start of the character that it lies in."""
     while at < len(raw) and raw[at] & 0xC0 == 0x80:
         at -= 1
-    return at
+    return min(at, len(raw))
 
 
-def count_huge(t: Tokenizer, text: str, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> int:
-    """Tokens of one text, counted over overlapping chunks of its UTF-8 bytes."""
+def count_spliced(t: Tokenizer, texts: list[bytes], chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> tuple[list[int], int]:
+    """Tokens of each text, counted over overlapping chunks of its bytes; and the number of splices made."""
     if not (t.stable and t.plain):
-        return t.count_all([text])[0]
-    raw = text.encode()
-    n, total, begin, width = len(raw), 0, 0, chunk
-    while True:
-        end = _whole(raw, min(n, begin + width))
-        here = t.starts(raw, begin, end)
-        if end == n:
-            return total + len(here)
-        wide, common = overlap, set()
-        while not common and wide < 2 * (end - begin):
-            lead = _whole(raw, max(begin + 1, end - wide))
-            there = t.starts(raw, lead, _whole(raw, min(n, end + wide)))
-            common = _stable(raw, here, lead) & _stable(raw, there, lead)
-            wide *= 2
-        if not common:  # no agreement in the whole chunk
-            width *= 2
+        return t.count_all([x.decode() for x in texts]), 0
+    owner, spans = [], []
+    for i, raw in enumerate(texts):
+        cut = _cuts(raw, chunk)
+        owner += [i] * len(cut)
+        spans += [(a, _whole(raw, b + overlap)) for a, b in zip(cut, [*cut[1:], len(raw)])]
+    places = t.starts([texts[i] for i in owner], spans)
+    total, made = [0] * len(texts), 0
+    here, begin, k = None, 0, 0
+    while k < len(spans):
+        raw, (lead, end) = texts[owner[k]], spans[k]
+        if here is None:
+            here, begin = places[k], lead
+        if k + 1 == len(spans) or owner[k + 1] != owner[k]:
+            total[owner[k]] += len(here) - int(np.searchsorted(here, begin))
+            here = None
+            k += 1
             continue
-        splice = sorted(common)[len(common) // 2]
-        total += int(np.searchsorted(here, splice))
-        begin, width = splice, chunk
+        after, there, wide = spans[k + 1][0], places[k + 1], overlap
+        while True:
+            common = np.intersect1d(_stable(raw, here, after), _stable(raw, there, after))
+            if len(common) or end >= spans[k + 1][1]:
+                break
+            wide *= 2
+            end = _whole(raw, min(spans[k + 1][1], spans[k][1] + wide))
+            here = t.starts([raw], [(lead, end)])[0]
+        if len(common):
+            splice = int(common[len(common) // 2])
+            total[owner[k]] += int(np.searchsorted(here, splice) - np.searchsorted(here, begin))
+            here, begin, made = there, splice, made + 1
+        else:  # no agreement in the whole successor: this chunk takes its place
+            spans[k + 1] = (lead, end)
+        k += 1
+    return total, made
 
 
-def token_counts(docs: DataFrame, model_path: str, text: str = "text", huge: int = HUGE_CHARS, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> DataFrame:
-    """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``. One map, no shuffle."""
+def token_counts(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> DataFrame:
+    """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``; columns of these names are replaced. One map, no shuffle."""
 
     def count(column: pa.Array) -> dict[str, pa.Array]:
         t = tokenizer(model_path)
-        texts = ["" if x is None else x for x in column.to_pylist()]
-        tokens = np.zeros(len(texts), np.int64)
-        usual = [i for i, x in enumerate(texts) if len(x) < huge]
-        for a in range(0, len(usual), 256):
-            part = usual[a : a + 256]
-            tokens[part] = t.count_all([texts[i] for i in part])
-        for i, x in enumerate(texts):
-            if len(x) >= huge:
-                tokens[i] = count_huge(t, x, chunk, overlap)
-        n_bytes = np.fromiter((len(x.encode()) for x in texts), np.int64, len(texts))
-        return {"n_bytes": pa.array(n_bytes), "n_tokens": pa.array(tokens)}
+        tokens, n_bytes = [], []
+        for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0, PART):
+            raw = ["".encode() if x is None else x.encode() for x in part.column(0).to_pylist()]
+            n_bytes += map(len, raw)
+            tokens += count_spliced(t, raw, chunk, overlap)[0]
+        return {"n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())}
 
     return add_columns(docs, text, count, COUNTS)
 
