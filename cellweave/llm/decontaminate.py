@@ -5,9 +5,9 @@ and cut into windows of ten words; the set of window fingerprints is broadcast
 and every document's windows are looked up in it. A hit is verified word by
 word. Hits become spans of words to cut, or documents to drop.
 
-The broadcast is bounded: at most ``SET_WINDOWS`` windows travel at once. A
-larger benchmark is cut by fingerprint into that many sets and the documents
-pass through one lookup per set; the union of the hits is the same.
+The broadcast is bounded: at most ``SET_WINDOWS`` windows are held at once. A
+larger benchmark is cut by fingerprint into sets; each is looked up in a pass of
+its own that writes its hits alone, and the hits are joined at the end.
 
 Defined cases: a null or empty document has no words and no hits; a benchmark
 item without words has no window; one of fewer than ten words is one window;
@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_batches, recounted, table
+from .common import derived, fresh, map_batches, materialise, recounted, rewritten, table
+from .touched import split
 
 #: Words of a window; windows in one broadcast set.
-WINDOW, SET_WINDOWS = 10, 1 << 20
+WINDOW, SET_WINDOWS = 10, 1 << 18
 
 _GRAMS = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("print", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("item", T.StringType())])
 
@@ -94,101 +95,149 @@ class GramSet:
 _FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("hit_items", T.ArrayType(T.StringType()))])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", bench_text: str = "text", window: int = WINDOW, set_windows: int = SET_WINDOWS) -> DataFrame:
-    """``docs`` with ``n_words``, ``hit_spans`` (byte borders [from, to, words, ...] of merged hit words) and ``hit_items``.
-
-    Input columns of these names are replaced.
-    """
-    spark = docs.sparkSession
-    grams = benchmark_windows(benchmark, item, bench_text, window)
-    sets = -(-max(1, grams.count()) // set_windows)
-    kept = [f for f in docs.schema.fields if f.name not in _FOUND.fieldNames()]
-    names = [f.name for f in kept]
-    schema = T.StructType(kept + list(_FOUND.fields))
-    out = docs.select(*(F.col(f"`{x}`") for x in names))
-    for k in range(sets):
-        part = grams if sets == 1 else grams.where(F.pmod("print", F.lit(sets)) == k)
-        shared = spark.sparkContext.broadcast(GramSet(part.toArrow()))
-
-        def look(batch: pa.RecordBatch, shared=shared, first=k == 0) -> pa.RecordBatch:
-            data, offsets = K.string_buffers(batch.column(batch.schema.get_field_index(text)))
-            words, spans, items = np.zeros(batch.num_rows, np.int64), [], []
-            before = None if first else [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hit_spans", "hit_items")]
-            for a, b, d, o in K.pieces(data, offsets):
-                w, hits = shared.value.scan(K.LOWER[d], o)
-                words[a:b] = w.counts()
-                by_text: dict[int, tuple[set[int], set[str]]] = {}
-                for i, width, found in hits:
-                    mine = by_text.setdefault(int(w.text[i]), (set(), set()))
-                    mine[0].update(range(i, i + width))
-                    mine[1].update(found)
-                for t in range(b - a):
-                    hit, found = by_text.get(t, (set(), set()))
-                    at = int(o[t])
-                    s, e = [], []
-                    if before is not None and before[0][a + t]:
-                        old = before[0][a + t]
-                        begins = w.start[w.first[t] : w.first[t + 1]] - at
-                        for x, y in zip(old[::3], old[1::3]):
-                            hit |= {int(w.first[t]) + q for q in range(int(np.searchsorted(begins, x)), int(np.searchsorted(begins, y)))}
-                        found = found | set(before[1][a + t])
-                    spans_of: list[int] = []
-                    run = sorted(hit)
-                    cuts = [q for q in range(1, len(run)) if run[q] != run[q - 1] + 1]
-                    for x, y in zip([0, *cuts], [*cuts, len(run)] if run else []):
-                        spans_of += [int(w.start[run[x]]) - at, int(w.end[run[y - 1]]) - at, y - x]
-                    spans.append(spans_of)
-                    items.append(sorted(found))
-            made = [pa.array(words), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)) for x in names] + made, names=names + _FOUND.fieldNames())
-
-        out = map_batches(out, look, schema)
+def _flat(found: set[int]) -> list[int]:
+    """Numbers as [first, how many, ...]."""
+    run, out = sorted(found), []
+    for k, x in enumerate(run):
+        if k and x == run[k - 1] + 1:
+            out[-1] += 1
+        else:
+            out += [x, 1]
     return out
 
 
-def remove_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Cut the hit words, and the blanks behind them, out of the texts that ``scan`` marked."""
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.schema.get_field_index(text)
-        spans = batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()
-        if not any(spans):
-            return batch
-        texts = batch.column(at).to_pylist()
-        for i, s in enumerate(spans):
-            if s:
-                raw, out, pos = texts[i].encode(), [], 0
-                for a, b in zip(s[::3], s[1::3]):
-                    out.append(raw[pos:a])
-                    pos = b
-                    while pos < len(raw) and K.SPACE[raw[pos]]:
-                        pos += 1
-                texts[i] = (b"".join(out) + raw[pos:]).decode()
-        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    return map_batches(docs, cut, docs.schema)
+def _borders(w: K.Words, o: np.ndarray, t: int, runs: list[int]) -> list[int]:
+    """Runs of words [first, words, ...] of text ``t`` as byte borders [from, to, words, ...]."""
+    out, at = [], int(w.first[t])
+    for a, n in zip(runs[::2], runs[1::2]):
+        out += [int(w.start[at + a] - o[t]), int(w.end[at + a + n - 1] - o[t]), n]
+    return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "spans", text: str = "text") -> DataFrame:
-    """``docs`` without benchmark passages: ``how`` is spans (cut them) or documents (drop the texts that hold one)."""
-    found = scan(docs, benchmark, text)
-    clean = remove_spans(found, text) if how == "spans" else found.filter(F.size("hit_spans") == 0)
-    return clean.select(*docs.columns)
+def _hits(grams: GramSet, column: pa.Array) -> dict[str, pa.Array]:
+    """``n_words``, ``hit_spans`` and ``hit_items`` of every text of a batch."""
+    data, offsets = K.string_buffers(column)
+    words, spans, items = np.zeros(len(column), np.int64), [], []
+    for a, b, d, o in K.pieces(data, offsets):
+        w, hits = grams.scan(K.LOWER[d], o)
+        words[a:b] = w.counts()
+        by_text: dict[int, tuple[set[int], set[str]]] = {}
+        for i, width, found in hits:
+            t = int(w.text[i])
+            mine = by_text.setdefault(t, (set(), set()))
+            mine[0].update(range(i - int(w.first[t]), i - int(w.first[t]) + width))
+            mine[1].update(found)
+        for t in range(b - a):
+            hit, found = by_text.get(t, ((), ()))
+            spans.append(_borders(w, o, t, _flat(hit)))
+            items.append(sorted(found))
+    return {"n_words": pa.array(words), "hit_spans": pa.array(spans, pa.list_(pa.int64())), "hit_items": pa.array(items, pa.list_(pa.string()))}
+
+
+def _looked_up(docs: DataFrame, grams: GramSet, text: str) -> tuple[DataFrame, str]:
+    shared = docs.sparkSession.sparkContext.broadcast(grams)
+    return derived(docs, lambda column: _hits(shared.value, column), _FOUND, text)
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", bench_text: str = "text", window: int = WINDOW, set_windows: int = SET_WINDOWS) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of ``n_words``, ``hit_spans`` (byte borders [from, to, words, ...] of merged hit words) and ``hit_items``, and that column's name.
+
+    One set: one map. Several sets: each is broadcast alone, its hits (rows of
+    the texts that have any, keyed by a digest of the text) are written, and the
+    hits of all sets are joined to the few texts that have some.
+    """
+    grams = benchmark_windows(benchmark, item, bench_text, window)
+    sets = -(-max(1, grams.count()) // set_windows)
+    if sets == 1:
+        return _looked_up(docs, GramSet(grams.toArrow()), text)
+    grams = materialise(grams)
+    one, column = docs.select(F.col(f"`{text}`").alias("text")), F.col(f"`{text}`")
+    hits = None
+    for k in range(sets):
+        looked, name = _looked_up(one, GramSet(grams.where(F.pmod("print", F.lit(sets)) == k).toArrow()), "text")
+        some = looked.where(F.size(f"{name}.hit_spans") > 0).select(F.xxhash64("text").alias("id"), F.md5("text").alias("digest"), f"{name}.hit_spans", f"{name}.hit_items")
+        some = materialise(some)  # one set at a time: the next is broadcast when this one's pass is over
+        hits = some if hits is None else hits.union(some)
+    merged = hits.groupBy("id", "digest").agg(F.flatten(F.collect_set("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_items")))).alias("hit_items"))
+    merged = materialise(merged)
+    key, digest, name = (fresh(x, docs.columns) for x in ("__cw_id", "__cw_digest", "__cw_found"))
+    merged = merged.select(F.col("id").alias(key), F.col("digest").alias(digest), F.struct("spans", "hit_items").alias(name))
+    keyed = docs.withColumn(key, F.xxhash64(column))
+    touched, free = split(keyed, key, merged.select(F.col(key).alias("id")))
+    joined = touched.withColumn(digest, F.md5(column)).join(merged, [key, digest], "left").select(*(F.col(f"`{x}`") for x in docs.columns), name)
+    whole = joined.unionByName(free.drop(key).withColumn(name, F.lit(None).cast(merged.schema[name].dataType)))
+
+    def counted(texts: pa.Array, known: pa.Array) -> dict[str, pa.Array]:
+        data, offsets = K.string_buffers(texts)
+        n, spans, rows = [], [], known.to_pylist()
+        for a, b, d, o in K.pieces(data, offsets):
+            w = K.split_words(d, o, K.NOT_ALNUM)
+            n += w.counts().tolist()
+            for t, x in enumerate(rows[a:b]):
+                hit: set[int] = set()
+                for begin, size in zip(x["spans"][::3], x["spans"][2::3]) if x else ():
+                    first = int(np.searchsorted(w.start, begin + o[t]) - w.first[t])
+                    hit.update(range(first, first + size))
+                spans.append(_borders(w, o, t, _flat(hit)))
+        return {"n_words": pa.array(n, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.int64())), "hit_items": pa.array([x["hit_items"] if x else [] for x in rows], pa.list_(pa.string()))}
+
+    out, made = derived(whole, counted, _FOUND, text, name)
+    return out.drop(name), made
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
+    """``docs`` with ``n_words``, ``hit_spans`` (byte borders [from, to, words, ...] of merged hit words) and ``hit_items``; input columns of these names are replaced."""
+    found, name = found_in(docs, benchmark, text, **how)
+    return found.select(*(F.col(f"`{x}`") for x in docs.columns if x not in _FOUND.fieldNames()), f"{name}.*")
+
+
+def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts without their hit words and the blanks behind those."""
+    spans = spans.to_pylist()
+    if not any(spans):
+        return texts
+    out = texts.to_pylist()
+    for i, s in enumerate(spans):
+        if s:
+            raw, kept, pos = out[i].encode(), [], 0
+            for a, b in zip(s[::3], s[1::3]):
+                kept.append(raw[pos:a])
+                pos = b
+                while pos < len(raw) and K.SPACE[raw[pos]]:
+                    pos += 1
+            out[i] = (b"".join(kept) + raw[pos:]).decode()
+    return pa.array(out, texts.type)
+
+
+def _n_hit(spans: str) -> F.Column:
+    """How many words the spans cover."""
+    return F.aggregate(F.filter(spans, lambda _, i: i % 3 == 2), F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "spans", text: str = "text", empty: bool = True) -> DataFrame:
+    """``docs`` without benchmark passages: ``how`` is spans (cut them) or documents (drop the texts that hold one).
+
+    With ``empty`` false a document of which no word is left goes too. All columns
+    but the text come back as they are.
+    """
+    found, name = found_in(docs, benchmark, text)
+    if how != "spans":
+        return found.filter(F.size(f"{name}.hit_spans") == 0).drop(name)
+    hit = _n_hit(f"{name}.hit_spans")
+    left = found if empty else found.filter((hit == 0) | (hit < F.col(f"{name}.n_words")))
+    spans = fresh("__cw_spans", left.columns)
+    return rewritten(left.withColumn(spans, F.col(f"{name}.hit_spans")), text, _without, spans).drop(name, spans)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with benchmark passages cut out; one with nothing else left goes."""
-    found = scan(docs, table(spark, sf_dir, "benchmark"))
-    hit = F.aggregate(F.filter("hit_spans", lambda _, i: i % 3 == 2), F.lit(0).cast("long"), lambda a, b: a + b)
-    cut = remove_spans(found.filter((hit == 0) | (hit < F.col("n_words")))).select(*docs.columns)
-    return recounted(cut)
+    return recounted(decontaminate(docs, table(spark, sf_dir, "benchmark"), empty=False))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hit = F.aggregate(F.filter("hit_spans", lambda _, i: i % 3 == 2), F.lit(0).cast("long"), lambda a, b: a + b)
     return scan(docs, table(spark, sf_dir, "benchmark")).select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated")
+        "doc_id", "n_words", _n_hit("hit_spans").alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated")
     )
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, map_batches
+from .common import fresh, materialise, small_batches
 
 #: Bits of the filter: 16 a wanted id, between these bounds (2 MB at most).
 BITS = (1 << 16, 1 << 24)
@@ -34,15 +33,30 @@ def passes(ids: pa.Array, m: int, words: np.ndarray) -> np.ndarray:
 
 
 def split(docs: DataFrame, doc_id: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(possibly wanted, surely not): two scans of ``docs``, neither shuffled. ``ids`` has one long column, id."""
+    """(possibly wanted, surely not): two scans of ``docs``, neither shuffled; only the ids pass through Python. ``ids`` has one long column, id."""
     m, words = id_filter(ids)
     shared = docs.sparkSession.sparkContext.broadcast(words)
+    small_batches(docs.sparkSession)
+    wanted = F.arrow_udf(lambda at: pa.array(passes(at, m, shared.value)), "boolean")(F.col(f"`{doc_id}`"))
+    return docs.filter(wanted), docs.filter(~wanted)
+
 
-    def keep(batch: pa.RecordBatch, wanted: bool) -> pa.RecordBatch:
-        hit = passes(batch.column(batch.schema.get_field_index(doc_id)), m, shared.value)
-        return batch.filter(pa.array(hit == wanted))
+def keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """``docs`` and a long column that orders its documents: ``doc_id`` itself, where every id is an integer with one text.
 
-    return tuple(map_batches(docs, partial(keep, wanted=x), docs.schema) for x in (True, False))
+    Ids of another type, and rows that share an id but not the text, get numbers in
+    the order of (id, digest of the text); equal rows share theirs, a null id has none.
+    """
+    own = F.col(f"`{doc_id}`")
+    digest = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    thin = docs.select(own.alias("id"), digest.alias("digest")).where("id IS NOT NULL")
+    if isinstance(docs.schema[doc_id].dataType, T.IntegralType) and thin.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
+        return docs, doc_id
+    a, b, key = (fresh(x, docs.columns) for x in ("__cw_id", "__cw_digest", "__cw_key"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = thin.distinct().repartitionByRange(parts, "id", "digest").sortWithinPartitions("id", "digest")
+    numbers = materialise(ordered.select(F.col("id").alias(a), F.col("digest").alias(b), F.monotonically_increasing_id().alias(key)))
+    return docs.join(numbers, (own == F.col(a)) & (digest == F.col(b)), "left").drop(a, b), key
 
 
 def with_runs(docs: DataFrame, doc_id: str, runs: DataFrame) -> tuple[DataFrame, str]:
