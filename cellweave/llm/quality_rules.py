@@ -6,12 +6,12 @@ is fitted on all hosts by moments, and the host verdict is joined back.
 
 Defined cases: a null or empty text has no words, all counts 0, and fails the
 base rule; a null source is a host of its own; repeated rows count once each;
-an empty table gives an empty result. Extra columns pass through; one that has
-the name of an added column is replaced.
+an empty table gives an empty result. Extra columns pass through; in
+``quality_rules`` one that has the name of an added column is replaced, the pipeline
+stage hands all of them back as they are.
 
-Scale: one map over the texts for the host sums (partial sums before the
-shuffle: a host of any size sends one row a task) and one for the result; the
-texts are never shuffled. The host table is joined as Spark finds it: broadcast
+Scale: host sums are partial before the shuffle (a host of any size sends one
+row a task); the texts are never shuffled. The host table is joined as Spark finds it: broadcast
 if its measured size is under the session's threshold, else sorted with skewed
 hosts split.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import add_columns, fresh, table
+from .common import derived, fresh, materialise, table
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -97,14 +97,11 @@ def base_counts(column: pa.Array) -> dict[str, pa.Array]:
     return {k: pa.array(v) for k, v in out.items()}
 
 
-def _failures(r: Rules) -> tuple[F.Column, F.Column]:
-    base = (F.col("n_words") < r.min_words) | (100 * F.col("n_repeat_words") > r.repeat_percent * F.col("n_words"))
-    soft = (
-        (100 * F.col("n_symbols") > r.symbol_percent * F.col("n_words"))
-        | (100 * F.col("n_dup_lines") > r.dup_line_percent * F.col("n_lines"))
-        | (F.col("word_chars") < r.min_word_chars * F.col("n_words"))
-        | (F.col("word_chars") > r.max_word_chars * F.col("n_words"))
-    )
+def _failures(r: Rules, counts: str = "") -> tuple[F.Column, F.Column]:
+    """Base and soft failure by the counts, which are columns or fields of the struct ``counts``."""
+    words, chars, symbols, dup_lines, repeats, lines = (F.col(f"{counts}.{x}" if counts else x) for x in BASE.fieldNames())
+    base = (words < r.min_words) | (100 * repeats > r.repeat_percent * words)
+    soft = (100 * symbols > r.symbol_percent * words) | (100 * dup_lines > r.dup_line_percent * lines) | (chars < r.min_word_chars * words) | (chars > r.max_word_chars * words)
     return base, soft
 
 
@@ -127,28 +124,58 @@ def host_rates(counted: DataFrame, host: str = "source", rules: Rules = Rules())
     return by_host.join(F.broadcast(one), how="inner", on=F.lit(True)).select("host", "host_docs", "host_failures", ((f + m * F.col("prior_strength")) / (n + F.col("prior_strength"))).alias("host_rate"))
 
 
+def _judged(docs: DataFrame, text: str, host: str, rules: Rules, counts: str | None = None) -> tuple[DataFrame, str, str]:
+    """``docs`` with the struct of counts and one of verdicts in columns of fresh names.
+
+    ``counts`` names a struct of counts that ``docs`` has already; without it the
+    texts are counted twice (for the hosts and for the rows), so that no text is
+    written or shuffled.
+    """
+    figures = docs
+    if counts is None:
+        figures, counts_of = derived(docs.select(*dict.fromkeys((text, host))), base_counts, BASE, text)
+        docs, counts = derived(docs, base_counts, BASE, text)
+    else:
+        counts_of = counts
+    hosts = host_rates(figures.select(F.col(f"`{host}`").alias("host"), f"{counts_of}.*"), "host", rules)
+    key, figure = fresh("__cw_host", docs.columns), fresh("__cw_rate", docs.columns)
+    hosts = hosts.select(F.col("host").alias(key), F.struct("host_docs", "host_failures", "host_rate").alias(figure))
+    base, soft = _failures(rules, counts)
+    joined = docs.join(hosts, F.col(f"`{host}`").eqNullSafe(F.col(key)), "left").drop(key)
+    rate = F.col(f"{figure}.host_rate")
+    rejected = base | (rate >= rules.host_condemned) | (soft & (rate >= rules.host_suspect))
+    verdict = fresh("__cw_verdict", docs.columns)
+    made = F.struct(base.alias("base_failed"), soft.alias("soft_failed"), *(F.col(f"{figure}.{x}") for x in ("host_docs", "host_failures", "host_rate")), (~rejected).alias("kept"))
+    return joined.withColumn(verdict, made).drop(figure), counts, verdict
+
+
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with the base counts, ``base_failed``, ``soft_failed``, the host's figures and ``kept``."""
+    """``docs`` with the base counts, ``base_failed``, ``soft_failed``, the host's figures and ``kept``.
+
+    The counts are written once, without the texts; hosts and rows are judged by them.
+    """
     added = [*BASE.fieldNames(), "base_failed", "soft_failed", "host_docs", "host_failures", "host_rate", "kept"]
-    docs = docs.drop(*(x for x in added if x not in (text, host)))
-    counted = add_columns(docs, text, base_counts, BASE)
-    hosts = host_rates(add_columns(docs.select(*{text, host}), text, base_counts, BASE, drop=() if text == host else (text,)), host, rules)
-    key = fresh("__cw_host", counted.columns)
-    hosts = hosts.withColumnRenamed("host", key)
-    base, soft = _failures(rules)
-    judged = counted.join(hosts, F.col(host).eqNullSafe(F.col(key)), "left").drop(key)
-    rejected = base | (F.col("host_rate") >= rules.host_condemned) | (soft & (F.col("host_rate") >= rules.host_suspect))
-    return judged.withColumns({"base_failed": base, "soft_failed": soft, "kept": ~rejected})
+    own = [x for x in docs.columns if x not in added]
+    out, counts, verdict = _judged(docs, text, host, rules)
+    return out.select(*(F.col(f"`{x}`") for x in own), f"{counts}.*", f"{verdict}.*")
+
+
+def verdicts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """``quality_rules`` without the texts: every text is counted once, and the few numbers of each row are written."""
+    counted, counts = derived(docs.select(*dict.fromkeys((*keys, host, text))), base_counts, BASE, text)
+    thin = materialise(counted.select(*dict.fromkeys((*keys, host)), counts))
+    out, counts, verdict = _judged(thin, text, host, rules, counts)
+    return out.select(*keys, f"{counts}.*", f"{verdict}.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that pass, with their own columns."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    """Pipeline stage: the documents that pass, with their own columns as they are."""
+    out, _, verdict = _judged(docs, "text", "source", Rules())
+    return out.filter(f"{verdict}.kept").select(*(F.col(f"`{x}`") for x in docs.columns))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failures")
+    return verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failures")
 
 
 SQL = r"""
