@@ -17,7 +17,9 @@ later one are removed. Windows are judged on the input.
 
 Defined cases: null and empty texts, and texts under twenty words, have no
 windows; a document without id keeps its words and removes none of others';
-rows that repeat a doc_id count as the same document; empty tables give empty
+rows that repeat doc_id and text count as one document, rows that
+share a doc_id but not the text as documents of their own, in the order of a
+digest of the text; ids may be of any type that has an order; empty tables give empty
 results.
 
 Scale: equal windows of one batch meet there, so a window in a third of all
@@ -37,8 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_batches, materialise, recounted, table
-from .touched import with_runs
+from .common import derived, map_batches, materialise, recounted, rewritten, table
+from .touched import keyed, with_runs
 
 WINDOW, ROUNDS = 20, 2
 #: Bytes of text packed at once.
@@ -295,50 +297,53 @@ def _mask(n: int, runs: list[int] | None) -> np.ndarray:
     return out
 
 
+def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    """The texts without the words of their runs and the blanks behind those; null where nothing is left."""
+    runs = runs.to_pylist()
+    if not any(runs):
+        return texts
+    out = texts.to_pylist()
+    for i, r in enumerate(runs):
+        if not r or out[i] is None:
+            continue
+        raw = np.frombuffer(out[i].encode(), np.uint8)
+        w = K.split_words(raw, np.array([0, len(raw)], np.int64))
+        gone = _mask(len(w.start), r)
+        step = np.zeros(len(raw) + 1, np.int64)
+        step[w.start[gone]] += 1
+        step[np.append(w.start[1:], len(raw))[gone]] -= 1
+        out[i] = None if gone.all() else raw[np.cumsum(step[:-1]) == 0].tobytes().decode()
+    return pa.array(out, texts.type)
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated words, and the blanks behind them, cut out of ``text``; documents of which nothing is left go."""
-    marked, name = with_runs(docs, doc_id, repeated_runs(docs, doc_id, text))
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.schema.get_field_index(text)
-        runs = batch.column(batch.schema.get_field_index(name)).to_pylist()
-        batch = batch.select([x for x in batch.schema.names if x != name])
-        if not any(runs):
-            return batch
-        texts, keep = batch.column(at).to_pylist(), np.ones(len(runs), bool)
-        for i, r in enumerate(runs):
-            if not r or texts[i] is None:
-                continue
-            raw = np.frombuffer(texts[i].encode(), np.uint8)
-            w = K.split_words(raw, np.array([0, len(raw)], np.int64))
-            gone = _mask(len(w.start), r)
-            keep[i] = not gone.all()
-            step = np.zeros(len(raw) + 1, np.int64)
-            step[w.start[gone]] += 1
-            step[np.append(w.start[1:], len(raw))[gone]] -= 1
-            texts[i] = raw[np.cumsum(step[:-1]) == 0].tobytes().decode()
-        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(keep))
-
-    return map_batches(marked, cut, docs.schema)
+    own, key = keyed(docs, doc_id, text)
+    marked, name = with_runs(own, key, repeated_runs(own, key, text))
+    cut = rewritten(marked, text, _cut, name)
+    return cut.filter(F.col(f"`{text}`").isNotNull() | F.col(name).isNull()).select(*(F.col(f"`{x}`") for x in docs.columns))
+
+
+_DIGESTS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256)."""
-    thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked, _ = with_runs(thin, "doc_id", repeated_runs(thin, "doc_id", "text"))
+    own, key = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    marked, name = with_runs(own, key, repeated_runs(own, key, "text"))
 
-    def sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def sums(texts: pa.Array, runs: pa.Array) -> dict[str, pa.Array]:
         n, gone, sha = [], [], []
-        for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for t, r in zip(texts.to_pylist(), runs.to_pylist()):
             words = [] if t is None else t.encode().split()
             n.append(len(words))
             mask = _mask(len(words), r) if r else None
             gone.append(0 if mask is None else int(mask.sum()))
             sha.append(hashlib.sha256(b" ".join(words if mask is None else [x for x, m in zip(words, mask.tolist()) if not m])).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
 
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    return map_batches(marked, sums, T.StructType([thin.schema["doc_id"], *fields]))
+    out, made = derived(marked, sums, _DIGESTS, "text", name)
+    return out.select("doc_id", f"{made}.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

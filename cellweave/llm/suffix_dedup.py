@@ -14,7 +14,9 @@ document of the interval keeps it; every other document loses the bytes.
 
 Defined cases: null and empty texts, and texts under 50 bytes, have no strings;
 repeats inside one document do not count; a document without id keeps its bytes
-and removes none of others'; rows that repeat a doc_id count as one document;
+and removes none of others'; rows that repeat doc_id and text count as one document, rows
+that share a doc_id but not the text as documents of their own, in the order of
+a digest of the text; ids may be of any type that has an order;
 empty tables give empty results.
 
 Scale: equal segments of one batch collapse before the shuffle, so a passage in
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_batches, materialise, release, table
-from .touched import with_runs
+from .common import derived, map_batches, materialise, release, rewritten, table
+from .touched import keyed, with_runs
 
 LENGTH, GRAM = 50, 12
 #: Windows of one segment at most; buckets for each shuffle partition.
@@ -409,7 +411,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     packed = map_batches(thin, lambda batch: pack(batch, buckets, shared.value), "bucket int, heads binary, raw binary, size bigint", ("text", PART))
     runs = materialise(packed.groupBy("bucket").applyInArrow(_settle, "id bigint, runs array<bigint>"))
     del packed
-    release(spark)
+    release()
     return runs
 
 
@@ -423,32 +425,37 @@ def _mask(n: int, runs: list[int] | None) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    """The texts without the bytes of their runs; characters that lose only some of their bytes go whole."""
+    runs = runs.to_pylist()
+    if not any(runs):
+        return texts
+    out = texts.to_pylist()
+    for i, r in enumerate(runs):
+        if r and out[i]:
+            raw = np.frombuffer(out[i].encode(), np.uint8)
+            out[i] = raw[~_mask(len(raw), r)].tobytes().decode("utf-8", "ignore")
+    return pa.array(out, texts.type)
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; characters that lose only some of their bytes go whole."""
-    marked, name = with_runs(docs, doc_id, repeated_runs(docs, doc_id, text))
+    own, key = keyed(docs, doc_id, text)
+    marked, name = with_runs(own, key, repeated_runs(own, key, text))
+    return rewritten(marked, text, _cut, name).select(*(F.col(f"`{x}`") for x in docs.columns))
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.schema.get_field_index(text)
-        runs = batch.column(batch.schema.get_field_index(name)).to_pylist()
-        batch = batch.select([x for x in batch.schema.names if x != name])
-        texts = batch.column(at).to_pylist()
-        for i, r in enumerate(runs):
-            if r and texts[i]:
-                raw = np.frombuffer(texts[i].encode(), np.uint8)
-                texts[i] = raw[~_mask(len(raw), r)].tobytes().decode("utf-8", "ignore")
-        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return map_batches(marked, cut, docs.schema)
+_DIGESTS = T.StructType([*(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
-    thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked, _ = with_runs(thin, "doc_id", repeated_runs(thin, "doc_id", "text"))
+    own, key = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    marked, name = with_runs(own, key, repeated_runs(own, key, "text"))
 
-    def sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def sums(texts: pa.Array, runs: pa.Array) -> dict[str, pa.Array]:
         rows = []
-        for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for t, r in zip(texts.to_pylist(), runs.to_pylist()):
             raw = b"" if t is None else t.encode()
             if not r:
                 rows.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
@@ -456,11 +463,10 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             mask = _mask(len(raw), r)
             spans = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1]))
             rows.append((len(raw), int(mask.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~mask].tobytes()).hexdigest()))
-        a, b, c, d = zip(*rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return {f.name: pa.array(x, pa.string() if f.name == "kept_sha256" else pa.int64()) for f, x in zip(_DIGESTS.fields, zip(*rows))}
 
-    longs = [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
-    return map_batches(marked, sums, T.StructType([thin.schema["doc_id"], *longs, T.StructField("kept_sha256", T.StringType())]))
+    out, made = derived(marked, sums, _DIGESTS, "text", name)
+    return out.select("doc_id", f"{made}.*")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

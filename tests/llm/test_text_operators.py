@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellweave.llm import decontaminate, near_dedup, ordinal_quality, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
 from cellweave.llm import textkit as K
 
+DATA = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -59,16 +60,27 @@ def test_token_counts_splice_alike(odd, none):
     public = pytest.importorskip("public_tokenizers")
     path = str(public.path("piece_bpe_32k.model"))
     t = token_counts.tokenizer(path)
-    texts = ["plain words and more " * 60, "a" * 3000, "x  y   z " * 300, "é" * 500 + " " + "ü" * 500, "<s> </s> " * 90, "日本語 " * 200, "▁a ▁ b▁c " * 90, "a\t\n b" * 200]
-    for chunk, overlap in ((200, 16), (37, 3), (1 << 16, 1 << 9)):
-        assert [token_counts.count_huge(t, x, chunk, overlap) for x in texts] == t.count_all(texts)
-    got = token_counts.token_counts(odd, path, huge=500, chunk=300, overlap=8)
-    rows = by_id(got)
+    texts = ["plain words and more " * 60, "a" * 3000, "x  y   z " * 300, "é" * 500 + " " + "ü" * 500, "<s> </s> " * 90, "日本語 " * 200, "▁a ▁ b▁c " * 90, "a\t\n b" * 200, "", " ", " " * 700, "a" + " " * 600 + "b c d " * 50]
+    for chunk, overlap in ((200, 16), (37, 3), (64, 1), (1 << 16, 1 << 9)):
+        got, made = token_counts.count_spliced(t, [x.encode() for x in texts], chunk, overlap)
+        assert got == t.count_all(texts) and (made > 20) == (chunk < 1000)
+    rows = by_id(token_counts.token_counts(odd, path, chunk=300, overlap=8))
     assert rows[1]["n_tokens"] == 0 and rows[2]["n_bytes"] == 0
     assert rows[5]["n_tokens"] == t.count_all([rows[5]["text"]])[0]
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_token_counts_are_the_librarys_and_spliced(spark):
+    public = pytest.importorskip("public_tokenizers")
+    t = token_counts.tokenizer(str(public.path("piece_bpe_32k.model")))
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    got, made = token_counts.count_spliced(t, [x.encode() for x in texts])
+    assert made > 2000 and got == t.count_all(texts)
+    huge = ["".join(texts[:1500])[: 3 << 20], "no-blank-" * 40000]
+    got, made = token_counts.count_spliced(t, [x.encode() for x in huge])
+    assert made > 400 and got == t.count_all(huge)
+
+
 def brute_decontamination(docs, items, n=10):
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     out = {}
@@ -304,6 +316,17 @@ def test_merged_transforms_are_sorted_with_their_prefixes():
                 assert n == same
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ids_of_any_type_and_ids_with_several_texts(spark, kind):
+    """Rows of one id and different texts are documents of their own; nothing of one is cut from another."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = [(1, a), (1, b), (2, f"{a} {c}"), (2, b), (2, b), (3, f"{c} {b} tail")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, n long").withColumn("doc_id", F.col("doc_id").cast(kind))
+    for module in (substring_dedup, suffix_dedup):
+        got = {r["n"]: r["text"].strip() for r in module.dedup(df).collect()}
+        assert got[0] == a and got[1] == b and got[2] == c and not got.get(3) and not got.get(4) and got[5] == "tail", got
+
+
 def test_suffix_dedup_on_odd_inputs(odd, none):
     rows = suffix_dedup.digests(odd).collect()
     got = {r["doc_id"]: r for r in rows}
@@ -312,9 +335,6 @@ def test_suffix_dedup_on_odd_inputs(odd, none):
     assert suffix_dedup.digests(none).count() == 0
 
 
-DATA = "/root/testdata/sf0.1"
-
-
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.op3_toxicity(spark, DATA).join(labels, "doc_id").where("held_out")
@@ -336,6 +356,62 @@ def test_toxicity_tolerates_gaps_and_inserted_letters(spark):
     assert margin[0] < min(margin[1:4]) and margin[4] < min(margin[1:4])
 
 
+def test_toxicity_of_a_text_is_its_own():
+    """Neighbours, order and batch borders change no score; a small case equals the kernel's sum over all subsequences."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Kernel()
+    model.weights = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
+    texts = ["hello idi", "moron worthless", "zzzz", "", "a", "é" * 7, "x y " * 9, *("".join(rng.choice(list("abcde .é"), int(n))) for n in rng.integers(1, 90, 60))]
+    alone = [model.worst(*K.string_buffers(pa.array([t])))[0] for t in texts]
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(len(texts))
+        assert model.worst(*K.string_buffers(pa.array([texts[i] for i in order]))).tolist() == [alone[i] for i in order]
+
+    def plain(text):
+        c = [int(toxicity._CLASS[b]) for b in text.encode()]
+        best = model.bias if not c else -np.inf
+        for start in range(0, len(c), toxicity.STEP):
+            total = 0.0
+            for i in range(start, min(start + toxicity.WIDTH, len(c))):
+                for p in toxicity.PATTERNS:
+                    u = 0
+                    for k in (i, *(i + x for x in p)):
+                        u = u << 6 | (c[k] if k < len(c) else 0)
+                    total += toxicity.LAMBDA ** (p[2] + 1) * float(model.weights[(u * 2654435769 & 0xFFFFFFFF) >> (32 - toxicity.BITS)])
+            best = max(best, total / toxicity.NORM + model.bias)
+        return best
+
+    assert np.allclose(alone, [plain(t) for t in texts], atol=1e-4)
+
+
+def test_toxicity_of_long_texts_is_scored_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = toxicity.Kernel()
+    model.weights = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
+    texts = ["".join(rng.choice(list("abcde ."), n)) for n in (5, 3000, 0, 801, 40)]
+    whole = model.worst(*K.string_buffers(pa.array(texts)))
+    monkeypatch.setattr(K, "CHUNK_BYTES", 202)
+    assert model.worst(*K.string_buffers(pa.array(texts))).tolist() == whole.tolist()
+
+
+def test_folded_weights_are_the_kernel_against_the_landmarks():
+    """The decision of a passage equals the sum over landmarks of shared weighted subsequences."""
+    texts = ["you are a moron", "plain words go", "m.o.r.o.n here", "nothing of it"]
+    c = toxicity.Letters(*K.string_buffers(pa.array(texts)))
+    text, start = c.starts()
+    u, w = toxicity._features(c, start)
+    beta = np.random.default_rng(1).normal(size=len(start))
+    model = toxicity.Kernel()
+    model.bias = 0.0
+    np.add.at(model.weights, u, (beta[:, None] * w).astype(np.float32))
+    maps = [dict() for _ in start]
+    for m, x, y in zip(maps, u, w):
+        for a, b in zip(x.tolist(), y.tolist()):
+            m[a] = m.get(a, 0.0) + b
+    want = [sum(b * sum(v * other.get(k, 0.0) for k, v in mine.items()) for b, other in zip(beta, maps)) for mine in maps]
+    assert np.allclose(model.passages(c)[2], want, atol=1e-4)
+
+
 def test_classifiers_on_odd_inputs(odd, none, spark):
     model = toxicity.train(pa.array(["good words here"] * 3), np.zeros(3, np.int64))
     assert toxicity.score(odd, model).count() == 10 and toxicity.score(none, model).count() == 0
