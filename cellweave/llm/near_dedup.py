@@ -3,38 +3,39 @@
 Texts are sets of five-word shingles. Equal sets collapse to one node (by a
 128-bit digest, summed before the shuffle), so that copies cost one row. Every
 node has 120 min-hashes; the forest is ``TREES`` orders of the nodes, each
-sorted by twelve of them in a row. In each order a node is held against its
-neighbours of longest common prefix, however deep that is there: a prefix of
-two hashes is enough in a sparse region, and in a dense one the sort itself
-has put those that agree deepest side by side. In long regions every node is
-also held against the region's few most central members, which sorting alone
-need not bring near. Four bits of every hash travel along, so that only pairs
-whose estimated similarity may reach the threshold become candidates; those
-are confirmed on full sets. Confirmed links give components; candidates that
-still join different components are confirmed in a second round.
-
-These rounds look at a bounded number of pairs and only serve to make groups
-whole cheaply. A last round leaves none out: in every region (two equal hashes in
-an order) that still holds several components, all pairs of different components
-whose estimate may reach the threshold are confirmed on full sets, blocks of
-nodes against blocks of nodes.
+sorted by twelve of them in a row. In each order a node's candidates are its
+neighbours of longest common prefix, and the depth adapts to the region: where
+at most ``SIDE`` rows on either side share the least prefix, a node is held
+against every one of them; where more do, against the nearest ones, which share
+the deepest prefixes there, and the region counts as dense. Four bits of every
+hash travel along, so that only pairs whose estimated similarity may reach the
+threshold become candidates; those are confirmed on full sets. Confirmed links
+give components.
+
+What a dense region leaves unseen is settled exactly, among the nodes of dense regions
+alone: two sets that reach the threshold share one of their rarest shingles, so
+nodes of different components meet by these (postings with the place among
+a node's shingles in order of rarity, which bounds how many two sets can
+share), and the pairs that meet are confirmed on full sets like any others. The
+order of rarity comes from counts in a table of fixed size; any order gives the same links.
 
 Defined cases: null and empty texts have no shingles, are linked with nothing
 and stand for themselves; texts with fewer than five words are one shingle;
 rows that repeat a doc_id with the same text stand or fall together; a null doc_id is ignored
-when a group looks for its smallest; an empty table gives an empty result.
-
-Scale: nothing is grouped by a bucket. An order is range-partitioned, so a hot
-region is spread over tasks; a border between two tasks hides neighbours in
-one order only. A node emits at most ``KEEP`` candidates per order. The last
-round deals a region in cells of about two times ``CELL`` nodes and sends a full
-set to as many tasks as there are blocks that it meets, never a row a pair.
+when a group looks for its smallest; an empty table gives an empty result. The
+threshold may be 50 to 100 percent.
+
+Scale: an order is range-partitioned, so a hot region is spread over tasks; a
+border between two tasks hides neighbours in one order only. Postings travel
+packed, in as many buckets as their measured number needs; a shingle with more
+than ``CELL`` postings is dealt in cells, its commonest component's nodes against
+the others', and drops out if it has one component only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +45,15 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import textkit as K
-from .common import fresh, map_batches, materialise, release, table
-from .components import components
+from .common import fresh, map_batches, materialise, release, small_batches, table
+from .components import components, merged
+from .touched import id_filter, passes
 
 SHINGLE, HASHES, TREES, STRIDE, DEPTH = 5, 120, 24, 5, 12
-#: Neighbours on either side, shortest common prefix, candidates kept per node and order.
-SIDE, LEAST_PREFIX, KEEP = 12, 2, 4
-#: From this length a region also looks at its centre: so many sampled members rank so many hubs.
-LONG_REGION, SAMPLED, HUBS = 24, 48, 16
-#: Agreeing four-bit hashes (of 120) below which a similarity of 0.75 is out of reach: 92 expected, less 4.5 deviations.
-LEAST_AGREE = 70
-#: The last round: nodes of a region that share a salt, nodes of a block and their shingles, columns of a product at a time.
-CELL, BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 256, 1 << 18, 4096
+#: Rows on either side that a node is held against; candidates that a node of a dense region keeps in an order.
+SIDE, KEEP = 12, 4
+#: Counts of shingles; postings of a bucket, of a cell; shingles at most that are dealt in cells.
+SLOTS, BLOCKS, BUCKET, CELL, MAX_HOT = 1 << 18, 16, 1 << 17, 8192, 1 << 16
 
 _rng = np.random.default_rng(40961)
 _MULT = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,103 +122,125 @@ def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _SAME[x ^ y].sum(-1, dtype=np.int16)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per sorted partition of the orders: each node's best partners in its region."""
+@dataclass(frozen=True)
+class Threshold:
+    """What follows from a least similarity."""
+
+    percent: int = 75
+
+    def __post_init__(self) -> None:
+        if not 50 <= self.percent <= 100:
+            raise ValueError("percent must be between 50 and 100")
+
+    @property
+    def prefix(self) -> int:
+        """Equal hashes that a pair shares in one of the orders, but for one pair in ten millions."""
+        return 2 if self.percent >= 75 else 1
+
+    @property
+    def agree(self) -> int:
+        """Agreeing four-bit hashes below which the similarity is out of reach: those expected, less 4.5 deviations."""
+        p = self.percent / 100 + (1 - self.percent / 100) / 16
+        return int(HASHES * p - 4.5 * np.sqrt(HASHES * p * (1 - p)))
+
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shingles that sets of these sizes must share."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
+    def sizes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def prefixes(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Common prefix, in hashes, of every row with the one before it in its order."""
+    out = np.zeros(len(tree), np.int64)
+    out[1:] = np.logical_and.accumulate(key[1:] == key[:-1], axis=1).sum(1)
+    out[1:][tree[1:] != tree[:-1]] = 0
+    return out
+
+
+def neighbours(lcp: np.ndarray, least: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Pairs (rows, distance) of up to SIDE rows apart that share a prefix, and the rows of dense regions."""
+    region = np.cumsum(lcp < least)
+    size = np.bincount(region)
+    out = []
+    for s in range(1, SIDE + 1):
+        i = np.flatnonzero(region[s:] == region[:-s])
+        if not len(i):
+            break
+        out.append((i, s))
+    return out, size[region] > SIDE + 1
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], limit: Threshold) -> Iterator[pa.RecordBatch]:
+    """Per sorted partition of the orders: candidate pairs; and, without a partner, the nodes of dense regions."""
     kept: pa.Table | None = None
     for batch in batches:
         here = pa.Table.from_batches([batch])
         carried = 0 if kept is None else kept.num_rows
         rows = here if kept is None else pa.concat_tables([kept, here]).combine_chunks()
         n = rows.num_rows
-        kept = rows.slice(max(0, n - SIDE))
-        matrix = lambda c, width: np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(n, width)  # noqa: B023, E731
-        tree = rows.column("tree").to_numpy()
-        key = matrix("key", 2 * DEPTH).view(np.uint16)
-        bits, node, size = matrix("bits", HASHES // 2), matrix("node", 16), rows.column("n_shingles").to_numpy()
-        best = np.full((n, KEEP), -1, np.int16)
-        mate = np.zeros((n, KEEP), np.int64)
+        kept = rows.slice(max(0, n - SIDE - 1))
+        bits, node, size = _matrix(rows.column("bits"), HASHES // 2), _matrix(rows.column("node"), 16), rows.column("n_shingles").to_numpy()
+        lcp = prefixes(rows.column("tree").to_numpy(), _matrix(rows.column("key"), 2 * DEPTH).view(np.uint16))
+        near, dense = neighbours(lcp, limit.prefix)
+        left, right, score = [], [], []
+        best, mate = np.full((n, KEEP), -1, np.int16), np.zeros((n, KEEP), np.int64)
 
         def offer(i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> None:
-            """Row i may take j as a partner (each i at most once a call)."""
+            """Row i may take j as one of its KEEP partners (each i at most once a call)."""
             for k in range(KEEP):
                 better = agree > best[i, k]  # noqa: B023
                 a, m = best[i, k].copy(), mate[i, k].copy()  # noqa: B023
                 best[i[better], k], mate[i[better], k] = agree[better], j[better]  # noqa: B023
                 agree, j = np.where(better, a, agree), np.where(better, m, j)
 
-        def judged(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            si, sj = size[i], size[j]  # noqa: B023
-            fit = (100 * np.minimum(si, sj) >= 75 * np.maximum(si, sj)) & (i != j)
-            i, j = i[fit], j[fit]
-            agree = _agree(bits[i], bits[j])  # noqa: B023
-            good = agree >= LEAST_AGREE
-            return i[good], j[good], agree[good]
-
-        near = np.zeros(n, bool)
-        near[1:] = (tree[1:] == tree[:-1]) & (key[1:, :LEAST_PREFIX] == key[:-1, :LEAST_PREFIX]).all(1)
-        region = np.cumsum(~near)
-        for s in range(1, SIDE + 1):
-            i = np.flatnonzero(region[s:] == region[:-s])
+        for i, s in near:
             i = i[i + s >= carried]
-            if not len(i):
-                break
-            i, j, agree = judged(i, i + s)
-            offer(i, j, agree)
-            offer(j, i, agree)
-        starts = np.flatnonzero(~near)
-        ends = np.append(starts[1:], n)
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            if b - a < LONG_REGION:
-                continue
-            sample = np.unique(np.linspace(a, b - 1, min(SAMPLED, b - a)).astype(np.int64))
-            central = np.zeros(b - a, np.int64)
-            for q in sample.tolist():
-                central += _agree(bits[a:b], bits[q])
-            for hub in (a + np.argsort(-central, kind="stable")[:HUBS]).tolist():
-                offer(*judged(np.arange(a, b), np.full(b - a, hub)))
+            i = i[limit.sizes(size[i], size[i + s])]
+            agree = _agree(bits[i], bits[i + s])
+            i, agree = i[agree >= limit.agree], agree[agree >= limit.agree]
+            crowded = dense[i]
+            left.append(i[~crowded])
+            right.append(i[~crowded] + s)
+            score.append(agree[~crowded])
+            offer(i[crowded], i[crowded] + s, agree[crowded])
+            offer(i[crowded] + s, i[crowded], agree[crowded])
         i, k = np.nonzero(best >= 0)
-        x, y = node[i], node[mate[i, k]]
-        swap = np.array([p.tobytes() > q.tobytes() for p, q in zip(x, y)], bool) if len(i) else np.zeros(0, bool)
-        x, y = np.where(swap[:, None], y, x), np.where(swap[:, None], x, y)
-        there = np.ones(len(i), bool)
-        yield pa.RecordBatch.from_arrays([_fixed(x, there), _fixed(y, there), pa.array(best[i, k].astype(np.int32))], names=["a", "b", "agree"])
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, agree): pairs of nodes, smaller key first, that some order brings together."""
+        x = np.concatenate([*left, i]).astype(np.int64)
+        y = np.concatenate([*right, mate[i, k]]).astype(np.int64)
+        agree = np.concatenate([*score, best[i, k]]).astype(np.int32)
+        halves = node.view(">u8")
+        swap = (halves[x, 0] > halves[y, 0]) | ((halves[x, 0] == halves[y, 0]) & (halves[x, 1] > halves[y, 1]))
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        alone = np.flatnonzero(dense)
+        x, agree = np.append(x, alone), np.append(agree, np.zeros(len(alone), np.int32))
+        there = np.ones(len(x), bool)
+        there[len(y) :] = False
+        y = np.append(y, alone)
+        yield pa.RecordBatch.from_arrays([_fixed(node[x], np.ones(len(x), bool)), _fixed(node[y], there), pa.array(agree)], names=["a", "b", "agree"])
+
+
+def candidates(nodes: DataFrame, limit: Threshold) -> DataFrame:
+    """(a, b, agree): pairs of nodes, smaller key first, that some order brings together; b is null for a node of a dense region."""
     trees = nodes.select("node", "bits", F.col("n_shingles").cast("int").alias("n_shingles"), "hashes", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = trees.select("tree", F.expr(f"substring(hashes, tree * {2 * STRIDE} + 1, {2 * DEPTH})").alias("key"), "node", "bits", "n_shingles")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return ordered.mapInArrow(_candidates, "a binary, b binary, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-
-
-#: Bits of the filter that spares texts without candidates from being cut into shingles again: 16 a wanted text, 2 MB at most.
-_FILTER_BITS = (1 << 16, 1 << 24)
-
-
-def _wanted_bits(ids: DataFrame) -> tuple[int, np.ndarray]:
-    """A one-hash filter of bounded size over long ids."""
-    n, m = ids.count(), _FILTER_BITS[0]
-    while m < 16 * n and m < _FILTER_BITS[1]:
-        m *= 2
-    bit = F.col("id").bitwiseXOR(F.shiftright("id", 17)).bitwiseAND(m - 1)
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(m // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return m, out.view(np.uint64)
+    return ordered.mapInArrow(lambda batches: _candidates(batches, limit), "a binary, b binary, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, shingles): full sets of the texts whose id is in ``wanted`` (column id) and, by the filter's error, a few more."""
-    m, words = _wanted_bits(wanted)
+    m, words = id_filter(wanted)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        bit = (ids ^ (ids >> 17)) & (m - 1)
-        hit = (shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-        chosen = batch.column(1).filter(pa.array(hit.astype(bool)))
+        chosen = batch.column(1).filter(pa.array(passes(batch.column(0), m, shared.value)))
         data, offsets = K.string_buffers(chosen)
         nodes, sets = [], []
         for _, _, d, o in K.pieces(data, offsets):
@@ -233,8 +253,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Dat
         sets = pa.concat_arrays(sets) if sets else pa.array([], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), sets], names=["node", "shingles"])
 
-    ids = F.col(doc_id).cast("long") if dict(docs.dtypes)[doc_id] != "string" else F.xxhash64(doc_id)
-    return map_batches(docs.select(ids.alias("id"), F.col(text).alias("text")), cut, "node binary, shingles array<bigint>")
+    return map_batches(docs.select(_long_id(docs, doc_id).alias("id"), F.col(f"`{text}`").alias("text")), cut, "node binary, shingles array<bigint>")
+
+
+def _long_id(docs: DataFrame, doc_id: str) -> F.Column:
+    """An id as a long for filters; a null one counts as 0."""
+    own = F.col(f"`{doc_id}`")
+    return F.coalesce(own.cast("long") if isinstance(docs.schema[doc_id].dataType, T.IntegralType) else F.xxhash64(own), F.lit(0).cast("long"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,159 +270,209 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches of a partition sorted by ``cell``, cut anew so that no cell is in two of them."""
-    kept: list[pa.Table] = []
-    for batch in chain(batches, [None]):
-        if batch is not None:
-            if not batch.num_rows:
-                continue
-            cell = batch.column("cell").to_numpy()
-            end = int(np.searchsorted(cell, cell[-1]))
-            here = pa.Table.from_batches([batch])
-            if not end and kept and kept[-1].column("cell")[-1].as_py() == cell[-1]:
-                kept.append(here)
-                continue
-            kept, done = [here.slice(end)], [*kept, here.slice(0, end)]
-        else:
-            done = kept
-        if done and (rows := pa.concat_tables(done)).num_rows:
-            yield rows.combine_chunks()
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that still join different components."""
+    left, right = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    named = pairs.join(left, "a", "left").join(right, "b", "left")
+    return named.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, y, node, lab): the ends of all pairs of a cell whose labels differ and whose estimate may reach the threshold, with the blocks of both."""
-    for rows in _whole_cells(batches):
-        n = rows.num_rows
-        cell, size, lab = (rows.column(c).to_numpy() for c in ("cell", "n_shingles", "lab"))
-        blocks, block = np.unique(rows.column("block").to_numpy(), return_inverse=True)
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(n, HASHES // 2)
-        found, held = [], 0
-        for s in range(1, n):
-            i = np.flatnonzero(cell[s:] == cell[:-s])
-            if not len(i):
-                break
-            j = i + s
-            fit = (lab[i] != lab[j]) & (100 * np.minimum(size[i], size[j]) >= 75 * np.maximum(size[i], size[j]))
-            i, j = i[fit], j[fit]
-            good = _agree(bits[i], bits[j]) >= LEAST_AGREE
-            i, j = i[good], j[good]
-            both = np.minimum(block[i], block[j]) * len(blocks) + np.maximum(block[i], block[j])
-            found += [both * n + i, both * n + j]
-            held += 2 * len(i)
-            if held > 1 << 20:
-                found = [np.unique(np.concatenate(found))]
-                held = 0
-        if not found:
-            continue
-        both, at = np.divmod(np.unique(np.concatenate(found)), n)
-        x, y = np.divmod(both, len(blocks))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks[x]), pa.array(blocks[y]), rows.column("node").take(pa.array(at)).combine_chunks(), pa.array(lab[at])], names=["x", "y", "node", "lab"])
+_POSTING = np.dtype([("cell", "<u8"), ("node", "<u8", 2), ("label", "<i8"), ("size", "<i4"), ("place", "<i4"), ("side", "u1")])
+_PACKED = "bucket int, postings binary"
 
 
-def crossing(nodes: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cell, node, lab): nodes to be held against each other, so that every open pair of a region is together in a cell.
+def _slot(prints: np.ndarray) -> np.ndarray:
+    return (K.mix(prints) & np.uint64(SLOTS - 1)).astype(np.int64)
 
-    A pair is open if its labels differ and its estimate may reach the threshold.
-    A cell holds two blocks; nodes that candidates tie together share blocks.
-    """
-    left, right = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    tied = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
-    areas = components(tied).select(F.col("node").alias("label"), F.col("label").alias("area"))
-    known = nodes.drop("doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(areas, "label", "left")
-    placed = materialise(known.select("node", "hashes", "bits", "n_shingles", F.xxhash64("label").alias("lab"), F.xxhash64(F.coalesce("area", "label")).alias("area")))
-    cuts = placed.groupBy("area").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("cuts")).where("cuts > 1")
-    salt = F.xxhash64("node")
-    block = F.xxhash64("area", F.pmod(salt, F.coalesce("cuts", F.lit(1).cast("long"))))
-    slim = placed.select("node", "lab", "hashes", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    slim = slim.select("node", "lab", F.xxhash64("tree", F.expr(f"substring(hashes, tree * {2 * STRIDE} + 1, {2 * LEAST_PREFIX})")).alias("region"))
-    several = slim.groupBy("region").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).alias("salts")).where("lo <> hi").select("region", "salts")
-    dealt = slim.join(several, "region").select("node", "region", F.pmod(salt, "salts").alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("other"))
-    dealt = dealt.select("node", F.xxhash64("region", F.least("salt", "other"), F.greatest("salt", "other")).alias("cell"))
-    full = dealt.join(placed.join(F.broadcast(cuts), "area", "left").select("node", "bits", F.col("n_shingles").cast("long").alias("n_shingles"), "lab", block.alias("block")), "node")
-    ends = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(_crossing, "x long, y long, node binary, lab long")
-    return ends.select(F.xxhash64("x", "y").alias("cell"), "node", "lab").distinct()
-
-
-def _links(rows: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links of a cell between different labels, as few as tie together what its links tie together."""
-    sets = rows.column("shingles").combine_chunks()
-    values, n = sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
-    owner = np.repeat(np.arange(len(n)), n)
-    _, token, often = np.unique(values, return_inverse=True, return_counts=True)
-    shared = often[token] > 1
-    used, token = np.unique(token[shared], return_inverse=True)
-    owner = owner[shared]
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    common = np.zeros((len(n), len(n)), np.int64)
-    for a in range(0, len(used), COLUMNS):
-        here = slice(*np.searchsorted(token, [a, a + COLUMNS]))
-        has = np.zeros((len(n), min(COLUMNS, len(used) - a)), np.float32)
-        has[owner[here], token[here] - a] = 1
-        common += (has @ has.T).astype(np.int64)
-    lab = rows.column("lab").to_numpy()
-    hit = (100 * common >= percent * (n[:, None] + n - common)) & (lab[:, None] != lab)
-    node, root, out = rows.column("node").to_pylist(), list(range(len(n))), []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(hit, 1)))):
-        if top(i) != top(j):
-            root[top(j)] = top(i)
-            out.append((min(node[i], node[j]), max(node[i], node[j])))
-    return out
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often each of SLOTS hashed shingles is in a set; counted by task, then summed in two steps."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount(_slot(batch.column(0).flatten().to_numpy().view(np.uint64)), minlength=SLOTS)
+        if total.any():
+            salt = int(total.sum() % 61)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in total.reshape(BLOCKS, -1)], pa.binary())], names=["block", "salt", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in group.column("n").to_pylist())
+        return pa.table({"block": group.column("block").slice(0, 1), "salt": pa.array([0], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
 
-def confirm_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between different labels among the nodes of each cell, by their full sets."""
+    schema = "block int, salt int, n binary"
+    summed = sets.select("shingles").mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    out = np.zeros((BLOCKS, SLOTS // BLOCKS), np.int64)
+    for row in summed.toArrow().to_pylist():
+        out[row["block"]] = np.frombuffer(row["n"], np.int64)
+    return out.reshape(-1)
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_cells(batches):
-            cell = rows.column("cell").to_numpy()
-            edge = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)).tolist()
-            links = [x for a, b in zip(edge, edge[1:]) for x in _links(rows.slice(a, b - a), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return cells.join(sets, "node").repartition("cell").sortWithinPartitions("cell").mapInArrow(held, "a binary, b binary").distinct()
+def postings(batch: pa.RecordBatch, counts: np.ndarray, limit: Threshold) -> np.ndarray:
+    """The rarest shingles of every set (node, lab, shingles), as many as it must share one of."""
+    lists = batch.column(2)
+    prints, n = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((prints, counts[_slot(prints)], owner))
+    place = np.arange(len(prints)) - np.repeat(np.cumsum(n) - n, n)
+    # of a set of n shingles, n - ceil(n * percent / 100) + 1 meet every set that is similar enough
+    first = place < (n + (-limit.percent * n // 100) + 1)[owner]
+    rows = owner[first]
+    out = np.zeros(len(rows), _POSTING)
+    out["cell"], out["place"], out["size"] = prints[order][first], place[first], n[rows]
+    out["node"] = _matrix(batch.column(0), 16).view(np.uint64)[rows]
+    out["label"] = batch.column(1).to_numpy()[rows]
+    return out
+
+
+def _dealt(rows: np.ndarray, hot: dict[str, np.ndarray]) -> np.ndarray:
+    """Postings of hot shingles, a copy for every cell of theirs; the others as they are."""
+    if not len(hot["cell"]):
+        return rows
+    near = np.minimum(np.searchsorted(hot["cell"], rows["cell"]), len(hot["cell"]) - 1)
+    is_hot = hot["cell"][near] == rows["cell"]
+    out, rows, near = [rows[~is_hot]], rows[is_hot], near[is_hot]
+    several = hot["rest"][near] > 0
+    rows, near = rows[several], near[several]
+    top = rows["label"] == hot["label"][near]
+    a, b = (np.maximum(1, -(-hot[x][near] // CELL)) for x in ("most", "rest"))
+    salt = K.mix(rows["node"][:, 0] ^ rows["node"][:, 1])
+    own_a, own_b = (salt % a.astype(np.uint64)).astype(np.int64), (salt % b.astype(np.uint64)).astype(np.int64)
+
+    def copies(chosen: np.ndarray, times: np.ndarray, side: int, kind: int, at) -> None:
+        k = times[chosen]
+        if len(chosen):
+            copy = np.repeat(rows[chosen], k)
+            turn = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            x, y = at(np.repeat(chosen, k), turn)
+            copy["cell"] = K.mix(copy["cell"] ^ K.mix((x.astype(np.uint64) << np.uint64(32)) | (y.astype(np.uint64) << np.uint64(1)) | np.uint64(kind)))
+            copy["side"] = side
+            out.append(copy)
+
+    copies(np.flatnonzero(top), b, 1, 0, lambda i, t: (own_a[i], t))
+    copies(np.flatnonzero(~top), a, 2, 0, lambda i, t: (t, own_b[i]))
+    copies(np.flatnonzero(~top), b, 0, 1, lambda i, t: (np.minimum(own_b[i], t), np.maximum(own_b[i], t)))
+    return np.concatenate(out)
+
+
+def _pack(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = (K.mix(rows["cell"]) >> np.uint64(24)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    ends = np.append(edge[1:], len(order))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order[edge]].astype(np.int32)), pa.array([rows[order[a:b]].tobytes() for a, b in zip(edge.tolist(), ends.tolist())], pa.binary())], names=["bucket", "postings"])
+
+
+def meeting(rows: np.ndarray, limit: Threshold) -> np.ndarray:
+    """(smaller node, larger node), as bytes of 32, of the postings of a cell whose components differ and whose places leave enough shingles to share."""
+    rows = rows[np.argsort(rows["cell"], kind="stable")]
+    lead = np.flatnonzero(np.append(True, rows["cell"][1:] != rows["cell"][:-1])) if len(rows) else np.zeros(0, np.int64)
+    many = np.minimum.reduceat(rows["label"], lead) != np.maximum.reduceat(rows["label"], lead) if len(rows) else np.zeros(0, bool)
+    rows = rows[np.repeat(many, np.diff(np.append(lead, len(rows))))]
+    lead = np.flatnonzero(np.append(True, rows["cell"][1:] != rows["cell"][:-1])) if len(rows) else np.zeros(0, np.int64)
+    length = np.diff(np.append(lead, len(rows)))
+    label, size, place, side = (rows[x] for x in ("label", "size", "place", "side"))
+    size, place = size.astype(np.int64), place.astype(np.int64)
+    found = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        fit = (label[i] != label[j]) & ((side[i] == 0) | (side[i] != side[j])) & limit.sizes(size[i], size[j])
+        i, j = i[fit], j[fit]
+        need = limit.overlap(size[i], size[j])
+        fit = (place[i] + need <= size[i]) & (place[j] + need <= size[j])
+        found.append(np.stack([i[fit], j[fit]], 1))
+
+    short = np.repeat(length <= 64, length)
+    cell = np.repeat(np.arange(len(lead)), length)
+    for s in range(1, 64):
+        i = np.flatnonzero((cell[s:] == cell[:-s]) & short[s:])
+        if not len(i):
+            break
+        keep(i, i + s)
+    for a, n in zip(lead[length > 64].tolist(), length[length > 64].tolist()):
+        step = max(1, (1 << 20) // n)
+        for x in range(a, a + n, step):
+            i, j = np.arange(x, min(a + n, x + step)), np.arange(x, a + n)
+            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+            keep(i[i < j], j[i < j])
+    at = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    halves = np.ascontiguousarray(rows["node"]).view(np.uint8).reshape(-1, 16).view(">u8")
+    x, y = at[:, 0], at[:, 1]
+    swap = (halves[x, 0] > halves[y, 0]) | ((halves[x, 0] == halves[y, 0]) & (halves[x, 1] > halves[y, 1]))
+    both = np.ascontiguousarray(np.concatenate([rows["node"][np.where(swap, y, x)], rows["node"][np.where(swap, x, y)]], 1))
+    return np.unique(both.view("V32").reshape(-1)) if len(both) else np.zeros(0, "V32")
+
+
+def unseen_pairs(sets: DataFrame, labels: DataFrame, limit: Threshold) -> DataFrame:
+    """(a, b): every pair of these sets that may reach the threshold and joins different components."""
+    spark = sets.sparkSession
+    small_batches(spark)
+    counts = shingle_counts(sets)
+    shared = spark.sparkContext.broadcast(counts)
+    named = sets.join(labels, "node", "left").select("node", F.xxhash64(F.coalesce("label", "node")).alias("lab"), "shingles")
+    hot = {x: np.zeros(0, np.int64) for x in ("cell", "label", "most", "rest")}
+    limit_of_cold = max(CELL, int(counts.sum()) // MAX_HOT)
+    if int(counts.max(initial=0)) > limit_of_cold:
+
+        def heads(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = postings(batch, shared.value, limit)
+            rows = rows[shared.value[_slot(rows["cell"])] > limit_of_cold]
+            key, n = np.unique(np.stack([rows["cell"].view(np.int64), rows["label"]], 1), axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(n)], names=["cell", "label", "n"])
+
+        by_label = map_batches(named, heads, "cell bigint, label bigint, n bigint").groupBy("cell", "label").agg(F.sum("n").alias("n"))
+        rows = by_label.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("label"), F.max("n").alias("most"), F.sum("n").alias("n")).where(F.col("n") > limit_of_cold).toArrow()  # MAX_HOT at most
+        cell = rows.column("cell").to_numpy().view(np.uint64)
+        order = np.argsort(cell)
+        hot = {"cell": cell[order], "label": rows.column("label").to_numpy()[order], "most": rows.column("most").to_numpy()[order], "rest": (rows.column("n").to_numpy() - rows.column("most").to_numpy())[order]}
+    cells = spark.sparkContext.broadcast(hot)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // (4 * BUCKET) + 1)
+    packed = map_batches(named, lambda batch: _pack(_dealt(postings(batch, shared.value, limit), cells.value), buckets), _PACKED)
+
+    def meet(group: pa.Table) -> pa.Table:
+        both = meeting(np.frombuffer(b"".join(group.column("postings").to_pylist()), _POSTING), limit)
+        raw = np.frombuffer(both.tobytes(), np.uint8).reshape(-1, 2, 16)
+        there = np.ones(len(raw), bool)
+        return pa.table({"a": _fixed(raw[:, 0], there), "b": _fixed(raw[:, 1], there)})
+
+    return packed.groupBy("bucket").applyInArrow(meet, "a binary, b binary").distinct()
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, limit: Threshold) -> DataFrame:
+    """Those pairs whose estimate may reach the threshold."""
+
+    def judged(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(_agree(_matrix(a, HASHES // 2), _matrix(b, HASHES // 2)) >= limit.agree)
+
+    left, right = (nodes.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(F.arrow_udf(judged, "boolean")("bits_a", "bits_b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    limit = Threshold(percent)
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), *signatures(batch.column(1))], names=["doc_id", *_SIGNED.fieldNames()])
 
     signed = materialise(map_batches(source, sign, T.StructType([source.schema["doc_id"], *_SIGNED.fields])))
     nodes = materialise(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("hashes").alias("hashes"), F.first("bits").alias("bits")))
-    pairs = materialise(candidates(nodes))
-    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = F.col("doc_id").cast("long") if dict(source.dtypes)["doc_id"] != "string" else F.xxhash64("doc_id")
-    wanted = nodes.join(touched, "node", "left_semi").select(F.coalesce(ids, F.lit(0)).alias("id"))
-    sets = materialise(full_sets(docs, wanted, doc_id, text).join(touched, "node", "left_semi").dropDuplicates(["node"]))
+    offered = materialise(candidates(nodes, limit))
+    pairs, crowded = offered.where("b IS NOT NULL"), offered.where("b IS NULL").select(F.col("a").alias("node"))
+    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded).distinct()
+    wanted = nodes.join(touched, "node", "left_semi").select(_long_id(source, "doc_id").alias("id"))
+    sets = materialise(full_sets(source, wanted, "doc_id", "text").join(touched, "node", "left_semi").dropDuplicates(["node"]))
     # first each node's two likeliest links; most groups are whole after that
     ends = pairs.select(F.col("a").alias("u"), "a", "b", "agree").union(pairs.select("b", "a", "b", "agree"))
     top = ends.withColumn("rank", F.row_number().over(W.partitionBy("u").orderBy(F.desc("agree"), "a", "b"))).where("rank <= 2").select("a", "b").distinct()
-    links = materialise(confirm(top, sets, percent))
-    labels = components(links)
-    left, right = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    open_pairs = pairs.join(top, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left").where(~(F.col("la").eqNullSafe(F.col("lb")) & F.col("la").isNotNull())).select("a", "b")
-    links = materialise(links.union(confirm(open_pairs, sets, percent)))
-    labels = components(links, labels)
-    # last, every pair of a region that is still open
+    labels = components(materialise(confirm(top, sets, percent)))
+    labels = merged(labels, materialise(confirm(across(pairs.join(top, ["a", "b"], "left_anti"), labels), sets, percent)))
     release()
-    cells = materialise(crossing(nodes, pairs, labels))
-    unseen = materialise(cells.select("node").distinct().join(touched, "node", "left_anti"))
-    if not unseen.isEmpty():
-        wanted = nodes.join(unseen, "node", "left_semi").select(F.coalesce(ids, F.lit(0)).alias("id"))
-        sets = sets.union(full_sets(docs, wanted, doc_id, text).join(unseen, "node", "left_semi").dropDuplicates(["node"]))
-    more = materialise(confirm_cells(cells, sets, percent))
-    if not more.isEmpty():
-        labels = components(links.union(more), labels)
+    if not crowded.isEmpty():
+        dense = sets.join(crowded, "node", "left_semi")
+        unseen = materialise(likely(unseen_pairs(dense, labels, limit), nodes, limit))
+        labels = merged(labels, materialise(confirm(unseen, sets, percent)))
     grouped = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = grouped.join(least, "label").select("node", "component_id")
