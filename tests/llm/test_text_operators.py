@@ -201,6 +201,92 @@ def test_near_duplicates_inside_a_dense_region(spark):
     assert not wrong, f"{len(wrong)} documents wrong"
 
 
+@pytest.mark.parametrize("centres", [40, 500])
+def test_near_duplicates_of_many_centres_of_one_template(spark, centres):
+    """26 members at about 0.77 round each of many centres at about 0.75 of one text: no link is lost as the region grows."""
+    rng = np.random.default_rng(centres)
+    length, members = 200, 26
+    template = np.arange(length)
+    texts, centre_of = [], []
+    for c in range(centres):
+        own = template.copy()
+        spots = rng.choice(length // 8, rng.integers(5, 7), replace=False) * 8 + 4
+        own[spots] = 10**6 + 100 * c + np.arange(len(spots))
+        for m in range(members):
+            t = own.copy()
+            if m:
+                at = rng.choice(length // 8, rng.integers(4, 7), replace=False) * 8 + rng.integers(0, 8)
+                t[at] = 10**8 + 1000 * len(texts) + np.arange(len(at))
+            texts.append(t)
+            centre_of.append(c)
+    n = len(texts)
+    words = np.array(texts)
+    shingles = np.lib.stride_tricks.sliding_window_view(words, 5, axis=1)
+    plain = (shingles == np.lib.stride_tricks.sliding_window_view(template, 5)[None]).all(2).astype(np.float32)
+    size = shingles.shape[1]  # all words of a text differ, so are its shingles
+    need = -(-75 * 2 * size // 175)
+    label = np.arange(n)
+
+    def join(i, j):
+        a, b = label[i], label[j]
+        if a != b:
+            label[label == max(a, b)] = min(a, b)
+
+    for a in range(0, n, 500):
+        for i, j in zip(*np.nonzero(plain[a : a + 500] @ plain.T >= need)):
+            if a + i < j:
+                join(a + i, j)
+    for c in range(centres):
+        rows = np.arange(c * members, (c + 1) * members)
+        for k, i in enumerate(rows):
+            same = (shingles[i][None] == shingles[rows[k + 1 :]]).all(2).sum(1)
+            for j in rows[k + 1 :][same >= need]:
+                join(i, j)
+    order = rng.permutation(n)
+    docs = spark.createDataFrame([(int(order[d]), " ".join(map(str, t))) for d, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    least = {}
+    for d in range(n):
+        least[label[d]] = min(least.get(label[d], n), int(order[d]))
+    wrong = [d for d in range(n) if got[int(order[d])] != least[label[d]]]
+    assert len(least) > centres and not wrong, f"{len(wrong)} of {n} documents wrong, {len(least)} groups"
+
+
+def test_near_duplicates_of_a_hot_shingle(spark, monkeypatch):
+    """Postings dealt in cells give the same links."""
+    monkeypatch.setattr(near_dedup, "CELL", 20)
+    monkeypatch.setattr(near_dedup, "SIDE", 2)
+    r = random.Random(12)
+    docs = []
+    for group in range(3):
+        base = [f"w{i}" if i < 60 else f"g{group}w{i}" for i in range(100)]
+        for _ in range(120):
+            w = list(base)
+            for _ in range(r.choice([1, 3, 5])):
+                w[r.randrange(100)] = f"n{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_groups(docs)
+
+
+def test_near_duplicates_at_other_thresholds(spark):
+    r = random.Random(13)
+    docs = []
+    for group in range(20):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.choice([1, 2, 3, 4])):
+                w[r.randrange(60)] = f"n{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for percent in (50, 90):
+        got = near_dedup.near_duplicates(df, percent=percent).collect()
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_groups(docs, percent)
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(df, percent=30)
+
+
 def test_near_duplicates_on_odd_inputs(odd, none):
     rows = near_dedup.near_duplicates(odd).collect()
     got = {r["doc_id"]: r for r in rows}
