@@ -1,16 +1,25 @@
 """Operator 6, repeated passages of words by recompression.
 
-Rounds of local recompression name runs (x x x) and pairs (x y) of tokens. A
-name is a fingerprint of what it stands for, so every task gives equal content
-the same name with no dictionary to agree on. A token is of the left or the right
-class by its name, and a left one directly before a right one is a pair; so
-what becomes of a token depends on its neighbours only, and equal substrings
-get the same symbols but near their ends. With every symbol go the borders of the words that
-its naming depends on. A window of twenty words is assigned to one symbol of
-the highest round that depends on words of the window alone (the one of least
-fingerprint), hence equal windows to the same symbol. Only windows of a shared
-symbol can be equal; they meet in the symbol's bucket, where an independent
-fingerprint of the whole window verifies them (128 bits together).
+Rounds of recompression name runs (x x x) and pairs (x y) of tokens. A name is a
+mix of the names that it stands for, so every task gives equal content the same name with
+no dictionary to agree on. A token is of the left or the right class by its
+name, and a left one directly before a right one is a pair; so what becomes of
+a token depends on its neighbours only, and equal substrings get the same
+symbols but near their ends. With every symbol go the words that it covers and the borders
+of the words that its naming depends on.
+
+A window of twenty words is assigned to one symbol of the highest round that
+depends on words of the window alone (the least in an order of the names, the
+first of equals), hence equal windows to the same symbol at the same place.
+
+* Naming round: Spark counts the names to which windows are assigned over all
+  documents. A window whose symbol occurs once is unique; the names that occur
+  more often come back as a filter of bounded size (an error of it costs time only).
+* Meeting round: windows of shared symbols travel to the symbol's bucket with
+  their words. There two windows match if they agree in the symbol, in its place
+  and in the words on either side of it; the symbol stands for the words that it covers.
+  Every match is verified word by word on the text itself, and windows
+  that a name put together wrongly are told apart by their words.
 
 The earliest occurrence (doc_id, start) of a window stays; words covered by a
 later one are removed. Windows are judged on the input.
@@ -19,13 +28,14 @@ Defined cases: null and empty texts, and texts under twenty words, have no
 windows; a document without id keeps its words and removes none of others';
 rows that repeat doc_id and text count as one document, rows that
 share a doc_id but not the text as documents of their own, in the order of a
-digest of the text; ids may be of any type that has an order; empty tables give empty
-results.
-
-Scale: equal windows of one batch meet there, so a window in a third of all
-documents sends one row a batch. Bucket rows are packed (8 bytes a window).
-Symbols that a bounded sample of documents shows to be frequent are split by
-window (this changes the routing only). Texts without removals are not shuffled.
+digest of the text; ids may be of any type that has an order; empty tables give
+empty results.
+
+Scale: equal windows of one batch meet there, so a passage in a third of all
+documents sends one copy a batch. The number of buckets follows from the bytes of the
+texts. Names that hold more than a ``HOT`` share of the windows' symbols (so
+a bounded number of them) are chosen last, and windows that have no other are dealt by
+their whole content. Texts without removals are not shuffled.
 """
 
 from __future__ import annotations
@@ -40,17 +50,20 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .common import derived, map_batches, materialise, recounted, rewritten, table
-from .touched import keyed, with_runs
+from .touched import id_filter, keyed, passes, with_runs
 
-WINDOW, ROUNDS = 20, 2
-#: Bytes of text packed at once.
-PART = 3 << 20
-#: Documents sampled to find frequent symbols, and the share of windows that makes one frequent.
-SAMPLE_DOCS, FREQUENT = 4000, 1 / 1000
-#: Buckets for each shuffle partition.
-BUCKETS = 8
+WINDOW, ROUNDS = 20, 3
+#: Bytes of text packed at once; bytes of text for each bucket.
+PART, BUCKET_BYTES = 3 << 20, 8 << 20
+#: Share of all assigned symbols that makes a name hot, and the least count of one.
+HOT, LEAST_HOT = 1 / 2000, 64
+#: Bits of the filter of shared names: 16 a name, between these bounds (8 MB at most).
+FILTER_BITS = (1 << 16, 1 << 26)
 
 _FAR = np.int64(1) << 40
+_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_HALF = np.uint64(1) << np.uint64(63)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def _name(x: np.ndarray, y: np.ndarray, salt: int) -> np.ndarray:
@@ -58,10 +71,10 @@ def _name(x: np.ndarray, y: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Symbols:
-    """Symbols of one round, in order: name, text, borders of the words they depend on."""
+    """Symbols of one round, in order: name, text, words covered (begin, end), borders of the words depended on (low, high)."""
 
-    def __init__(self, name: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray):
-        self.name, self.text, self.low, self.high = name, text, low, high
+    def __init__(self, name: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.name, self.text, self.begin, self.end, self.low, self.high = name, text, begin, end, low, high
 
     def widened(self) -> tuple[np.ndarray, np.ndarray]:
         """Borders that take in both neighbours; past a text's end nothing is known."""
@@ -81,7 +94,7 @@ class Symbols:
         last = np.append(at[1:], n) - 1
         length = last - at + 1
         name = np.where(length > 1, _name(self.name[at], length.astype(np.uint64), salt), self.name[at])
-        return Symbols(name, self.text[at], low[at], high[last])
+        return Symbols(name, self.text[at], self.begin[at], self.end[last], low[at], high[last])
 
     def pairs(self, salt: int) -> "Symbols":
         """Each left-class symbol directly before a right-class one is joined with it."""
@@ -98,96 +111,155 @@ class Symbols:
         at = np.flatnonzero(~second)
         end = at + starts[at]
         name = np.where(starts[at], _name(self.name[at], self.name[end], salt), self.name[at])
-        return Symbols(name, self.text[at], low[at], high[end])
+        return Symbols(name, self.text[at], self.begin[at], self.end[end], low[at], high[end])
 
 
 def rounds(words: K.Words, hashes: np.ndarray) -> list[Symbols]:
     """Symbols of round 0 (the words) to ROUNDS."""
     at = np.arange(len(hashes), dtype=np.int64)
-    out = [Symbols(hashes, words.text, at, at + 1)]
+    out = [Symbols(hashes, words.text, at, at + 1, at, at + 1)]
     for r in range(ROUNDS):
         out.append(out[-1].runs(977 * r + 1).pairs(977 * r + 2))
     return out
 
 
-def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minimum of values[a:b] for each non-empty range, by doubling."""
-    out = np.empty(len(a), values.dtype)
-    size = b - a
-    level = np.zeros(len(a), np.int64)
-    level[size > 0] = np.log2(size[size > 0]).astype(np.int64)
-    row = values
+def _least(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of the first least of rank[a:b] for each non-empty range, by doubling."""
+    out = np.empty(len(a), np.int64)
+    level = np.log2(b - a).astype(np.int64)
+    row = np.arange(len(rank))
     for k in range(int(level.max(initial=0)) + 1):
         here = np.flatnonzero(level == k)
-        out[here] = np.minimum(row[a[here]], row[b[here] - (1 << k)])
+        x, y = row[a[here]], row[b[here] - (1 << k)]
+        out[here] = np.where(rank[y] < rank[x], y, x)
         step = 1 << k
-        row = np.minimum(row[:-step], row[step:]) if len(row) > step else row
+        if len(row) > step:
+            x, y = row[:-step], row[step:]
+            row = np.where(rank[y] < rank[x], y, x)
     return out
 
 
-def anchors(words: K.Words, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The symbol that each window (first word) is assigned to."""
-    out = np.zeros(len(at), np.uint64)
+def anchors(words: K.Words, hashes: np.ndarray, at: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first word, end) of the symbol that each window (first word) is assigned to; ``hot`` names (sorted) come last."""
+    name, begin, end = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    spare = np.zeros(len(at), bool)  # has a hot one only, so far
     todo = np.ones(len(at), bool)
-    for r, s in reversed(list(enumerate(rounds(words, hashes)))):
-        rank = K.mix(s.name ^ np.uint64(0x5851F42D4C957F2D + r))
-        # a symbol's borders grow along the text; unknown ends are beyond every window
+    for r, s in reversed(list(enumerate(rounds(words, hashes)))) if len(at) else ():
+        known = K.mix(s.name ^ np.uint64(0x5851F42D4C957F2D + r))
+        rank = known >> np.uint64(1)
+        if hot is not None and len(hot):
+            near = np.minimum(np.searchsorted(hot, known), len(hot) - 1)
+            rank = np.where(hot[near] == known, rank | _HALF, rank)
+        # a symbol's borders grow along the text; one that depends on a text's end is no window's
         low = np.maximum.accumulate(np.where(s.low < 0, 0, s.low))
-        unknown_low = s.low < 0
         high = np.minimum.accumulate(s.high[::-1])[::-1]
+        rank = np.where((s.low < 0) | (s.high >= _FAR), _LAST, rank)
         i = np.flatnonzero(todo)
         a = np.searchsorted(low, at[i], "left")
         b = np.searchsorted(high, at[i] + WINDOW, "right")
-        if unknown_low.any():  # the first symbols of a text may rank as if they began at word 0 of an earlier one
-            rank = np.where(unknown_low | (s.high >= _FAR), np.uint64(0xFFFFFFFFFFFFFFFF), rank)
-        some = b > a
-        i, a, b = i[some], a[some], b[some]
+        i, a, b = i[b > a], a[b > a], b[b > a]
         if not len(i):
             continue
         got = _least(rank, a, b)
-        known = got != np.uint64(0xFFFFFFFFFFFFFFFF)
-        out[i[known]] = got[known]
-        todo[i[known]] = False
-    return out
+        fit = (rank[got] != _LAST) & ((rank[got] < _HALF) | ~spare[i])
+        i, got = i[fit], got[fit]
+        name[i], begin[i], end[i] = known[got], s.begin[got], s.end[got]
+        spare[i] = rank[got] >= _HALF
+        todo[i[~spare[i]]] = False
+    return name, begin, end
+
 
+class Windows:
+    """All windows of a run of texts: row, first word, assigned symbol and its words; and the words joined by one blank.
 
-def batch_windows(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """(row, first word, symbol, fingerprint) of every window of a batch."""
-    data, offsets = K.string_buffers(column)
-    parts = []
-    for a, _, d, o in K.pieces(data, offsets):
-        w = K.split_words(d, o)
+    Windows whose symbol is ``hot`` are assigned to their next one, if they have one.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None):
+        w = K.split_words(data, offsets)
         h = w.hashes()
-        at, prints = K.windows(w, w.hashes(1), WINDOW, 1)
-        if len(at):
-            parts.append(((w.text[at] + a).astype(np.int32), (at - w.first[w.text[at]]).astype(np.int32), anchors(w, h, at), prints))
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
-def later_ones(symbol: np.ndarray, prints: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Which windows have an equal one of smaller (doc, pos)."""
-    out = np.zeros(len(symbol), bool)
-    key = K.mix(symbol ^ (prints << np.uint64(1)))
+        n = len(h)
+        at = np.flatnonzero(w.text[: n - WINDOW + 1] == w.text[WINDOW - 1 :]) if n >= WINDOW else np.zeros(0, np.int64)
+        self.at, self.row, self.hashes = at, w.text[at], h
+        self.pos = at - w.first[self.row]
+        self.name, self.begin, self.end = anchors(w, h, at)
+        self.first = self.name  # the choice without regard to hot names
+        if hot is not None and len(hot) and (crowded := np.flatnonzero(np.isin(self.name, hot))).size:
+            self.name = self.name.copy()
+            self.name[crowded], self.begin[crowded], self.end[crowded] = anchors(w, h, at[crowded], hot)
+        size = w.end - w.start
+        self.start = np.zeros(n + 1, np.int64)
+        np.cumsum(size + 1, out=self.start[1:])
+        self.raw = np.full(int(self.start[-1]), 0x20, np.uint8)
+        inside = np.ones(len(self.raw), bool)
+        inside[self.start[1:] - 1] = False
+        self.raw[inside] = data[np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def keys(name: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """What a window is known by: its symbol, the symbol's place, and the words before and behind it (numbers of words)."""
+    before, behind = K.runs_hash(hashes, at, begin, 0), K.runs_hash(hashes, end, at + WINDOW, 1)
+    return K.mix(name ^ K.mix(before ^ K.mix(behind + ((begin - at) * 64 + (end - begin)).astype(np.uint64))))
+
+
+def _bytes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def later_ones(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, at: np.ndarray, raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows have an equal one of smaller (doc, pos).
+
+    ``key`` puts windows together; ``at`` is a window's first word, ``raw`` and
+    ``start`` the words joined by one blank. Every match is verified on ``raw``.
+    """
+    out = np.zeros(len(key), bool)
     s = np.sort(key)
     twice = s[1:][s[1:] == s[:-1]]
     if not len(twice):
         return out
     twice = twice[np.append(True, twice[1:] != twice[:-1])]
-    near = np.searchsorted(twice, key)
-    near[near == len(twice)] = 0
+    near = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
     rows = np.flatnonzero(twice[near] == key)
-    order = rows[np.lexsort((pos[rows], doc[rows], prints[rows], symbol[rows]))]
-    new = np.ones(len(order), bool)
-    new[1:] = (symbol[order][1:] != symbol[order][:-1]) | (prints[order][1:] != prints[order][:-1])
-    lead = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    first_doc, first_pos = doc[order][lead][group], pos[order][lead][group]
-    out[order] = (doc[order] != first_doc) | (pos[order] != first_pos)
+    order = rows[np.lexsort((pos[rows], doc[rows], key[rows]))]
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = _verified(order, lead, at, raw, start)
+    wrong = np.isin(key[order], key[order][~same])
+    good = ~wrong & ((doc[order] != doc[lead]) | (pos[order] != pos[lead]))
+    out[order[good]] = True
+    first: dict[tuple[int, bytes], tuple[int, int]] = {}
+    for i in order[wrong].tolist():  # a key that stands for several contents: by the words, in the order of (doc, pos)
+        words = (int(key[i]), raw[start[at[i]] : start[at[i] + WINDOW]].tobytes())
+        mine = (int(doc[i]), int(pos[i]))
+        out[i] = first.setdefault(words, mine) != mine
     return out
 
 
+def _verified(one: np.ndarray, two: np.ndarray, at: np.ndarray, raw: np.ndarray, start: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
+    """Whether the windows ``one`` and ``two`` have the same words; matches in a row are compared once."""
+    same = np.ones(len(one), bool)
+    rows = np.flatnonzero(one != two)
+    rows = rows[np.argsort(at[one[rows]], kind="stable")]
+    a, b = at[one[rows]], at[two[rows]]
+    cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1))) if len(rows) else np.zeros(0, np.int64)
+    length = np.diff(np.append(cut, len(rows)))
+    fits = np.zeros(len(cut), bool)
+    size = start[a[cut] + length + WINDOW - 1] - start[a[cut]]
+    other = start[b[cut] + length + WINDOW - 1] - start[b[cut]]
+    equal = np.flatnonzero(size == other)
+    part = (np.cumsum(size[equal]) - 1) // chunk
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(equal) else np.zeros(0, np.int64)
+    for x, y in zip(edge.tolist(), np.append(edge[1:], len(equal)).tolist()):
+        e = equal[x:y]
+        differ = _bytes(raw, start[a[cut[e]]], size[e]) != _bytes(raw, start[b[cut[e]]], size[e])
+        fits[e] = np.add.reduceat(differ, np.cumsum(size[e]) - size[e]) == 0
+    for k in np.flatnonzero(~fits).tolist():  # some window of the row differs: each by itself
+        for i in range(cut[k], cut[k] + length[k]):
+            x, y = a[i], b[i]
+            same[rows[i]] = raw[start[x] : start[x + WINDOW]].tobytes() == raw[start[y] : start[y + WINDOW]].tobytes()
+    return same
+
+
 def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """(id, [first, windows, ...]) rows from windows sorted by (doc, pos)."""
     if not len(doc):
@@ -201,46 +273,67 @@ def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(owner[new]), pa.ListArray.from_arrays(pa.array((2 * np.append(new, len(owner))).astype(np.int32)), pa.array(flat))
 
 
-_PACKED = "bucket int, segments binary, prints binary"
-_SEGMENT = np.dtype([("symbol", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("count", "<i4")])
+_PACKED = "bucket int, segments binary, words binary, size bigint"
+#: ``count`` windows from word ``pos`` on that are assigned to the symbol of ``length`` words that begins ``place`` words from ``pos``.
+_SEGMENT = np.dtype([("name", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("count", "<i4"), ("place", "<i4"), ("length", "<i4")])
 
 
-def pack(batch: pa.RecordBatch, buckets: int, frequent: np.ndarray) -> pa.RecordBatch:
-    """One row a bucket: segments (symbol, doc, first, count) and the fingerprints of their windows; negative buckets hold what is later within the batch."""
+def _settled(doc: np.ndarray, pos: np.ndarray, buckets: int) -> tuple[int, bytes, bytes, int]:
+    """A row of windows that are known to be later ones; it goes to a negative bucket."""
+    order = np.lexsort((pos, doc))
+    d, p = doc[order], pos[order]
+    cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)))
+    seg = np.zeros(len(cut), _SEGMENT)
+    seg["doc"], seg["pos"], seg["count"] = d[cut], p[cut], np.diff(np.append(cut, len(d)))
+    return -1 - int(seg["doc"][0] % buckets), seg.tobytes(), b"", 0
+
+
+def pack(batch: pa.RecordBatch, buckets: int, hot: np.ndarray, shared: tuple[int, np.ndarray]) -> pa.RecordBatch:
+    """One row a bucket: segments and their words. Only windows of ``shared`` symbols travel; negative buckets hold what is later within the batch."""
     ids = batch.column(0)
-    row, pos, symbol, prints = batch_windows(batch.column(1))
-    known = ids.is_valid().to_numpy(zero_copy_only=False)[row]
-    row, pos, symbol, prints = row[known], pos[known], symbol[known], prints[known]
-    doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-    if len(frequent):
-        hot = np.isin(symbol, frequent)
-        symbol = np.where(hot, K.mix(symbol ^ prints), symbol)
-    late = later_ones(symbol, prints, doc, pos)
+    known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data, offsets = K.string_buffers(batch.column(1))
     out = []
-    if late.any():
-        order = np.lexsort((pos[late], doc[late]))
-        d, p = doc[late][order], pos[late][order]
-        cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)))
+    for first, _, d, o in K.pieces(data, offsets):
+        w = Windows(d, o, hot)
+        keep = known[w.row + first] & passes(pa.array(w.first.view(np.int64)), *shared)
+        at, row, pos, name, begin, end = (x[keep] for x in (w.at, w.row, w.pos, w.name, w.begin, w.end))
+        if not len(at):
+            continue
+        doc = ids[row + first]
+        key = keys(name, at, begin, end, w.hashes)
+        late = later_ones(key, doc, pos, at, w.raw, w.start)
+        if late.any():
+            out.append(_settled(doc[late], pos[late], buckets))
+        at, row, pos, name, begin, end, doc, key = (x[~late] for x in (at, row, pos, name, begin, end, doc, key))
+        if not len(at):
+            continue
+        route = name
+        if len(hot):
+            near = np.minimum(np.searchsorted(hot, name), len(hot) - 1)
+            route = np.where(hot[near] == name, key, name)
+        cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (begin[1:] != begin[:-1]) | (end[1:] != end[:-1]) | (route[1:] != route[:-1])))
         seg = np.zeros(len(cut), _SEGMENT)
-        seg["doc"], seg["pos"], seg["count"] = d[cut], p[cut], np.diff(np.append(cut, len(d)))
-        out.append((-1 - int(seg["doc"][0] % buckets), seg.tobytes(), b""))
-    row, pos, symbol, prints, doc = row[~late], pos[~late], symbol[~late], prints[~late], doc[~late]
-    if len(row):
-        start = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (symbol[1:] != symbol[:-1])))
-        seg = np.zeros(len(start), _SEGMENT)
-        seg["symbol"], seg["doc"], seg["pos"], seg["count"] = symbol[start], doc[start], pos[start], np.diff(np.append(start, len(row)))
-        bucket = ((seg["symbol"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+        seg["name"], seg["doc"], seg["pos"], seg["count"] = name[cut], doc[cut], pos[cut], np.diff(np.append(cut, len(at)))
+        seg["place"], seg["length"] = (begin - at)[cut], (end - begin)[cut]
+        bucket = ((K.mix(route[cut]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        seg, bucket, start = seg[order], bucket[order], start[order]
-        counts = seg["count"].astype(np.int64)
-        before = np.cumsum(counts) - counts
-        prints = prints[np.repeat(start - before, counts) + np.arange(int(counts.sum()))]
-        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist()):
-            e = before[b - 1] + counts[b - 1]
-            out.append((int(bucket[a]), seg[a:b].tobytes(), prints[before[a] : e].tobytes()))
-    b, s, p = zip(*out) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(s, pa.binary()), pa.array(p, pa.binary())], names=["bucket", "segments", "prints"])
+        begins, size = w.start[at[cut]], w.start[at[cut] + seg["count"] + WINDOW - 1] - w.start[at[cut]]
+        edge = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+        for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist()):
+            rows = order[a:b]
+            raw = _bytes(w.raw, begins[rows], size[rows])
+            out.append((int(bucket[rows[0]]), seg[rows].tobytes(), _ZSTD.compress(raw.tobytes(), asbytes=True), len(raw)))
+    b, s, p, n = zip(*out) if out else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(s, pa.binary()), pa.array(p, pa.binary()), pa.array(n, pa.int64())], names=["bucket", "segments", "words", "size"])
+
+
+def _word_hashes(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Fingerprints of words joined by one blank, some at a time."""
+    out = np.empty(len(start) - 1, np.uint64)
+    for a, b, d, o in K.pieces(raw, start):
+        out[a:b] = K.runs_hash(K._letters(0)[d], o[:-1], o[1:] - 1, 0)
+    return out
 
 
 def _settle(group: pa.Table) -> pa.Table:
@@ -250,42 +343,46 @@ def _settle(group: pa.Table) -> pa.Table:
     within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     doc, pos = np.repeat(seg["doc"], count), np.repeat(seg["pos"].astype(np.int64), count) + within
     if group.column("bucket")[0].as_py() >= 0:
-        prints = np.frombuffer(b"".join(group.column("prints").to_pylist()), np.uint64)
-        late = later_ones(np.repeat(seg["symbol"], count), prints, doc, pos)
+        raw = np.frombuffer(b"".join(pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(group.column("words").to_pylist(), group.column("size").to_pylist())), np.uint8)
+        start = np.append(0, np.flatnonzero(raw == 0x20) + 1)
+        own = count + WINDOW - 1
+        first = np.repeat(np.cumsum(own) - own, count)
+        at, begin = first + within, first + np.repeat(seg["place"].astype(np.int64), count)
+        key = keys(np.repeat(seg["name"], count), at, begin, begin + np.repeat(seg["length"].astype(np.int64), count), _word_hashes(raw, start))
+        late = later_ones(key, doc, pos, at, raw, start)
         doc, pos = doc[late], pos[late]
     order = np.lexsort((pos, doc))
     ids, runs = _runs(doc[order], pos[order])
     return pa.table({"id": ids, "runs": runs})
 
 
-def frequent_symbols(docs: DataFrame) -> np.ndarray:
-    """Symbols with more than a FREQUENT share of the windows in a bounded sample of documents (1/FREQUENT of them at most)."""
-    n = docs.count()
-    if not n:
-        return np.zeros(0, np.uint64)
+def shared_names(docs: DataFrame) -> tuple[tuple[int, np.ndarray], np.ndarray]:
+    """The naming round: a filter of the names to which windows of several places are assigned, and the hot ones (1/HOT at most), sorted."""
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, symbol, _ = batch_windows(batch.column(0))
-        s, c = np.unique(symbol, return_counts=True)
-        top = c > max(1, FREQUENT / 8 * len(symbol))
-        return pa.RecordBatch.from_arrays([pa.array(np.append(s[top].view(np.int64), 0)), pa.array(np.append(c[top], 0)), pa.array(np.append(np.zeros(top.sum(), np.int64), len(symbol)))], names=["symbol", "n", "all"])
+    def names(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for _, _, d, o in K.pieces(*K.string_buffers(batch.column(0))):
+            w = Windows(d, o)
+            cut = np.append(True, (w.begin[1:] != w.begin[:-1]) | (w.name[1:] != w.name[:-1])) if len(w.at) else np.zeros(0, bool)
+            found.append(w.name[cut])
+        name, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], names=["id", "n"])
 
-    drawn = docs.sample(min(1.0, SAMPLE_DOCS / n), 7).select("text")
-    counted = map_batches(drawn, count, "symbol bigint, n bigint, all bigint", ("text", PART)).groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
-    rows = counted.orderBy(F.desc("all"), F.desc("n")).limit(int(1 / FREQUENT) + 1).toArrow()
-    total = max(1, int(np.sum(rows.column("all").to_numpy())))
-    n, s = rows.column("n").to_numpy(), rows.column("symbol").to_numpy()
-    return s[n > FREQUENT * total].view(np.uint64)
+    counted = map_batches(docs.where("id IS NOT NULL").select("text"), names, "id bigint, n bigint", ("text", PART)).groupBy("id").agg(F.sum("n").alias("n")).where("n > 1")
+    several = materialise(counted)
+    total = several.agg(F.sum("n")).first()[0] or 0
+    hot = several.where(F.col("n") > max(LEAST_HOT, int(HOT * total))).select("id").toArrow().column("id").to_numpy().view(np.uint64)
+    return id_filter(several.select("id"), bounds=FILTER_BITS), np.sort(hot)
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, runs): for each document with later windows, [first window, number of windows, ...]; checkpointed."""
-    thin = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    thin = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * parts
-    shared = spark.sparkContext.broadcast(frequent_symbols(thin))
-    packed = map_batches(thin, lambda batch: pack(batch, buckets, shared.value), _PACKED, ("text", PART))
+    size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
+    context = spark.sparkContext.broadcast(shared_names(thin))
+    packed = map_batches(thin, lambda batch: pack(batch, buckets, context.value[1], context.value[0]), _PACKED, ("text", PART))
     return materialise(packed.groupBy("bucket").applyInArrow(_settle, "id bigint, runs array<bigint>"))
 
 

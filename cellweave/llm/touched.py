@@ -14,10 +14,10 @@ from .common import fresh, materialise, small_batches
 BITS = (1 << 16, 1 << 24)
 
 
-def id_filter(ids: DataFrame, column: str = "id") -> tuple[int, np.ndarray]:
+def id_filter(ids: DataFrame, column: str = "id", bounds: tuple[int, int] = BITS) -> tuple[int, np.ndarray]:
     """A one-hash filter of bounded size over long ids: no false negatives."""
-    n, m = ids.count(), BITS[0]
-    while m < 16 * n and m < BITS[1]:
+    n, m = ids.count(), bounds[0]
+    while m < 16 * n and m < bounds[1]:
         m *= 2
     bit = F.col(column).bitwiseXOR(F.shiftright(column, 17)).bitwiseAND(m - 1)
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()

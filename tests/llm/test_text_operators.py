@@ -337,11 +337,48 @@ def test_recompression_names_equal_substrings_alike():
         inside = (top.low >= 25) & (top.high <= 85)
         found.append(top.name[inside].tolist())
         at = np.arange(25, 25 + 41)
-        found.append(substring_dedup.anchors(w, h, at).tolist())
+        name, begin, end = substring_dedup.anchors(w, h, at)
+        assert ((at <= begin) & (end <= at + substring_dedup.WINDOW)).all()
+        found.append(np.stack([name.astype(object), begin - at, end - at]).tolist())
     assert found[0] == found[2] and len(found[0]) > 10
     assert found[1] == found[3]
 
 
+def _window_columns(texts):
+    w = substring_dedup.Windows(*K.string_buffers(pa.array(texts)))
+    return w, substring_dedup.keys(w.name, w.at, w.begin, w.end, w.hashes)
+
+
+def test_windows_are_known_by_their_symbols_and_verified_by_their_words(monkeypatch):
+    """Without the symbols' names different windows share a key; the words still tell them apart."""
+    r = random.Random(21)
+    parts = [[f"t{r.randrange(6)}" for _ in range(30)] for _ in range(6)]
+    texts = [" ".join(sum((r.choice(parts) for _ in range(5)), [])) for _ in range(40)]
+    base = [f"b{i}" for i in range(22)]
+    texts += [" ".join(f"v{v}" if i == k else x for i, x in enumerate(base)) for k in range(22) for v in range(30)]
+    w, key = _window_columns(texts)
+    content = [w.raw[w.start[i] : w.start[i + substring_dedup.WINDOW]].tobytes() for i in w.at.tolist()]
+    assert len(set(key.tolist())) == len(set(content))
+    first, late = {}, []
+    for c, row, pos in zip(content, w.row.tolist(), w.pos.tolist()):
+        late.append(first.setdefault(c, (row, pos)) != (row, pos))
+    assert substring_dedup.later_ones(key, w.row, w.pos, w.at, w.raw, w.start).tolist() == late
+    blind = substring_dedup.keys(np.zeros_like(w.name), w.at, w.begin, w.end, w.hashes)
+    assert len(set(blind.tolist())) < len(set(content))
+    same = np.zeros(len(key), np.uint64)
+    for names in (blind, same):
+        assert substring_dedup.later_ones(names, w.row, w.pos, w.at, w.raw, w.start).tolist() == late
+
+
+def test_substring_dedup_with_hot_symbols(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LEAST_HOT", 2)
+    monkeypatch.setattr(substring_dedup, "HOT", 1e-9)
+    r = random.Random(22)
+    docs = [(i, " ".join(f"p{r.randrange(3)}" for _ in range(r.randrange(60)))) for i in range(40)] + [(50 + i, "a b " * 30 + f"tail{i % 2} " * 20) for i in range(6)]
+    got = substring_dedup.digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got.collect()} == brute_words(docs)
+
+
 def test_substring_dedup_on_odd_inputs(odd, none):
     rows = substring_dedup.digests(odd).collect()
     got = {r["doc_id"]: r for r in rows}
