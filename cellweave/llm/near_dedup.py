@@ -45,9 +45,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import textkit as K
-from .common import fresh, map_batches, materialise, release, small_batches, table
+from .common import map_batches, materialise, release, small_batches, table
 from .components import components, merged
-from .touched import id_filter, passes
+from .touched import id_filter, passes, without
 
 SHINGLE, HASHES, TREES, STRIDE, DEPTH = 5, 120, 24, 5, 12
 #: Rows on either side that a node is held against; candidates that a node of a dense region keeps in an order.
@@ -483,9 +483,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays."""
-    key = fresh("__cw_gone", docs.columns)
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    return without(docs, "doc_id", near_duplicates(docs).where("NOT kept").select("doc_id"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

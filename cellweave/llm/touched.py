@@ -70,3 +70,13 @@ def with_runs(docs: DataFrame, doc_id: str, runs: DataFrame) -> tuple[DataFrame,
     hit, free = split(docs, doc_id, runs.select("id").distinct())
     joined = hit.join(by_id, F.col(doc_id) == F.col(key), "left").select(*docs.columns, name)
     return joined.unionByName(free.withColumn(name, F.lit(None).cast("array<bigint>"))), name
+
+
+def without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose id is in ``gone`` (one column of the ids' type, without nulls); only rows that may be gone are shuffled."""
+    own = F.col(f"`{doc_id}`")
+    digest, key = fresh("__cw_digest", docs.columns), fresh("__cw_gone", docs.columns)
+    gone = materialise(gone.toDF(key).distinct())
+    hit, free = split(docs.withColumn(digest, F.xxhash64(own)), digest, gone.select(F.xxhash64(key).alias("id")))
+    left = hit.join(gone, own == F.col(key), "left_anti")
+    return left.unionByName(free).drop(digest)
