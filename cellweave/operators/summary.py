@@ -66,3 +66,8 @@ def spearman(df: DataFrame, x: str, y: str, min_overlap: int = 100) -> DataFrame
 
     ranked = both.join(ranks(x), x).join(ranks(y), y)
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= min_overlap, F.corr(f"rank_{x}", f"rank_{y}")).alias("rho"))
+
+
+def slope_summary(samples: DataFrame, cell: str, slope: str) -> DataFrame:
+    """(cell, n, slope_mean, slope_q90): known pixel slopes by cell, the quantile exact."""
+    return samples.groupBy(cell).agg(F.count(slope).alias("n"), F.avg(slope).alias("slope_mean"), F.percentile(slope, F.lit(0.9)).alias("slope_q90"))

@@ -391,12 +391,6 @@ def membership_filter_scan(spark, d):
 # --- leaves and audits --------------------------------------------------------
 
 
-@query(None)
-def quadratic_curvature(spark, d):
-    v = values(spark, d).withColumns({"x": (F.col("node") % 10).cast("double"), "y": F.expr("cast(node div 10 as double)")})
-    return rounded(fits.curvature(graph.neighbourhoods(nodes(spark, d), lattice(spark, d), 2), v, 2))
-
-
 @query(None)
 def canonical_records_with_lineage(spark, d):
     return fits.canonical_records(points(spark, d), 150.0, ["class"])
