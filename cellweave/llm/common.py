@@ -69,7 +69,7 @@ def recounted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: Bytes of an Arrow batch between the JVM and Python: both sides hold a few per task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

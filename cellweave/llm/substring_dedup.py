@@ -33,14 +33,15 @@ empty results.
 
 Scale: equal windows of one batch meet there, so a passage in a third of all
 documents sends one copy a batch. The number of buckets follows from the bytes of the
-texts. Names that hold more than a ``HOT`` share of the windows' symbols (so
-a bounded number of them) are chosen last, and windows that have no other are dealt by
+texts. Names that come more often than once in 1/HOT bytes of text (so a bounded
+number of them) are chosen last, and windows that have no other are dealt by
 their whole content. Texts without removals are not shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +50,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import derived, map_batches, materialise, recounted, rewritten, table
-from .touched import id_filter, keyed, passes, with_runs
+from .common import derived, map_batches, materialise, recounted, rewritten, slices, small_batches, table
+from .touched import keyed, with_runs
 
 WINDOW, ROUNDS = 20, 3
-#: Bytes of text packed at once; bytes of text for each bucket.
-PART, BUCKET_BYTES = 3 << 20, 8 << 20
-#: Share of all assigned symbols that makes a name hot, and the least count of one.
-HOT, LEAST_HOT = 1 / 2000, 64
-#: Bits of the filter of shared names: 16 a name, between these bounds (8 MB at most).
-FILTER_BITS = (1 << 16, 1 << 26)
+#: Bytes of text packed at once, and looked at together.
+PART, CHUNK = 3 << 20, 1 << 19
+#: Bytes of text for each bucket of windows, and of names; names that a task holds before it sends them.
+BUCKET_BYTES, NAMING_BYTES, NAMES_HELD = 8 << 20, 32 << 20, 1 << 20
+#: A name is hot if it comes more often than once in so many bytes of text, and the least count of one.
+HOT, LEAST_HOT = 1 / 100_000, 64
+#: Size of the filter of shared names: two to these powers bits, half a bit a byte of text in between (8 MB at most).
+FILTER_BITS = (16, 26)
 
 _FAR = np.int64(1) << 40
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -175,7 +178,7 @@ class Windows:
     Windows whose symbol is ``hot`` are assigned to their next one, if they have one.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None, words: bool = True):
         w = K.split_words(data, offsets)
         h = w.hashes()
         n = len(h)
@@ -187,6 +190,8 @@ class Windows:
         if hot is not None and len(hot) and (crowded := np.flatnonzero(np.isin(self.name, hot))).size:
             self.name = self.name.copy()
             self.name[crowded], self.begin[crowded], self.end[crowded] = anchors(w, h, at[crowded], hot)
+        if not words:
+            return
         size = w.end - w.start
         self.start = np.zeros(n + 1, np.int64)
         np.cumsum(size + 1, out=self.start[1:])
@@ -288,15 +293,15 @@ def _settled(doc: np.ndarray, pos: np.ndarray, buckets: int) -> tuple[int, bytes
     return -1 - int(seg["doc"][0] % buckets), seg.tobytes(), b"", 0
 
 
-def pack(batch: pa.RecordBatch, buckets: int, hot: np.ndarray, shared: tuple[int, np.ndarray]) -> pa.RecordBatch:
+def pack(batch: pa.RecordBatch, buckets: int, hot: np.ndarray, shared: "Shared") -> pa.RecordBatch:
     """One row a bucket: segments and their words. Only windows of ``shared`` symbols travel; negative buckets hold what is later within the batch."""
     ids = batch.column(0)
     known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     data, offsets = K.string_buffers(batch.column(1))
     out = []
-    for first, _, d, o in K.pieces(data, offsets):
+    for first, _, d, o in K.pieces(data, offsets, CHUNK):
         w = Windows(d, o, hot)
-        keep = known[w.row + first] & passes(pa.array(w.first.view(np.int64)), *shared)
+        keep = known[w.row + first] & shared.passes(w.first)
         at, row, pos, name, begin, end = (x[keep] for x in (w.at, w.row, w.pos, w.name, w.begin, w.end))
         if not len(at):
             continue
@@ -356,23 +361,73 @@ def _settle(group: pa.Table) -> pa.Table:
     return pa.table({"id": ids, "runs": runs})
 
 
-def shared_names(docs: DataFrame) -> tuple[tuple[int, np.ndarray], np.ndarray]:
-    """The naming round: a filter of the names to which windows of several places are assigned, and the hot ones (1/HOT at most), sorted."""
+def _names(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
+    """Per task, a row a bucket: the distinct names to which windows are assigned, and how often; a bucket holds a range of slots."""
+    held: list[np.ndarray] = []
 
-    def names(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for _, _, d, o in K.pieces(*K.string_buffers(batch.column(0))):
-            w = Windows(d, o)
-            cut = np.append(True, (w.begin[1:] != w.begin[:-1]) | (w.name[1:] != w.name[:-1])) if len(w.at) else np.zeros(0, bool)
-            found.append(w.name[cut])
-        name, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], names=["id", "n"])
-
-    counted = map_batches(docs.where("id IS NOT NULL").select("text"), names, "id bigint, n bigint", ("text", PART)).groupBy("id").agg(F.sum("n").alias("n")).where("n > 1")
-    several = materialise(counted)
-    total = several.agg(F.sum("n")).first()[0] or 0
-    hot = several.where(F.col("n") > max(LEAST_HOT, int(HOT * total))).select("id").toArrow().column("id").to_numpy().view(np.uint64)
-    return id_filter(several.select("id"), bounds=FILTER_BITS), np.sort(hot)
+    def counted() -> pa.RecordBatch:
+        name, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (_slots(name) >> np.uint64(shift)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        name, n, bucket = name[order], np.minimum(n[order], 0xFFFFFFFF).astype(np.uint32), bucket[order]
+        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        cuts = list(zip(edge.tolist(), np.append(edge[1:], len(bucket)).tolist()))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array([name[x:y].tobytes() for x, y in cuts], pa.binary()), pa.array([n[x:y].tobytes() for x, y in cuts], pa.binary())], names=["bucket", "names", "counts"])
+
+    for batch in batches:
+        for part in slices(batch, 0, PART):
+            for _, _, d, o in K.pieces(*K.string_buffers(part.column(0)), CHUNK):
+                w = Windows(d, o, words=False)
+                if len(w.at):
+                    held.append(w.name[np.append(True, (w.begin[1:] != w.begin[:-1]) | (w.name[1:] != w.name[:-1]))])
+        if sum(map(len, held)) > NAMES_HELD:
+            yield counted()
+            held.clear()
+    if held:
+        yield counted()
+
+
+def _slots(name: np.ndarray) -> np.ndarray:
+    """32 bits of every name; the filter takes the first of them."""
+    return K.mix(name) >> np.uint64(32)
+
+
+def shared_names(docs: DataFrame, size: int) -> tuple["Shared", np.ndarray]:
+    """The naming round over texts of ``size`` bytes: a filter of the names to which windows of several places are assigned, and the hot ones, sorted."""
+    bits = FILTER_BITS[0]
+    while bits < FILTER_BITS[1] and 1 << bits < size // 2:
+        bits += 1
+    spread = 6
+    while spread < bits - 6 and NAMING_BYTES << spread < size:
+        spread += 1
+    shift, limit = 32 - spread, max(LEAST_HOT, int(HOT * size))
+
+    def meet(group: pa.Table) -> pa.Table:
+        name, at = np.unique(np.frombuffer(b"".join(group.column("names").to_pylist()), np.uint64), return_inverse=True)
+        n = np.bincount(at, np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32), len(name))
+        inner = (_slots(name[n > 1]) >> np.uint64(32 - bits)) & np.uint64((1 << (bits - spread)) - 1)
+        block = np.zeros(1 << (bits - spread - 3), np.uint8)
+        np.bitwise_or.at(block, (inner >> np.uint64(3)).astype(np.int64), np.uint8(1) << (inner & np.uint64(7)).astype(np.uint8))
+        return pa.table({"bucket": group.column("bucket").slice(0, 1), "block": pa.array([block.tobytes()], pa.binary()), "hot": pa.array([name[n > limit].tobytes()], pa.binary())})
+
+    small_batches(docs.sparkSession)
+    named = docs.where("id IS NOT NULL").select("text").mapInArrow(lambda batches: _names(batches, shift), "bucket int, names binary, counts binary")
+    found = named.groupBy("bucket").applyInArrow(meet, "bucket int, block binary, hot binary").toArrow().to_pylist()  # the filter and at most 1/HOT names
+    words = np.zeros((1 << spread, 1 << (bits - spread - 3)), np.uint8)
+    for row in found:
+        words[row["bucket"]] = np.frombuffer(row["block"], np.uint8)
+    return Shared(bits, words.reshape(-1)), np.sort(np.frombuffer(b"".join(row["hot"] for row in found), np.uint64))
+
+
+class Shared:
+    """A one-hash filter of names: no false negatives."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    def passes(self, name: np.ndarray) -> np.ndarray:
+        bit = _slots(name) >> np.uint64(32 - self.bits)
+        return ((self.words[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -381,8 +436,8 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     spark = docs.sparkSession
     size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
-    context = spark.sparkContext.broadcast(shared_names(thin))
-    packed = map_batches(thin, lambda batch: pack(batch, buckets, context.value[1], context.value[0]), _PACKED, ("text", PART))
+    shared = spark.sparkContext.broadcast(shared_names(thin, size))
+    packed = map_batches(thin, lambda batch: pack(batch, buckets, shared.value[1], shared.value[0]), _PACKED, ("text", PART))
     return materialise(packed.groupBy("bucket").applyInArrow(_settle, "id bigint, runs array<bigint>"))
 
 
