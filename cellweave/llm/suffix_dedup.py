@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import derived, map_batches, materialise, release, rewritten, table
+from .common import derived, gathered, map_batches, materialise, release, rewritten, small_batches, table
 from .touched import keyed, with_runs
 
 LENGTH, GRAM = 50, 12
@@ -117,8 +117,21 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
-def _same_later(gram: np.ndarray, prints: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which segments have an equal one in a smaller document."""
+def _same_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
+    """Whether the runs of ``size`` bytes at ``one`` and ``two`` are equal, some at a time."""
+    out = np.ones(len(one), bool)
+    part = (np.cumsum(size) - 1) // chunk
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(one) else np.zeros(0, np.int64)
+    for a, b in zip(edge.tolist(), np.append(edge[1:], len(one)).tolist()):
+        n = size[a:b]
+        differ = _gather(data, one[a:b], n) != _gather(data, two[a:b], n)
+        if differ.any():
+            out[a:b] = np.add.reduceat(differ, np.cumsum(n) - n) == 0
+    return out
+
+
+def _same_later(gram: np.ndarray, prints: np.ndarray, doc: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which segments have an equal one in a smaller document: found by fingerprint, verified byte by byte."""
     out = np.zeros(len(gram), bool)
     key = K.mix(gram ^ (prints << np.uint64(1)))
     s = np.sort(key)
@@ -127,7 +140,10 @@ def _same_later(gram: np.ndarray, prints: np.ndarray, doc: np.ndarray) -> np.nda
         rows = np.flatnonzero(np.isin(key, twice))
         order = rows[np.lexsort((doc[rows], prints[rows], gram[rows]))]
         new = np.append(True, (gram[order][1:] != gram[order][:-1]) | (prints[order][1:] != prints[order][:-1]))
-        out[order] = doc[order] != doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = (doc[order] != doc[lead]) & (size[order] == size[lead])
+        order, lead = order[later], lead[later]
+        out[order] = _same_bytes(data, start[order], start[lead], size[order])
     return out
 
 
@@ -175,7 +191,7 @@ def pack(batch: pa.RecordBatch, buckets: int, frequent: np.ndarray) -> pa.Record
     start, count, gram, prints_, row = start[keep], count[keep], gram[keep], prints_[keep], row[keep]
     head = np.zeros(len(start), _HEAD)
     head["gram"], head["doc"], head["pos"], head["count"], head["offset"], head["several"] = gram, doc_of[row], start - offsets[row], count, place[keep], several[keep]
-    late = _same_later(gram, prints_, head["doc"])
+    late = _same_later(gram, prints_, head["doc"], data, start, count + LENGTH - 1)
     out = []
     if late.any():
         settled = head[late]
@@ -332,6 +348,17 @@ def settle(head: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     by = np.lexsort((head["doc"][rows], b, a, gram[rows]))
     rows, a, b = rows[by], a[by], b[by]
     new = np.append(True, (gram[rows][1:] != gram[rows][:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    # equal fingerprints are verified byte by byte; one that differs is a content of its own
+    lead = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    follow = np.flatnonzero(~new)
+    same = size[rows[follow]] == size[lead[follow]]
+    same[same] = _same_bytes(raw, at[rows[follow[same]]], at[lead[follow[same]]], size[rows[follow[same]]])
+    if not same.all():
+        own = np.cumsum(new)
+        own[follow[~same]] = own[-1] + 1 + np.arange(int((~same).sum()))
+        by = np.lexsort((head["doc"][rows], own, gram[rows]))
+        rows, own = rows[by], own[by]
+        new = np.append(True, own[1:] != own[:-1])
     content, lead = np.cumsum(new) - 1, np.flatnonzero(new)
     one = rows[lead]  # of each content, the row of the smallest document
     owner = head["doc"][one]
@@ -408,7 +435,8 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(frequent_grams(thin))
-    packed = map_batches(thin, lambda batch: pack(batch, buckets, shared.value), "bucket int, heads binary, raw binary, size bigint", ("text", PART))
+    small_batches(spark)
+    packed = thin.mapInArrow(lambda batches: (pack(x, buckets, shared.value) for x in gathered(batches, 1, PART)), "bucket int, heads binary, raw binary, size bigint")
     runs = materialise(packed.groupBy("bucket").applyInArrow(_settle, "id bigint, runs array<bigint>"))
     del packed
     release()

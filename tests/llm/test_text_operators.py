@@ -416,6 +416,37 @@ def test_suffix_dedup_against_brute_force(spark):
     assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == brute_bytes(docs)
 
 
+def test_suffix_dedup_does_not_trust_fingerprints(spark, monkeypatch):
+    """Segments whose fingerprints collide are told apart by their bytes."""
+    r = random.Random(31)
+    pool = ["".join(r.choice("abcd") for _ in range(r.choice([55, 70]))) for _ in range(5)]
+    docs = [(i, "".join(r.choice(pool) if r.random() < 0.5 else "".join(r.choice("abcd") for _ in range(60)) for _ in range(4))) for i in range(30)]
+    texts = pa.array([t for _, t in docs])
+    data, offsets = K.string_buffers(texts)
+    start, count, gram, place, several = suffix_dedup.segments(data, offsets, np.zeros(0, np.uint64))
+    row = np.searchsorted(offsets, start, "right") - 1
+    size = count + suffix_dedup.LENGTH - 1
+    raw = suffix_dedup._gather(data, start, size)
+    head = np.zeros(len(start), suffix_dedup._HEAD)
+    head["gram"], head["doc"], head["pos"], head["count"], head["offset"], head["several"] = gram, row, start - offsets[row], count, place, several
+    want = suffix_dedup.settle(head, raw)
+    plain = suffix_dedup._prints
+
+    def blind(*a):
+        out = plain(*a)
+        out[:, 1] = out[:, 4] = 5  # whole segments all look alike
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_prints", blind)
+    got = suffix_dedup.settle(head, raw)
+    assert len(want[0]) > 5 and all((x == y).all() for x, y in zip(want, got))
+    late = suffix_dedup._same_later(gram, np.zeros(len(gram), np.uint64), head["doc"], data, start, size)
+    seen = {}
+    for i in np.lexsort((head["doc"], gram)):
+        seen.setdefault((int(gram[i]), data[start[i] : start[i] + size[i]].tobytes()), int(head["doc"][i]))
+    assert all(seen[(int(gram[i]), data[start[i] : start[i] + size[i]].tobytes())] < head["doc"][i] for i in np.flatnonzero(late))
+
+
 def test_merged_transforms_are_sorted_with_their_prefixes():
     r = np.random.default_rng(3)
     for _ in range(10):
