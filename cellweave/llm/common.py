@@ -56,6 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of ids or links that one task takes with ease.
+TASK_ROWS = 1 << 16
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``materialise``, read back by as many tasks as its counted rows need: a small table leaves few small files in the shuffles that follow."""
+    out = materialise(df)
+    return out.coalesce(out.count() // TASK_ROWS + 1)
+
+
 def release() -> None:
     """Forget plans that nothing refers to any more, so that Spark's cleaner can drop their shuffle files."""
     gc.collect()

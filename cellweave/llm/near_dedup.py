@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import textkit as K
-from .common import map_batches, materialise, release, small_batches, table
+from .common import compact, map_batches, materialise, release, small_batches, table
 from .components import components, merged
 from .touched import id_filter, passes, without
 
@@ -458,7 +458,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     signed = materialise(map_batches(source, sign, T.StructType([source.schema["doc_id"], *_SIGNED.fields])))
     nodes = materialise(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("hashes").alias("hashes"), F.first("bits").alias("bits")))
-    offered = materialise(candidates(nodes, limit))
+    offered = compact(candidates(nodes, limit))
     pairs, crowded = offered.where("b IS NOT NULL"), offered.where("b IS NULL").select(F.col("a").alias("node"))
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded).distinct()
     wanted = nodes.join(touched, "node", "left_semi").select(_long_id(source, "doc_id").alias("id"))
@@ -466,13 +466,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # first each node's two likeliest links; most groups are whole after that
     ends = pairs.select(F.col("a").alias("u"), "a", "b", "agree").union(pairs.select("b", "a", "b", "agree"))
     top = ends.withColumn("rank", F.row_number().over(W.partitionBy("u").orderBy(F.desc("agree"), "a", "b"))).where("rank <= 2").select("a", "b").distinct()
-    labels = components(materialise(confirm(top, sets, percent)))
-    labels = merged(labels, materialise(confirm(across(pairs.join(top, ["a", "b"], "left_anti"), labels), sets, percent)))
+    top = compact(top)
+    labels = components(compact(confirm(top, sets, percent)))
+    release()
+    left = compact(across(pairs.join(top, ["a", "b"], "left_anti"), labels))
+    labels = merged(labels, compact(confirm(left, sets, percent)))
     release()
     if not crowded.isEmpty():
         dense = sets.join(crowded, "node", "left_semi")
-        unseen = materialise(likely(unseen_pairs(dense, labels, limit), nodes, limit))
-        labels = merged(labels, materialise(confirm(unseen, sets, percent)))
+        unseen = compact(likely(unseen_pairs(dense, labels, limit), nodes, limit))
+        labels = merged(labels, compact(confirm(unseen, sets, percent)))
     grouped = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = grouped.join(least, "label").select("node", "component_id")
