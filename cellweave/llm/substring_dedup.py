@@ -57,7 +57,7 @@ WINDOW, ROUNDS = 20, 3
 #: Bytes of text packed at once, and looked at together.
 PART, CHUNK = 3 << 20, 1 << 19
 #: Bytes of text for each bucket of windows, and of names; names that a task holds before it sends them.
-BUCKET_BYTES, NAMING_BYTES, NAMES_HELD = 8 << 20, 32 << 20, 1 << 20
+BUCKET_BYTES, NAMING_BYTES, NAMES_HELD = 3 << 20, 16 << 20, 1 << 19
 #: A name is hot if it comes more often than once in so many bytes of text, and the least count of one.
 HOT, LEAST_HOT = 1 / 100_000, 64
 #: Size of the filter of shared names: two to these powers bits, half a bit a byte of text in between (8 MB at most).
@@ -298,7 +298,7 @@ def pack(batch: pa.RecordBatch, buckets: int, hot: np.ndarray, shared: "Shared")
     ids = batch.column(0)
     known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     data, offsets = K.string_buffers(batch.column(1))
-    out = []
+    out, parts = [], []
     for first, _, d, o in K.pieces(data, offsets, CHUNK):
         w = Windows(d, o, hot)
         keep = known[w.row + first] & shared.passes(w.first)
@@ -321,14 +321,18 @@ def pack(batch: pa.RecordBatch, buckets: int, hot: np.ndarray, shared: "Shared")
         seg = np.zeros(len(cut), _SEGMENT)
         seg["name"], seg["doc"], seg["pos"], seg["count"] = name[cut], doc[cut], pos[cut], np.diff(np.append(cut, len(at)))
         seg["place"], seg["length"] = (begin - at)[cut], (end - begin)[cut]
-        bucket = ((K.mix(route[cut]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+        begins = w.start[at[cut]]
+        size = w.start[at[cut] + seg["count"] + WINDOW - 1] - begins
+        parts.append((seg, ((K.mix(route[cut]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), size, _bytes(w.raw, begins, size)))
+    if parts:
+        seg, bucket, size, raw = (np.concatenate(x) for x in zip(*parts))
+        begins = np.cumsum(size) - size
         order = np.argsort(bucket, kind="stable")
-        begins, size = w.start[at[cut]], w.start[at[cut] + seg["count"] + WINDOW - 1] - w.start[at[cut]]
         edge = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist()):
             rows = order[a:b]
-            raw = _bytes(w.raw, begins[rows], size[rows])
-            out.append((int(bucket[rows[0]]), seg[rows].tobytes(), _ZSTD.compress(raw.tobytes(), asbytes=True), len(raw)))
+            words = _bytes(raw, begins[rows], size[rows])
+            out.append((int(bucket[rows[0]]), seg[rows].tobytes(), _ZSTD.compress(words.tobytes(), asbytes=True), len(words)))
     b, s, p, n = zip(*out) if out else ((), (), (), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(s, pa.binary()), pa.array(p, pa.binary()), pa.array(n, pa.int64())], names=["bucket", "segments", "words", "size"])
 
