@@ -27,10 +27,15 @@ def pieces(records: DataFrame, keys: list[str], x0: str, x1: str) -> DataFrame:
 
 
 def overlay(records: DataFrame, keys: list[str], x0: str, x1: str, rank: list[Column], value: str) -> DataFrame:
-    """(keys, start, end, value): on every elementary piece the covering record of the highest rank decides."""
-    p = pieces(records, keys, x0, x1)
-    covering = records.select(*keys, F.col(x0).alias("__a"), F.col(x1).alias("__b"), F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], F.col(value).alias("value")).alias("__top"))
-    hit = p.join(covering, keys).where((F.col("__a") <= F.col("start")) & (F.col("__b") >= F.col("end")))
+    """(keys, start, end, value): on every elementary piece the covering record of the highest rank decides.
+
+    Records of a key that share rank and value are united first, so a crowded key
+    costs its pieces times its different ranks, not times its records.
+    """
+    ranked = records.select(*keys, x0, x1, F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], F.col(value).alias("value")).alias("__top"))
+    united = merged(ranked, [*keys, "__top"], x0, x1)
+    covering = united.select(*keys, F.col("start").alias("__a"), F.col("end").alias("__b"), "__top")
+    hit = pieces(united, keys, "start", "end").join(covering, keys).where((F.col("__a") <= F.col("start")) & (F.col("__b") >= F.col("end")))
     return hit.groupBy(*keys, "start", "end").agg(F.max("__top").alias("t")).select(*keys, "start", "end", F.col("t.value").alias("value"))
 
 
@@ -42,8 +47,14 @@ def latest_evidence(records: DataFrame, keys: list[str], x0: str, x1: str, year:
 
 
 def claimed_fraction(records: DataFrame, keys: list[str], x0: str, x1: str, fraction: str) -> DataFrame:
-    """Length-weighted fraction where, on overlaps, the larger fraction claims the piece."""
-    top = overlay(records, keys, x0, x1, [F.col(fraction)], fraction)
+    """Length-weighted fraction where, on overlaps, the larger fraction claims the piece.
+
+    Records without a finite fraction supply no length; one outside 0..1 is an error.
+    """
+    f = F.col(fraction)
+    known = records.where(f.isNotNull() & ~F.isnan(f.cast("double")))
+    known = known.where(F.assert_true(f.between(0, 1), F.lit("fractions must lie in [0, 1]")).isNull())
+    top = overlay(known, keys, x0, x1, [f], fraction)
     length = (F.col("end") - F.col("start")).cast("double")
     return top.groupBy(*keys).agg(F.sum(length * F.col("value")).alias("weighted_len"), F.sum(length).alias("surveyed_len")).withColumn("fraction", F.col("weighted_len") / F.col("surveyed_len"))
 

@@ -53,19 +53,31 @@ def availability(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return wide.select(by, "n", F.expr(f"stack({len(columns)}, {pairs}) AS (column, n_known)")).select(by, "column", "n_known", (F.col("n_known") == F.col("n")).alias("all_known"))
 
 
-def spearman(df: DataFrame, x: str, y: str, min_overlap: int = 100) -> DataFrame:
-    """Rank correlation with average ranks over complete pairs; null under the overlap."""
+def ranks(df: DataFrame, column: str) -> DataFrame:
+    """(column, rank): the average rank of every distinct value.
+
+    Values are counted first, so ties cost nothing; the counts are dealt by range
+    and numbered within each range, and ranges are offset by their totals, one row each.
+    """
     from pyspark.sql import Window as W
 
+    from ..core import materialise
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(parts, column)
+    counts = materialise(counts.withColumn("part", F.spark_partition_id()))
+    totals = counts.groupBy("part").agg(F.sum("n").alias("all"))
+    before = totals.select("part", (F.sum("all").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("all")).alias("before"))  # a row a partition
+    inside = F.sum("n").over(W.partitionBy("part").orderBy(column).rowsBetween(W.unboundedPreceding, 0))
+    placed = counts.withColumn("inside", inside).join(F.broadcast(before), "part")
+    return placed.select(column, (F.col("before") + F.col("inside") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def spearman(df: DataFrame, x: str, y: str, min_overlap: int = 100) -> DataFrame:
+    """Rank correlation with average ranks over complete pairs; null under the overlap."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    # ranks from counts of distinct values: ties cost nothing and equal values need not meet in one task
-    def ranks(c: str) -> DataFrame:
-        counts = both.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.sum("n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, 0))
-        return counts.select(c, (before - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
-
-    ranked = both.join(ranks(x), x).join(ranks(y), y)
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= min_overlap, F.corr(f"rank_{x}", f"rank_{y}")).alias("rho"))
+    ranked = both.join(ranks(both, x).withColumnRenamed("rank", "rank_x"), x).join(ranks(both, y).withColumnRenamed("rank", "rank_y"), y)
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= min_overlap, F.corr("rank_x", "rank_y")).alias("rho"))
 
 
 def slope_summary(samples: DataFrame, cell: str, slope: str) -> DataFrame:

@@ -63,9 +63,9 @@ def bilinear_point_sample(spark, d):
 
 
 @query(f"""WITH {_GRID}, e AS (SELECT g.row, g.col, g.value, 0 AS side, o.value AS other FROM grid g JOIN grid o ON o.row = g.row AND o.col = g.col + 1 UNION ALL SELECT g.row, g.col, g.value, 1, o.value FROM grid g JOIN grid o ON o.row = g.row + 1 AND o.col = g.col)
-SELECT row, col, side, round((1000 - value) / (other - value), 6) AS at FROM e WHERE (value < 1000) <> (other < 1000)""")
+SELECT row, col, side, round((915.5 - value) / (other - value), 6) AS at FROM e WHERE (value < 915.5) <> (other < 915.5)""")
 def isobath_crossings(spark, d):
-    return rounded(rasters.crossings(_grid(spark, d), 1000.0))
+    return rounded(rasters.crossings(_grid(spark, d), 915.5))
 
 
 @query(f"""WITH {_GRID}, h AS (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS g FROM grid WHERE value > 0) SELECT row, min(col) AS start, max(col) AS "end" FROM h GROUP BY row, g""")
@@ -134,7 +134,7 @@ def delivery_assembly(spark, d):
 
 @query("""SELECT c_custkey AS cell, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_acctbal > 0 THEN 1 ELSE 0 END::BIGINT AS present, round(c_acctbal, 6) AS amount FROM customer""")
 def public_metric_projection(spark, d):
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("cell"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal") > 0).alias("present"), F.col("c_acctbal").alias("amount"), F.col("c_name").alias("name_QC"), F.lit(1).alias("depth_SOURCE"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("cell"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal") > 0).alias("present"), F.col("c_acctbal").alias("amount"), F.col("c_name").alias("name_QC"), F.lit(1).alias("depth_SOURCE"), F.lit(1).alias("STATUS_CODE"), F.lit(2).alias("mean_confidence"), F.lit(3).alias("SITE_RECORD_COUNT"), F.lit(4.0).alias("SURVEY_METHOD_KIND"))
     return rounded(delivery.public_metrics(c, ["cell"]))
 
 
@@ -156,10 +156,10 @@ def pivot_selected_objects(spark, d):
     return delivery.pivoted(long, ["cell"], "o_orderstatus", "record", ["F", "P"], "last")
 
 
-@query("""SELECT o_custkey AS cell, o_orderkey AS record, 'orders' AS source, NULL::VARCHAR AS kind FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT l_suppkey, l_orderkey, 'items', l_returnflag FROM lineitem WHERE l_orderkey % 50 = 0""")
+@query("""SELECT o_custkey AS cell, o_orderkey AS record, 'orders' AS source, NULL::VARCHAR AS kind FROM orders UNION ALL SELECT l_suppkey, l_orderkey, 'items', l_returnflag FROM lineitem""")
 def normalised_union(spark, d):
-    a = read(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("cell"), F.col("o_orderkey").alias("record"), F.lit("orders").alias("source"))
-    b = read(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("cell"), F.col("l_orderkey").alias("record"), F.lit("items").alias("source"), F.col("l_returnflag").alias("kind"))
+    a = read(spark, d, "orders").select(F.col("o_custkey").alias("cell"), F.col("o_orderkey").alias("record"), F.lit("orders").alias("source"))
+    b = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("cell"), F.col("l_orderkey").alias("record"), F.lit("items").alias("source"), F.col("l_returnflag").alias("kind"))
     return a.unionByName(b, allowMissingColumns=True)
 
 

@@ -24,8 +24,13 @@ def assemble(support: DataFrame, products: dict[str, DataFrame], keys: list[str]
     return reduce(lambda a, b: a.join(b, keys), checked, support.select(*keys)).orderBy(*keys)
 
 
-#: Endings of columns that are diagnostics, not metrics.
-DIAGNOSTIC = re.compile(r"_(QC|QC_REASON|SOURCE|VERSION|PROVENANCE)$")
+#: Words of a column's name, between underscores or at its ends, that make it a diagnostic and no metric.
+DIAGNOSTIC_WORDS = (
+    "COVERAGE", "CENSORED", "AUDIT", "QC", "STATUS", "PROVENANCE", "SOURCE", "METHOD", "CONFIDENCE", "UNMAPPED", "CONNECTOR", "HIERARCHY", "DISCONTINUITY", "COUNT_VALID", "VALID_COUNT", "SAMPLE_COUNT",
+    "OBSERVATION_YEAR", "OBSERVATION_DATE", "PIXEL_COUNT", "EVIDENCE_INCLUDED", "GEOMETRY_INCLUDED", "RECORD_COUNT", "LATEST_SURVEY_YEAR", "LATEST_ASSESSMENT_YEAR", "YEARS_SURVEYED", "YEARS_OBSERVED",
+    "FIRST_YEAR", "LAST_YEAR", "RECENCY_YEARS", "VALID_NEIGHBOR", "ASSESSED_SITE_COUNT",
+)
+DIAGNOSTIC = re.compile(rf"(?:^|_)(?:{'|'.join(DIAGNOSTIC_WORDS)})(?:_|$)", re.IGNORECASE)
 
 
 def public_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
