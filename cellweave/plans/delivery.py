@@ -77,3 +77,14 @@ def manifest(df: DataFrame, sources: list[str]) -> dict:
     row = df.agg(F.count(F.lit(1)).alias("__n"), *(F.avg(F.col(c).isNull().cast("double")).alias(c) for c in df.columns)).first()
     out = {"schema": json.loads(df.schema.json()), "rows": row["__n"], "null_rates": {c: row[c] for c in df.columns}, "sources": sorted(sources)}
     return out | {"hash": hashlib.sha256(json.dumps(out, sort_keys=True).encode()).hexdigest()}
+
+
+def feature_catalog(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(name, type, label, unit, known_share): one row a column that is no key; the shares come from one pass."""
+    from ..operators import labels
+
+    others = [f for f in df.schema.fields if f.name not in keys]
+    kinds = F.create_map(*(F.lit(x) for f in others for x in (f.name, f.dataType.simpleString())))
+    shares = df.agg(*(F.avg(F.col(f.name).isNotNull().cast("double")).alias(f.name) for f in others))
+    long = shares.select(F.explode(F.create_map(*(x for f in others for x in (F.lit(f.name), F.col(f.name))))).alias("name", "known_share"))
+    return long.select("name", F.element_at(kinds, F.col("name")).alias("type"), labels.human_label(F.col("name")).alias("label"), labels.unit_of(F.col("name")).alias("unit"), "known_share")

@@ -102,3 +102,16 @@ def resolved(config: dict) -> dict:
 
 def redacted(config: dict, words: tuple[str, ...] = ("secret", "token", "password", "key")) -> dict:
     return {k: redacted(v, words) if isinstance(v, dict) else "***" if any(w in k.lower() for w in words) else v for k, v in config.items()}
+
+
+def preflight(spark, inputs: dict[str, tuple[str, dict[str, str]]]) -> list[str]:
+    """What would stop a run: inputs (name: path, column types) that cannot be read or that lack columns; empty if nothing would."""
+    faults = []
+    for name, (path, columns) in sorted(inputs.items()):
+        try:
+            kinds = dict(spark.read.parquet(path).dtypes)
+        except Exception as e:  # noqa: BLE001
+            faults.append(f"{name}: cannot be read ({type(e).__name__})")
+            continue
+        faults += [f"{name}: {c} is {kinds.get(c, 'missing')}, not {k}" for c, k in sorted(columns.items()) if kinds.get(c) != k]
+    return faults

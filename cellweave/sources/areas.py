@@ -8,30 +8,23 @@ written to fresh folders and the catalog, replaced last, names them.
 from __future__ import annotations
 
 import json
-import os
 import re
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contracts import ContractError, nan_to_null, require_unique
+from .files import Store
+from .publish import LOCK, writer
 
 KEYS = ["H3_INDEX", "H3_RESOLUTION"]
 AREA = re.compile(r"[a-z0-9]+(-[a-z0-9]+)*")
 CATALOG = "catalog.json"
 
 
-def _catalog(root: str) -> dict:
-    path = Path(root, CATALOG)
-    return json.loads(path.read_text()) if path.exists() else {"tables": {}}
-
-
-def _replace(root: str, catalog: dict) -> None:
-    fresh = Path(root, f".{CATALOG}.{uuid.uuid4().hex}")
-    fresh.write_text(json.dumps(catalog, indent=1, sort_keys=True))
-    os.replace(fresh, Path(root, CATALOG))
+def _catalog(store: Store) -> dict:
+    return json.loads(store.read(CATALOG)) if store.exists(CATALOG) else {"tables": {}}
 
 
 def area_key(area: str, resolution: int, dynamic: bool) -> str:
@@ -45,8 +38,13 @@ def write_areas(areas: dict[str, DataFrame], root: str, dynamic: bool = False, u
 
     Columns of ``unavailable`` that are null at a resolution are left out there; a value in one is an error.
     """
-    Path(root).mkdir(parents=True, exist_ok=True)
-    catalog = _catalog(root)
+    store = Store(root)
+    with writer(store):  # the catalog is read, changed and replaced by one writer at a time
+        _write(areas, store, dynamic, unavailable)
+
+
+def _write(areas: dict[str, DataFrame], store: Store, dynamic: bool, unavailable: tuple[str, ...]) -> None:
+    root, catalog = store.root, _catalog(store)
     for area, df in areas.items():
         if ("date" in df.columns) != dynamic:
             raise ContractError(f"{area}: a date column belongs to dynamic tables, and to them only")
@@ -61,7 +59,7 @@ def write_areas(areas: dict[str, DataFrame], root: str, dynamic: bool = False, u
             folder = f"{key}-{uuid.uuid4().hex[:12]}.parquet"
             part.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS).write.parquet(f"{root}/{folder}")
             catalog["tables"][key] = {"area": area, "resolution": int(r), "dynamic": dynamic, "folder": folder, "columns": part.columns}
-    _replace(root, catalog)
+    store.replace(CATALOG, json.dumps(catalog, indent=1, sort_keys=True))
 
 
 def list_areas(root: str) -> list[str]:
@@ -69,11 +67,14 @@ def list_areas(root: str) -> list[str]:
 
 
 def check_catalog(root: str) -> dict:
-    """The catalog, if every table it names exists."""
-    catalog = _catalog(root)
-    missing = [x["folder"] for x in catalog["tables"].values() if not Path(root, x["folder"]).exists()]
-    if missing:
+    """The catalog, if every table it names exists and no table lies beside it that it does not name."""
+    store = Store(root)
+    catalog = _catalog(store)
+    named, there = {x["folder"] for x in catalog["tables"].values()}, set(store.names())
+    if missing := sorted(named - there):
         raise ContractError(f"catalog names missing tables: {missing[:5]}")
+    if not store.exists(LOCK) and (extra := sorted(x for x in there - named if x.endswith(".parquet") and x.rsplit("-", 1)[0] not in catalog["tables"])):
+        raise ContractError(f"tables that the catalog does not name: {extra[:5]}")
     return catalog
 
 

@@ -72,3 +72,62 @@ def test_union_area_of_squares(spark):
     found = {(x["point"], x["poly"]): x["boundary"] for x in polygons.covering(points, polygons.edges(r), 2.0).collect()}
     assert found == {(2, 1): False, (2, 2): False, (3, 1): True, (5, 1): False}
     assert {x["point"]: x["status"] for x in polygons.assign(points, polygons.edges(r), 2.0).collect()} == {1: "unassigned", 2: "ambiguous", 3: "assigned", 4: "unassigned", 5: "assigned"}
+
+
+def test_families_are_published_together(spark, tmp_path):
+    from cellweave.sources import files, publish
+
+    root = str(tmp_path)
+    a, b = spark.range(3), spark.range(5)
+    assert publish.publish({"a": a, "b": b}, root) == ["a", "b"]
+
+    def refuse(name, df):
+        if name == "b":
+            raise ContractError("not this one")
+
+    with pytest.raises(ContractError):
+        publish.publish({"a": spark.range(7), "b": spark.range(7)}, root, refuse)
+    assert spark.read.parquet(f"{root}/a").count() == 3 and files.Store(root).names() == ["a", "b"]
+    store = files.Store(root)
+    spark.range(9).write.parquet(f"{root}/.staged-x-a")
+    store.replace(publish.JOURNAL, '{"state": "renaming", "tables": {"a": ".staged-x-a"}}')
+    assert publish.recover(store) == "finished" and spark.read.parquet(f"{root}/a").count() == 9
+    with publish.writer(store), pytest.raises(ContractError):
+        publish.publish({"a": a}, root)
+    audit = spark.createDataFrame([(4, 0, 1)], "n_rows long, n_null_keys long, n_repeated long")
+    with pytest.raises(ContractError):
+        publish.promote(root, "b", "a", audit)
+    publish.promote(root, "b", "a", audit.withColumn("n_repeated", F.lit(0)))
+    assert spark.read.parquet(f"{root}/a").count() == 5 and store.names() == ["a"]
+
+
+def test_vector_and_grid_files(spark, tmp_path):
+    import hashlib
+
+    from cellweave.sources import vector
+
+    square = "[[0,0],[4,0],[4,4],[0,4],[0,0]]"
+    text = f'{{"type":"FeatureCollection","features":[{{"type":"Feature","properties":{{"n":1}},"geometry":{{"type":"Polygon","coordinates":[{square},[[1,1],[2,1],[2,2],[1,1]]]}}}},{{"type":"Feature","properties":null,"geometry":{{"type":"MultiPolygon","coordinates":[[{square}],[{square}]]}}}},{{"type":"Feature","properties":{{}},"geometry":{{"type":"Point","coordinates":[7,8]}}}},{{"type":"Feature","properties":{{}},"geometry":null}}]}}'
+    (tmp_path / "a.geojson").write_text(text)
+    got = vector.geojson(spark, str(tmp_path / "a.geojson")).orderBy("feature", "part", "ring_no").collect()
+    assert [(r["feature"], r["kind"], r["part"], r["ring_no"], r["ring"] and len(r["ring"])) for r in got] == [(0, "Polygon", 0, 0, 4), (0, "Polygon", 0, 1, 3), (1, "MultiPolygon", 0, 0, 4), (1, "MultiPolygon", 1, 0, 4), (2, "Point", 0, 0, 1), (3, None, None, None, None)]
+    shape = spark.createDataFrame([(1, "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 1))")], "poly int, wkt string")
+    e = polygons.edges(vector.wkt_rings(shape, "wkt"))
+    assert np.isclose(polygons.union_area(e.select("poly", F.lit(0).alias("cell"), *polygons.EDGE), ["cell"], 10.0).first()["union_area"], 15.5)
+    (tmp_path / "g.asc").write_text("ncols 3\nnrows 2\nxllcorner 10\nyllcorner 20\ncellsize 5\nNODATA_value -9\n1 2 -9\n4 5 6\n")
+    g = {(r["row"], r["col"]): (r["value"], r["x"], r["y"]) for r in vector.text_grid(spark, str(tmp_path / "g.asc")).collect()}
+    assert g[0, 0] == (1.0, 12.5, 27.5) and g[0, 2][0] is None and g[1, 2] == (6.0, 22.5, 22.5) and len(g) == 6
+    pins = spark.createDataFrame([("g.asc", "0" * 64), ("a.geojson", hashlib.sha256(text.encode()).hexdigest()), ("gone", "1")], "name string, sha256 string")
+    faults = {r["name"]: r["fault"] for r in vector.pin_faults(spark, f"{tmp_path}/*.*", pins).collect()}
+    assert faults == {"g.asc": "changed", "gone": "missing"}
+
+
+def test_catalogs_and_preflight(spark, tmp_path):
+    from cellweave.plans import delivery, stages
+
+    df = spark.createDataFrame([(1, 2.0, None), (2, None, None)], "id long, DEPTH_M double, SITE_COUNT int")
+    got = {r["name"]: r for r in delivery.feature_catalog(df, ["id"]).collect()}
+    assert got["DEPTH_M"]["unit"] == "m" and got["DEPTH_M"]["label"] == "Depth m" and got["DEPTH_M"]["known_share"] == 0.5 and got["SITE_COUNT"]["known_share"] == 0
+    df.write.parquet(f"{tmp_path}/t")
+    assert stages.preflight(spark, {"t": (f"{tmp_path}/t", {"id": "bigint"})}) == []
+    assert len(stages.preflight(spark, {"t": (f"{tmp_path}/t", {"id": "int", "x": "int"}), "u": (f"{tmp_path}/u", {})})) == 3
