@@ -240,7 +240,7 @@ def later_ones(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, at: np.ndarray
     return out
 
 
-def _verified(one: np.ndarray, two: np.ndarray, at: np.ndarray, raw: np.ndarray, start: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
+def _verified(one: np.ndarray, two: np.ndarray, at: np.ndarray, raw: np.ndarray, start: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
     """Whether the windows ``one`` and ``two`` have the same words; matches in a row are compared once."""
     same = np.ones(len(one), bool)
     rows = np.flatnonzero(one != two)
@@ -283,6 +283,26 @@ _PACKED = "bucket int, segments binary, words binary, size bigint"
 _SEGMENT = np.dtype([("name", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("count", "<i4"), ("place", "<i4"), ("length", "<i4")])
 
 
+def _squeezed(seg: np.ndarray) -> bytes:
+    """Segments by column, compressed: the columns but the name are small or alike from row to row."""
+    columns = [seg["name"], np.diff(seg["doc"], prepend=0), seg["pos"], seg["count"], seg["place"], seg["length"]]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(seg), -1).T.tobytes() for c in columns]
+    return len(seg).to_bytes(4, "little") + _ZSTD.compress(b"".join(planes), asbytes=True)
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    """Segments as they were before ``_squeezed``."""
+    n, at = int.from_bytes(raw[:4], "little"), 0
+    data = np.frombuffer(pa.decompress(raw[4:], n * _SEGMENT.itemsize, "zstd", asbytes=True), np.uint8)
+    seg = np.zeros(n, _SEGMENT)
+    for name in _SEGMENT.names:
+        kind = _SEGMENT[name]
+        column = np.ascontiguousarray(data[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).reshape(n)
+        seg[name] = np.cumsum(column) if name == "doc" else column
+        at += n * kind.itemsize
+    return seg
+
+
 def _settled(doc: np.ndarray, pos: np.ndarray, buckets: int) -> tuple[int, bytes, bytes, int]:
     """A row of windows that are known to be later ones; it goes to a negative bucket."""
     order = np.lexsort((pos, doc))
@@ -290,7 +310,7 @@ def _settled(doc: np.ndarray, pos: np.ndarray, buckets: int) -> tuple[int, bytes
     cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)))
     seg = np.zeros(len(cut), _SEGMENT)
     seg["doc"], seg["pos"], seg["count"] = d[cut], p[cut], np.diff(np.append(cut, len(d)))
-    return -1 - int(seg["doc"][0] % buckets), seg.tobytes(), b"", 0
+    return -1 - int(seg["doc"][0] % buckets), _squeezed(seg), b"", 0
 
 
 def pack(batch: pa.RecordBatch, buckets: int, hot: np.ndarray, shared: "Shared") -> pa.RecordBatch:
@@ -332,7 +352,7 @@ def pack(batch: pa.RecordBatch, buckets: int, hot: np.ndarray, shared: "Shared")
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist()):
             rows = order[a:b]
             words = _bytes(raw, begins[rows], size[rows])
-            out.append((int(bucket[rows[0]]), seg[rows].tobytes(), _ZSTD.compress(words.tobytes(), asbytes=True), len(words)))
+            out.append((int(bucket[rows[0]]), _squeezed(seg[rows]), _ZSTD.compress(words.tobytes(), asbytes=True), len(words)))
     b, s, p, n = zip(*out) if out else ((), (), (), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(s, pa.binary()), pa.array(p, pa.binary()), pa.array(n, pa.int64())], names=["bucket", "segments", "words", "size"])
 
@@ -347,7 +367,7 @@ def _word_hashes(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 def _settle(group: pa.Table) -> pa.Table:
     """The windows of a bucket that have an earlier equal one, as runs by document."""
-    seg = np.frombuffer(b"".join(group.column("segments").to_pylist()), _SEGMENT)
+    seg = np.concatenate([_spread(x) for x in group.column("segments").to_pylist()])
     count = seg["count"].astype(np.int64)
     within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     doc, pos = np.repeat(seg["doc"], count), np.repeat(seg["pos"].astype(np.int64), count) + within

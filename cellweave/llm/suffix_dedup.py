@@ -117,7 +117,7 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
-def _same_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
+def _same_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
     """Whether the runs of ``size`` bytes at ``one`` and ``two`` are equal, some at a time."""
     out = np.ones(len(one), bool)
     part = (np.cumsum(size) - 1) // chunk
