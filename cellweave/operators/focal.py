@@ -54,3 +54,29 @@ def majority_relabel(labels: DataFrame, edges: DataFrame, sizes: DataFrame, mini
     votes = around.groupBy("node", "near").agg(F.count(F.lit(1)).alias("n"))
     won = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("near")).alias("o"))).alias("m")).select("node", (-F.col("m.o")).alias("to"))
     return labels.join(won, "node", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def minimum_mapping_unit(labels: DataFrame, edges: DataFrame, scores: DataFrame, minimum: int, passes: int = 3) -> DataFrame:
+    """(node, label) after up to ``passes`` synchronous passes: nodes of same-label components under the minimum take a neighbour's label.
+
+    Only labels with a positive score of the node's own (node, label, score) count;
+    the most frequent among the neighbours wins, of ties the one of the highest own
+    score, then the smaller label. Component sizes are found anew before each pass.
+    """
+    from ..core import materialise
+    from . import graph
+
+    arcs = materialise(graph.mirrored(edges).select("src", "dst", "w"))
+    now = materialise(labels.select("node", "label"))
+    for _ in range(passes):
+        a, b = now.select(F.col("node").alias("src"), F.col("label").alias("la")), now.select(F.col("node").alias("dst"), F.col("label").alias("lb"))
+        named = materialise(arcs.join(a, "src").join(b, "dst"))
+        parts = graph.components(now.select("node"), named.where("la = lb").select("src", "dst", "w"))
+        small = parts.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").where(F.col("size") < minimum).select(F.col("node").alias("src"))
+        votes = named.where("la <> lb").join(small, "src", "left_semi").groupBy(F.col("src").alias("node"), F.col("lb").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+        order = W.partitionBy("node").orderBy(F.desc("n"), F.desc("score"), "label")
+        won = materialise(votes.join(scores.where("score > 0"), ["node", "label"]).withColumn("k", F.row_number().over(order)).where("k = 1").select("node", F.col("label").alias("to")))
+        if won.isEmpty():
+            break
+        now = materialise(now.join(won, "node", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return now

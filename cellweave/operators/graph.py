@@ -15,13 +15,15 @@ def mirrored(edges: DataFrame) -> DataFrame:
 
 def neighbourhoods(nodes: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
     """(src, dst, hops, dist): least hops, then least distance among the ways of that many hops; with self at 0."""
-    directed = mirrored(edges)
+    directed = materialise(mirrored(edges))
     frontier = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("dist"))
-    found = frontier
+    found, before = frontier, None
     for h in range(1, max_hops + 1):
         step = frontier.select("src", F.col("dst").alias("via"), "dist").join(directed.select(F.col("src").alias("via"), F.col("dst"), "w"), "via")
         best = step.groupBy("src", "dst").agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
-        frontier = materialise(best.join(found.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(h).alias("hops"), "dist"))
+        # ways go both ways, so a neighbour of this frontier is in it, in the one before, or new
+        known = frontier.select("src", "dst") if before is None else frontier.select("src", "dst").union(before.select("src", "dst"))
+        before, frontier = frontier, materialise(best.join(known, ["src", "dst"], "left_anti").select("src", "dst", F.lit(h).alias("hops"), "dist"))
         found = found.unionByName(frontier)
     return found
 

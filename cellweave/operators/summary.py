@@ -18,11 +18,11 @@ def depth(elevation: str) -> F.Column:
 def cell_summary(samples: DataFrame, support: DataFrame, cell: str, value: str, bands=BANDS, quantiles=QUANTILES) -> DataFrame:
     """Exact statistics of ``value`` by cell; cells of the support without samples keep nulls."""
     v = F.col(value)
-    aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), (F.max(v) - F.min(v)).alias("range")]
-    aggs += [F.percentile(v, F.lit(q)).alias(f"q{round(q * 100):02d}") for q in quantiles]
+    aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), (F.max(v) - F.min(v)).alias("range")]
+    aggs.append(F.percentile(v, F.array(F.lit(0.5), *map(F.lit, quantiles))).alias("__q"))  # one exact value map for all of them
     inside = [(f"band_{lo}_{hi if hi is not None else 'up'}", (v >= lo) if hi is None else (v >= lo) & (v < hi)) for lo, hi in bands]
     aggs += [F.avg(F.when(v.isNotNull(), c.cast("double"))).alias(f"frac_{name}") for name, c in inside]
-    made = samples.groupBy(cell).agg(*aggs)
+    made = samples.groupBy(cell).agg(*aggs).withColumns({"median": F.get("__q", F.lit(0))} | {f"q{round(q * 100):02d}": F.get("__q", F.lit(i)) for i, q in enumerate(quantiles, 1)}).drop("__q")
     return support.select(cell).join(made, cell, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -131,3 +131,39 @@ def test_catalogs_and_preflight(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/t")
     assert stages.preflight(spark, {"t": (f"{tmp_path}/t", {"id": "bigint"})}) == []
     assert len(stages.preflight(spark, {"t": (f"{tmp_path}/t", {"id": "int", "x": "int"}), "u": (f"{tmp_path}/u", {})})) == 3
+
+
+def test_minimum_mapping_unit_against_a_plain_version(spark):
+    import random
+
+    from cellweave.operators import focal
+
+    r = random.Random(5)
+    n, labels = 48, {}
+    edges = [(i, i + 1) for i in range(n - 1) if (i + 1) % 8] + [(i, i + 8) for i in range(n - 8)]
+    near = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in range(n)}
+    labels = {i: r.choice("aab") if i % 5 else r.choice("cd") for i in range(n)}
+    scores = {(i, x): r.choice([0.0, 0.3, 0.7, 0.9]) for i in range(n) for x in "abcd"}
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = focal.minimum_mapping_unit(df(list(labels.items()), "node long, label string"), df([(a, b, 1) for a, b in edges], "src long, dst long, w long"), df([(i, x, v) for (i, x), v in scores.items()], "node long, label string, score double"), 3)
+    for _ in range(3):
+        size = {}
+        for i in range(n):
+            seen, todo = {i}, [i]
+            while todo:
+                for k in near[todo.pop()]:
+                    if k not in seen and labels[k] == labels[i]:
+                        seen.add(k)
+                        todo.append(k)
+            size[i] = len(seen)
+        after = dict(labels)
+        for i in range(n):
+            if size[i] < 3:
+                votes = {}
+                for k in near[i]:
+                    if labels[k] != labels[i] and scores[i, labels[k]] > 0:
+                        votes[labels[k]] = votes.get(labels[k], 0) + 1
+                if votes:
+                    after[i] = min(votes, key=lambda x: (-votes[x], -scores[i, x], x))
+        labels = after
+    assert {x["node"]: x["label"] for x in got.collect()} == labels
