@@ -78,16 +78,19 @@ def recounted(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
 
 
-#: Bytes of an Arrow batch between the JVM and Python: both sides hold a few per task.
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch between the JVM and Python: both sides hold a few per task. Rows of whole texts that the Parquet reader holds at once.
+BATCH_BYTES, READ_ROWS = 4 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by bytes, where they are not bounded lower."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
-    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Bound the session's Arrow batches by bytes and its Parquet batches by rows, where they are not bounded lower.
+
+    Rows here hold whole texts; the session's defaults are made for rows of numbers.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Operator 10, quality by ordinal cumulative-link regression.
 
 P(grade <= k) = logistic(threshold_k - f(text)) with one weight vector f over
-hashed words and word endings and strictly ordered thresholds. Grades come from
+hashed words, word endings, pairs of words and repetitions, and strictly ordered thresholds. Grades come from
 the labels: 0 poor, 1 good but toxic, 2 good and clean. The expected grade and
 the probability of at least a given grade select documents.
 
@@ -28,25 +28,41 @@ from .labelled import held_out, sample
 
 GRADES = 3
 PER_GRADE, MAX_CHARS, BITS, ENDING = 1500, 20000, 16, 3
+#: Kinds of features, each with weights of its own.
+KINDS = 4
 EPOCHS, RATE, DECAY = 150, 0.5, 1e-4
 
 
+def earlier(keys: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each one."""
+    order = np.argsort(keys, kind="stable")
+    new = np.append(True, keys[order][1:] != keys[order][:-1]) if len(keys) else np.zeros(0, bool)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - (np.flatnonzero(new)[np.cumsum(new) - 1] if len(keys) else 0)
+    return out
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature numbers, border of each text's, weight of each text's): hashed words and their last bytes."""
+    """(feature numbers, border of each text's, weight of each text's): for every word its hash, that of its last bytes, of it and the next word, and of its length with how often (in powers of two) it came before in the text."""
     w = K.split_words(data, offsets)
+    words, size = w.hashes(), w.end - w.start
+    tail = K.runs_hash(K._letters(1)[data], np.maximum(w.end - ENDING, w.start), w.end, 1)
+    after = np.zeros(len(words), np.uint64)
+    after[:-1] = np.where(w.text[1:] == w.text[:-1], words[1:], 0)
+    pair = K.mix(words ^ (after * np.uint64(0x9E3779B97F4A7C15)))
+    before = earlier(K.mix(words ^ (w.text.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))))
+    again = K.mix((np.log2(before + 1).astype(np.uint64) << np.uint64(8)) | np.minimum(size, 15).astype(np.uint64))
     m = np.uint64((1 << BITS) - 1)
-    words = w.hashes() & m
-    tail = K.runs_hash(K._letters(1)[data], np.maximum(w.end - ENDING, w.start), w.end, 1) & m
-    both = np.stack([words, tail + (m + np.uint64(1))], 1).reshape(-1).astype(np.int64)
-    border = 2 * w.first
-    return both, border, 1.0 / np.sqrt(np.maximum(np.diff(border), 1))
+    kinds = [(x & m) + np.uint64(k << BITS) for k, x in enumerate((words, tail, pair, again))]
+    border = KINDS * w.first
+    return np.stack(kinds, 1).reshape(-1).astype(np.int64), border, 1.0 / np.sqrt(np.maximum(np.diff(border), 1))
 
 
 class Ordinal:
     """Shared weights and ordered thresholds."""
 
     def __init__(self) -> None:
-        self.weights = np.zeros(2 << BITS)
+        self.weights = np.zeros(KINDS << BITS)
         self.thresholds = np.linspace(-1.0, 1.0, GRADES - 1)
 
     def raw(self, f: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -62,9 +78,9 @@ class Ordinal:
         """Full-batch adaptive gradient ascent on the balanced log-likelihood."""
         if not len(grade):
             return self
-        at, border, scale = features(*K.string_buffers(texts))
-        row = np.repeat(np.arange(len(grade)), np.diff(border))
-        per = scale[row]
+        # some texts at a time, so that a pass over the sample holds small temporaries only
+        parts = [(a, b, *features(d, o)) for a, b, d, o in K.pieces(*K.string_buffers(texts))]
+        parts = [(a, b, at.astype(np.int32), border, scale) for a, b, at, border, scale in parts]
         n_of = np.bincount(grade, minlength=GRADES)
         weight = (len(grade) / (np.count_nonzero(n_of) * np.maximum(n_of, 1)))[grade]
         gaps = np.log(np.diff(self.thresholds))
@@ -72,13 +88,15 @@ class Ordinal:
         square_t = np.full(GRADES - 1, 1e-8)
         for _ in range(EPOCHS):
             self.thresholds = np.concatenate([[low], low + np.cumsum(np.exp(gaps))])
-            score = self.raw((at, border, scale))
+            score = np.concatenate([self.raw(x[2:]) for x in parts])
             above = np.concatenate([np.ones((len(grade), 1)), self.tails(score), np.zeros((len(grade), 1))], 1)
             upper, lower = above[np.arange(len(grade)), grade], above[np.arange(len(grade)), grade + 1]
             slope_u, slope_l = upper * (1 - upper), lower * (1 - lower)
             p = np.maximum(upper - lower, 1e-9)
             d_score = weight * (slope_u - slope_l) / p / len(grade)
-            grad = np.bincount(at, d_score[row] * per, len(self.weights)) - DECAY * self.weights
+            grad = -DECAY * self.weights
+            for a, b, at, border, scale in parts:
+                grad += np.bincount(at, np.repeat(d_score[a:b] * scale, np.diff(border)), len(self.weights))
             square += grad * grad
             self.weights += RATE * grad / np.sqrt(square)
             d_t = np.zeros(GRADES - 1)

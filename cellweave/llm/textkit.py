@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once, so that temporaries stay in cache and memory bounded.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
