@@ -167,3 +167,51 @@ def test_minimum_mapping_unit_against_a_plain_version(spark):
                     after[i] = min(votes, key=lambda x: (-votes[x], -scores[i, x], x))
         labels = after
     assert {x["node"]: x["label"] for x in got.collect()} == labels
+
+
+def _streamed(spark, folder, name, schema, build, mode):
+    """The rows that a streaming query gives for two files, one after the other."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder}/ck").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def test_windows_drop_rows_behind_the_watermark(spark, tmp_path):
+    from cellweave.streaming import evidence as live
+
+    schema = "ts timestamp, cell long, v long"
+    at = lambda day, hour=0: F.lit(f"2024-01-{day:02d} {hour:02d}:00:00").cast("timestamp")
+    first = spark.range(1).select(F.explode(F.array(F.struct(at(1, 3).alias("ts"), F.lit(7).cast("long").alias("cell"), F.lit(2).cast("long").alias("v")), F.struct(at(1, 9).alias("ts"), F.lit(7).cast("long").alias("cell"), F.lit(3).cast("long").alias("v")), F.struct(at(9).alias("ts"), F.lit(8).cast("long").alias("cell"), F.lit(1).cast("long").alias("v")))).alias("r")).select("r.*")
+    first.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = _streamed(spark, tmp_path, "windowed_days", schema, lambda s: live.windowed(s, "ts", ["cell"], "v"), "append")
+    assert [(r["cell"], r["n"], r["total"]) for r in got.collect()] == [(7, 2, 5)]  # the ninth day is still open
+
+
+def test_first_row_of_each_key_in_a_stream(spark, tmp_path):
+    from cellweave.streaming import evidence as live
+
+    rows = [("2024-01-01 00:00:00", 1), ("2024-01-01 01:00:00", 1), ("2024-01-01 02:00:00", 2)]
+    spark.createDataFrame(rows, "t string, cell long").select(F.col("t").cast("timestamp").alias("ts"), "cell").coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = _streamed(spark, tmp_path, "first_rows", "ts timestamp, cell long", lambda s: live.unique(s, "ts", ["cell"]), "append")
+    assert sorted(r["cell"] for r in got.collect()) == [1, 2]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from cellweave import cli
+    from cellweave.sources import areas
+
+    (tmp_path / "stages.json").write_text(json.dumps({"a": [], "b": ["a"], "c": ["b"]}))
+    assert cli.main(["plan", str(tmp_path / "stages.json"), "--only", "b"]) == 0
+    assert capsys.readouterr().out.split() == ["a", "b"]
+    root = f"{tmp_path}/areas"
+    areas.write_areas({"south-bay": spark.createDataFrame([("8f0", 8, 1.5)], "H3_INDEX string, H3_RESOLUTION int, DEPTH_M double")}, root)
+    assert cli.main(["list", root]) == 0 and capsys.readouterr().out.split() == ["south-bay"]
+    assert cli.main(["inspect", root, "south-bay"]) == 0 and json.loads(capsys.readouterr().out)["rows"] == 1
+    assert cli.main(["export", root, "south-bay", f"{tmp_path}/out"]) == 0 and spark.read.parquet(f"{tmp_path}/out").count() == 1
+    with pytest.raises(ContractError):
+        (tmp_path / "areas" / "stray.parquet").mkdir()
+        areas.check_catalog(root)
