@@ -215,3 +215,21 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(ContractError):
         (tmp_path / "areas" / "stray.parquet").mkdir()
         areas.check_catalog(root)
+
+
+def test_canonical_records_against_the_plain_order(spark):
+    import random
+
+    from cellweave.operators import fits
+
+    r = random.Random(17)
+    rows = [(i, r.uniform(0, 60), r.uniform(0, 60), r.randrange(3), r.choice([0.1, 0.9]), r.choice("ab")) for i in range(150)]
+    got = fits.canonical_records(spark.createDataFrame(rows, "id long, x double, y double, priority int, confidence double, kind string"), 5.0, ["kind"])
+    kept, want = [], {}
+    for i, x, y, _, _, k in sorted(rows, key=lambda v: (-v[3], -v[4], v[0])):
+        near = [((x - a) ** 2 + (y - b) ** 2, o) for a, b, o, c in kept if c == k and (x - a) ** 2 + (y - b) ** 2 <= 25]
+        want[i] = min(near)[1] if near else i
+        if not near:
+            kept.append((x, y, i, k))
+    assert {v["id"]: v["canonical"] for v in got.collect()} == want and 0 < sum(i != c for i, c in want.items()) < 150
+    assert all((v["relation"] == fits.CANONICAL) == (v["id"] == v["canonical"]) for v in got.collect())
