@@ -13,7 +13,7 @@ borders are fixed downwards, and every block is repaired on its own. Results
 are minimal over the whole conversation. A conversation of up to BLOCK turns is
 one row; a longer one is a row a block, whose ``rendered`` parts concatenate.
 
-Defined cases: turns are ordered by turn (null first), role and text; repeated
+Defined cases: turns are ordered by turn (null first), role and a hash of the text; repeated
 rows are turns of their own; a null or unknown role costs one relabelling; a null
 text is empty; a null conv_id is one conversation; control marks in a text are
 broken up; an empty table gives an empty result.

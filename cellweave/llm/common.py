@@ -79,7 +79,7 @@ def recounted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: Bytes of an Arrow batch between the JVM and Python: both sides hold a few per task. Rows of whole texts that the Parquet reader holds at once.
-BATCH_BYTES, READ_ROWS = 4 << 20, 512
+BATCH_BYTES, READ_ROWS = 2 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:

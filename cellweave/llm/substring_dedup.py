@@ -55,13 +55,13 @@ from .touched import keyed, with_runs
 
 WINDOW, ROUNDS = 20, 3
 #: Bytes of text packed at once, and looked at together.
-PART, CHUNK = 3 << 20, 1 << 19
+PART, CHUNK = 2 << 20, 1 << 18
 #: Bytes of text for each bucket of windows, and of names; names that a task holds before it sends them.
-BUCKET_BYTES, NAMING_BYTES, NAMES_HELD = 3 << 20, 16 << 20, 1 << 19
+BUCKET_BYTES, NAMING_BYTES, NAMES_HELD = 2 << 20, 16 << 20, 1 << 19
 #: A name is hot if it comes more often than once in so many bytes of text, and the least count of one.
 HOT, LEAST_HOT = 1 / 100_000, 64
-#: Size of the filter of shared names: two to these powers bits, half a bit a byte of text in between (8 MB at most).
-FILTER_BITS = (16, 26)
+#: Size of the filter of shared names: two to these powers bits, half a bit a byte of text in between (4 MB at most).
+FILTER_BITS = (16, 25)
 
 _FAR = np.int64(1) << 40
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
