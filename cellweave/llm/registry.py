@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     chat_format,
+    collocations,
     decontaminate,
     mixing,
     near_dedup,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decontaminate.op8_benchmark_decontamination,
         quality_rules.op9_quality_rules,
         ordinal_quality.op10_ordinal_quality,
+        collocations.op12_collocations,
     )
 }
 
@@ -42,4 +44,5 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": substring_dedup.SQL,
     "op8_benchmark_decontamination": decontaminate.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op12_collocations": collocations.SQL,
 }
