@@ -18,6 +18,7 @@ from . import (
     suffix_dedup,
     token_counts,
     toxicity,
+    turn_repair,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decontaminate.op8_benchmark_decontamination,
         quality_rules.op9_quality_rules,
         ordinal_quality.op10_ordinal_quality,
+        turn_repair.op11_turn_repair,
         collocations.op12_collocations,
     )
 }
