@@ -13,6 +13,7 @@ from . import (
     mixing,
     near_dedup,
     ordinal_quality,
+    page_text,
     quality_rules,
     substring_dedup,
     suffix_dedup,
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ordinal_quality.op10_ordinal_quality,
         turn_repair.op11_turn_repair,
         collocations.op12_collocations,
+        page_text.op13_html_extraction,
     )
 }
 
