@@ -1,15 +1,19 @@
 """Operator 7, token counts by overlap resynchronisation.
 
 Texts are encoded in chunks of ``CHUNK_BYTES`` that reach ``OVERLAP_BYTES`` into
-their successor, all chunks of a batch together; token offsets follow from the
-lengths of the pieces. Two neighbouring chunks are spliced at a boundary that
-both place in the overlap and that is proven stable: a token that starts with
-the word mark right after a character that is not one. No piece of the vocabulary
-holds a word mark behind another character (checked when the model is loaded), so no
-merge crosses such a boundary whatever stands on either side. Where an overlap
-has no such boundary, the earlier chunk is widened, twice as far each time, at
-last over its successor. Only a text of at most one chunk is encoded whole: it is
-the one chunk. Work on a chunk is bounded by its width, not by the text's.
+their successor, many chunks in one call; token offsets follow from the lengths of
+the pieces. Two neighbouring chunks are spliced at a boundary that both place in
+the overlap and that is proven stable: it lies between two characters that stand
+side by side in no piece of the vocabulary, so no merge crosses it, whatever stands
+on either side (blanks before words, digits beside digits, line ends, most pairs of
+ideographs). Chunks begin at such a boundary where one is near, else at any
+character. Where an overlap has no common boundary, the earlier chunk is widened,
+twice as far each time, at last over its successor and over as many more as double
+it, so the work stays linear. What is encoded at once is bounded by the chunk and
+by the longest stretch without any proven boundary (one letter repeated), which no
+encoder can cut. Only a text of at most one chunk is encoded whole: it is the one
+chunk. A model for which the proof does not hold (a normaliser that rewrites text,
+or no byte pieces) is refused.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; text that looks
 like a special token is ordinary text; nothing is cut or padded; repeated rows
@@ -39,7 +43,7 @@ COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_
 
 
 class Tokenizer:
-    """A sentencepiece model and the proof that its word marks are stable boundaries."""
+    """A sentencepiece model and the pairs of characters that its pieces hold side by side."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -47,23 +51,35 @@ class Tokenizer:
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         size = m.get_piece_size()
         pieces = [m.id_to_piece(i) for i in range(size)]
-        self.stable = all(not p.lstrip(MARK).count(MARK) for p in pieces)
         # what the model puts before a text, and how it writes blanks
         self.prefix = m.encode("a a", out_type=str)[0].startswith(MARK)
-        self.plain = m.normalize("A  \tb") == (MARK if self.prefix else "") + f"A{MARK}{MARK}\tb"
+        if m.normalize("A  \tb") != (MARK if self.prefix else "") + f"A{MARK}{MARK}\tb" or not any(map(m.is_byte, range(size))):
+            raise ValueError(f"{path}: texts can be spliced only where a model keeps every character and has byte pieces")
+        self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         #: Bytes of a text that each piece stands for; a mark stands for one blank.
         self.width = np.array([1 if m.is_byte(i) else len(p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)], np.int64)
 
+    def parts(self, raw: bytes, at: int) -> bool:
+        """Whether no merge can cross the place before byte ``at``, 0 < at < len(raw)."""
+        if raw[at] & 0xC0 == 0x80:
+            return False
+        a, b = at - 1, at + 1
+        while raw[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b += 1
+        return raw[a:b].decode().replace(" ", MARK) not in self.joined
+
     def count_all(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)] if texts else []
 
     def starts(self, raw: list[bytes], spans: list[tuple[int, int]]) -> list[np.ndarray]:
         """Byte offset of each token of every raw[begin:end].
 
-        Behind a text's start, ``begin`` is a blank; it is written by the mark that
-        the model itself puts before a text.
+        Where a span behind a text's start begins with a blank, that is written by the
+        mark that the model itself puts before a text.
         """
-        own = [self.prefix and b > 0 for b, _ in spans]
+        own = [self.prefix and b > 0 and r[b] == 0x20 for r, (b, _) in zip(raw, spans)]
         texts = [r[b + o : e].decode() for r, (b, e), o in zip(raw, spans, own)]
         out = []
         for ids, r, text, (b, e), o in zip(self.model.encode(texts, num_threads=1), raw, texts, spans, own):
@@ -84,21 +100,25 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _stable(raw: bytes, at: np.ndarray, after: int) -> np.ndarray:
-    """Token starts behind ``after`` that are a blank right after another character."""
+def _stable(t: Tokenizer, raw: bytes, at: np.ndarray, after: int) -> np.ndarray:
+    """Token starts behind ``after`` that no merge can cross."""
     at = at[np.searchsorted(at, after, "right") :]
-    return np.array([x for x in at.tolist() if raw[x] == 0x20 and raw[x - 1] != 0x20 and raw[max(0, x - 3) : x] != MARK.encode()], np.int64)
+    return np.array([x for x in at.tolist() if t.parts(raw, x)], np.int64)
+
+
+#: Bytes behind a chunk's width in which its successor's start is sought.
+NEAR = 1 << 6
 
 
-def _cuts(raw: bytes, chunk: int) -> list[int]:
-    """Where chunks begin: 0 and, in every stretch of ``chunk`` bytes, the first blank after another character."""
+def _cuts(t: Tokenizer, raw: bytes, chunk: int) -> list[int]:
+    """Where chunks begin: 0 and, behind every ``chunk`` bytes, a blank after another character, else a stable boundary, else any character."""
     out, at = [0], chunk
     while at < len(raw):
-        x = raw.find(b" ", at)
+        x = raw.find(b" ", at, at + NEAR)
         while x > 0 and raw[x - 1] == 0x20:
-            x = raw.find(b" ", x + 1)
+            x = raw.find(b" ", x + 1, at + NEAR)
         if x < 0:
-            break
+            x = next((y for y in range(at, min(at + NEAR, len(raw))) if t.parts(raw, y)), _whole(raw, at))
         out.append(x)
         at = x + chunk
     return out
@@ -111,42 +131,47 @@ def _whole(raw: bytes, at: int) -> int:
     return min(at, len(raw))
 
 
+#: Chunks encoded in one call.
+GROUP = 256
+
+
 def count_spliced(t: Tokenizer, texts: list[bytes], chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> tuple[list[int], int]:
     """Tokens of each text, counted over overlapping chunks of its bytes; and the number of splices made."""
-    if not (t.stable and t.plain):
-        return t.count_all([x.decode() for x in texts]), 0
-    owner, spans = [], []
-    for i, raw in enumerate(texts):
-        cut = _cuts(raw, chunk)
-        owner += [i] * len(cut)
-        spans += [(a, _whole(raw, b + overlap)) for a, b in zip(cut, [*cut[1:], len(raw)])]
-    places = t.starts([texts[i] for i in owner], spans)
-    total, made = [0] * len(texts), 0
-    here, begin, k = None, 0, 0
-    while k < len(spans):
-        raw, (lead, end) = texts[owner[k]], spans[k]
-        if here is None:
-            here, begin = places[k], lead
-        if k + 1 == len(spans) or owner[k + 1] != owner[k]:
-            total[owner[k]] += len(here) - int(np.searchsorted(here, begin))
-            here = None
-            k += 1
-            continue
-        after, there, wide = spans[k + 1][0], places[k + 1], overlap
-        while True:
-            common = np.intersect1d(_stable(raw, here, after), _stable(raw, there, after))
-            if len(common) or end >= spans[k + 1][1]:
-                break
-            wide *= 2
-            end = _whole(raw, min(spans[k + 1][1], spans[k][1] + wide))
+    chunk = max(chunk, 4)  # a chunk holds a character
+    cuts = [_cuts(t, raw, chunk) for raw in texts]
+    spans = [[(a, _whole(raw, b + overlap)) for a, b in zip(cut, [*cut[1:], len(raw)])] for raw, cut in zip(texts, cuts)]
+
+    def encoded():
+        flat = [(raw, span) for raw, own in zip(texts, spans) for span in own]
+        for a in range(0, len(flat), GROUP):
+            yield from t.starts(*map(list, zip(*flat[a : a + GROUP])))
+
+    places = encoded()
+    total, made = [], 0
+    for raw, own in zip(texts, spans):
+        here, begin, (lead, end), count, j = next(places), 0, own[0], 0, 0
+        while j + 1 < len(own):
+            j += 1
+            there, (after, reach), wide = next(places), own[j], overlap
+            common = np.intersect1d(_stable(t, raw, here, after), _stable(t, raw, there, after))
+            while not len(common) and end < reach:
+                wide *= 2
+                end = _whole(raw, min(reach, after + wide))
+                here = t.starts([raw], [(lead, end)])[0]
+                common = np.intersect1d(_stable(t, raw, here, after), _stable(t, raw, there, after))
+            if len(common):
+                splice = int(common[len(common) // 2])
+                count += int(np.searchsorted(here, splice) - np.searchsorted(here, begin))
+                here, begin, lead, end, made = there, splice, after, reach, made + 1
+                continue
+            # no agreement in the whole successor: this chunk takes its place, and that of others until it has doubled
+            goal = 2 * end - lead
+            while j + 1 < len(own) and end < goal:
+                j += 1
+                next(places)
+                end = own[j][1]
             here = t.starts([raw], [(lead, end)])[0]
-        if len(common):
-            splice = int(common[len(common) // 2])
-            total[owner[k]] += int(np.searchsorted(here, splice) - np.searchsorted(here, begin))
-            here, begin, made = there, splice, made + 1
-        else:  # no agreement in the whole successor: this chunk takes its place
-            spans[k + 1] = (lead, end)
-        k += 1
+        total.append(count + len(here) - int(np.searchsorted(here, begin)))
     return total, made
 
 

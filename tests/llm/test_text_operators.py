@@ -81,6 +81,36 @@ def test_token_counts_are_the_librarys_and_spliced(spark):
     assert made > 400 and got == t.count_all(huge)
 
 
+def test_token_counts_splice_texts_without_blanks():
+    public = pytest.importorskip("public_tokenizers")
+    t = token_counts.tokenizer(str(public.path("piece_bpe_32k.model")))
+    rng = random.Random(9)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40000))
+    ideographs = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(15000))
+    lines = "".join("".join(rng.choices("etaoinshrdlu", k=50)) + "\n" for _ in range(800))
+    code = "".join(rng.choice(["function(", "a=b;", "return", "{x:1}", "<s>", "</s>", "▁", "é", "\t"]) for _ in range(9000))
+    texts = [base64, ideographs, lines, code, "a" * 30000 + "1" + "b" * 9000, "ab" * 12000]
+    for chunk, overlap, upto in ((token_counts.CHUNK_BYTES, token_counts.OVERLAP_BYTES, None), (100, 8, 6000), (7, 1, 1500)):
+        for text in (x[:upto] for x in texts):
+            got, made = token_counts.count_spliced(t, [text.encode()], chunk, overlap)
+            assert got == t.count_all([text])
+            if len(set(text)) > 3:  # chunks stay short: a splice nearly every chunk
+                assert made >= len(text.encode()) // (chunk + token_counts.NEAR) * 0.5
+
+
+def test_token_counts_of_one_huge_text_take_little_at_once(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    t = token_counts.tokenizer(str(public.path("piece_bpe_32k.model")))
+    line = "https://example.org/path?id=0123456789abcdefghijkl\n".encode()
+    widest, whole = [0], t.starts
+    monkeypatch.setattr(t, "starts", lambda raw, spans: (widest.append(max(b - a for a, b in spans)), whole(raw, spans))[1])
+    (got,), made = token_counts.count_spliced(t, [line * 100000])
+    monkeypatch.undo()
+    assert made > 1000 and max(widest) < 3 * token_counts.CHUNK_BYTES
+    one, two = t.count_all([line.decode(), (line * 2).decode()])
+    assert got == one + (two - one) * 99999
+
+
 def brute_decontamination(docs, items, n=10):
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     out = {}
