@@ -64,7 +64,11 @@ def nearest_owner(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: i
 
 def distances(edges: DataFrame, objects: DataFrame, limit: int, max_rounds: int = 500) -> DataFrame:
     """(object, node, dist): every node within ``limit`` of each object (columns object, node)."""
-    directed = materialise(mirrored(edges))
+    return reached(materialise(mirrored(edges)), objects, limit, max_rounds)
+
+
+def reached(directed: DataFrame, objects: DataFrame, limit: int, max_rounds: int = 500) -> DataFrame:
+    """The same over edges that go one way (src, dst, w)."""
     best = materialise(objects.select("object", "node", F.lit(0).cast("long").alias("dist")).distinct())
     frontier = best
     for _ in range(max_rounds):

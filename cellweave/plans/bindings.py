@@ -20,13 +20,13 @@ _ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    from . import bindings_cells, bindings_evidence, bindings_labels, bindings_more, bindings_network, bindings_overlay, bindings_rivers, bindings_space, bindings_terrain, bindings_tiles  # noqa: F401
+    from . import bindings_cells, bindings_evidence, bindings_labels, bindings_more, bindings_network, bindings_overlay, bindings_paths, bindings_rivers, bindings_space, bindings_terrain, bindings_tiles  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    from . import bindings_cells, bindings_evidence, bindings_labels, bindings_more, bindings_network, bindings_overlay, bindings_rivers, bindings_space, bindings_terrain, bindings_tiles  # noqa: F401
+    from . import bindings_cells, bindings_evidence, bindings_labels, bindings_more, bindings_network, bindings_overlay, bindings_paths, bindings_rivers, bindings_space, bindings_terrain, bindings_tiles  # noqa: F401
 
     return dict(_ORACLES)
 
