@@ -35,9 +35,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from html.parser import HTMLParser
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +71,8 @@ SCOPES = frozenset("html body article aside div section main table td th ul ol d
 GROUP, DEPTH = 64, 64
 #: Share of a host's pages, in per cent, and pages that make a line a constant node; share of link text that makes a menu.
 CONSTANT, EVIDENCE, LINKS = 90, 20, 50
-#: Child sequences whose product of lengths is larger are matched greedily.
-PAIRS = 1 << 18
+#: Matched sizes of pairs of subtrees that are remembered; others are worked out again.
+KNOWN = 1 << 20
 
 
 @lru_cache(maxsize=1 << 12)
@@ -244,50 +247,95 @@ class Tree:
                     self.children[open_nodes[-1]].append(len(self.label) - 1)
 
 
+def _aligned(n: int, m: int, weights: Callable[[int], np.ndarray], pairs: bool = True) -> tuple[int, list[tuple[int, int]]]:
+    """Weight and pairs of the heaviest matching of n and m items that keeps their order.
+
+    ``weights(i)`` holds what item i weighs with each of the m others, 0 where they do not match.
+    Rows of the table are kept at intervals and made again between them, so memory grows with m times the root of n.
+    """
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        w = weights(i)[: len(row) - 1]
+        out = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[1:], np.where(w > 0, row[:-1] + w, 0)), out=out[1:])
+        return out
+
+    step = isqrt(n) + 1
+    row = np.zeros(m + 1, np.int32)
+    kept = [row]
+    for i in range(n):
+        row = after(row, i)
+        if pairs and (i + 1) % step == 0:
+            kept.append(row)
+    out, j = [], m
+    for k in range(len(kept) - 1, -1, -1) if pairs else ():
+        rows = [kept[k][: j + 1]]
+        for i in range(k * step, min(k * step + step, n)):
+            rows.append(after(rows[-1], i))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            else:
+                j = int(np.searchsorted(rows[i][: j + 1], rows[i][j])) - 1  # the first place of this weight is where the pair ends
+                i -= 1
+                out.append((k * step + i, j))
+    return int(row[-1]), out[::-1]
+
+
 def matching(a: Tree, b: Tree) -> dict[int, int]:
     """Nodes of ``a`` with their partners in ``b``: the most nodes that a top-down, order-keeping matching can have."""
-    known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def best(x: int, y: int) -> int:
-        """Nodes matched below and with x and y, whose labels are equal."""
-        if (x, y) not in known:
-            p, q = a.children[x], b.children[y]
-            if len(p) * len(q) > PAIRS:
-                pairs, j = [], 0
-                for c in p:
-                    k = next((k for k in range(j, len(q)) if b.label[q[k]] == a.label[c]), None)
-                    if k is not None:
-                        pairs.append((c, q[k]))
-                        j = k + 1
-                known[x, y] = (1 + sum(best(c, d) for c, d in pairs), pairs)
-            else:
-                score = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-                for i, c in enumerate(p, 1):
-                    for j, d in enumerate(q, 1):
-                        score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + best(c, d) if a.label[c] == b.label[d] else 0)
-                i, j, pairs = len(p), len(q), []
-                while i and j:
-                    if score[i][j] == score[i - 1][j]:
-                        i -= 1
-                    elif score[i][j] == score[i][j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        pairs.append((p[i], q[j]))
-                known[x, y] = (1 + score[-1][-1], pairs[::-1])
-        return known[x, y][0]
+    kinds: dict[tuple, int] = {}
+    (kind_a, size_a), (kind_b, _) = (_kinds(t, kinds) for t in (a, b))
+    one_a, one_b = ({k: x for x, k in enumerate(of)} for of in (kind_a, kind_b))  # a node of each kind
+
+    @lru_cache(maxsize=KNOWN)
+    def best(k: int, l: int) -> int:
+        """Nodes matched below and with nodes of two kinds."""
+        x, y = one_a[k], one_b[l]
+        if k == l:
+            return size_a[x]
+        if a.label[x] != b.label[y]:
+            return 0
+        return 1 + below(x, y, False)[0] if a.children[x] and b.children[y] else 1
+
+    def below(x: int, y: int, pairs: bool) -> tuple[int, list[tuple[int, int]]]:
+        p, q = a.children[x], b.children[y]
+        if len(p) == len(q) == 1:
+            w = best(kind_a[p[0]], kind_b[q[0]])
+            return w, [(p[0], q[0])] if w else []
+        others, place = np.unique([kind_b[d] for d in q], return_inverse=True)
+
+        @lru_cache(maxsize=64)
+        def weights(k: int) -> np.ndarray:
+            return np.array([best(k, l) for l in others.tolist()], np.int32)[place]
+
+        total, found = _aligned(len(p), len(q), lambda i: weights(kind_a[p[i]]), pairs)
+        return total, [(p[i], q[j]) for i, j in found]
 
     if not a.label or not b.label or a.label[0] != b.label[0]:
         return {}
-    best(0, 0)
-    out, stack = {0: 0}, [(0, 0)]
+    out, stack = {}, [(0, 0)]
     while stack:
-        for c, d in known[stack.pop()][1]:
-            out[c] = d
-            stack.append((c, d))
+        x, y = stack.pop()
+        if kind_a[x] == kind_b[y]:  # node by node
+            out.update(zip(range(x, x + size_a[x]), range(y, y + size_a[x])))
+            continue
+        out[x] = y
+        if a.children[x] and b.children[y]:
+            stack += below(x, y, True)[1]
     return out
 
 
+def _kinds(t: Tree, known: dict[tuple, int]) -> tuple[list[int], list[int]]:
+    """For each node a number, the same for equal subtrees, and the nodes of its subtree."""
+    kind, size = [0] * len(t.label), [1] * len(t.label)
+    for x in range(len(t.label) - 1, -1, -1):
+        kind[x] = known.setdefault((t.label[x], *(kind[c] for c in t.children[x])), len(known))
+        size[x] += sum(size[c] for c in t.children[x])
+    return kind, size
+
+
 def merged(a: Tree, b: Tree) -> str:
     """Both trees in one: matched nodes once, the others in their places."""
     partner = matching(b, a)

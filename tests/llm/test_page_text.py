@@ -105,3 +105,42 @@ def test_templates_take_in_every_shape(spark, monkeypatch, group):
     for s in shapes[:40]:
         a = page_text.Tree(s)
         assert len(page_text.matching(a, page_text.Tree(found["x"]))) == len(a.label)
+
+
+def plain(a, b):
+    """The largest matching by the whole table, however many children there are: nodes of a with their partners in b."""
+
+    def best(x, y):
+        if a.label[x] != b.label[y]:
+            return 0, []
+        p, q = a.children[x], b.children[y]
+        score = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, c in enumerate(p, 1):
+            for j, d in enumerate(q, 1):
+                w = best(c, d)[0]
+                score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + w if w else 0)
+        i, j, pairs = len(p), len(q), [(x, y)]
+        while i and j:
+            if score[i][j] == score[i - 1][j]:
+                i -= 1
+            elif score[i][j] == score[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs += best(p[i], q[j])[1]
+        return 1 + score[-1][-1], pairs
+
+    return dict(best(0, 0)[1])
+
+
+def test_wide_shapes_are_matched_as_small_ones():
+    rng = random.Random(5)
+    for n, m in ((3, 4), (40, 60), (520, 530)):  # the last product of lengths is over 2 ** 18
+        one, two = (page_text.Tree(f"r({' '.join(rng.choice(['text', 'b', 'c(text)', 'c(b text)', 'c(text b)', *'defgh'[:k]]) for _ in range(x))})") for x, k in ((n, 3), (m, 5)))
+        found = page_text.matching(one, two)
+        assert found == plain(one, two)
+    # a first child that stands late on the other side only must not use up that side
+    wide = " ".join(["b c"] * 300)
+    one, two = page_text.Tree(f"r(z {wide})"), page_text.Tree(f"r({wide} z)")
+    assert len(page_text.matching(one, two)) == 601
+    assert len(page_text.Tree(page_text.merged(one, two)).label) == 603
