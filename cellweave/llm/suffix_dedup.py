@@ -6,9 +6,9 @@ strings of one gram travel together as a segment. In a bucket, equal segments
 collapse; distinct segments of a gram that agree for 19 more bytes on one side of it
 (two that share a string must) are cut into shards. Each shard gets its suffix array and Burrows-Wheeler
 transform on its own. The transforms are then merged without sorting suffixes again: an
-interleave of the shards is refined one symbol a pass (each pass deals the
-current order out by the symbol that precedes, stably), and the places where
-blocks first part give the longest common prefixes. After fifty passes a block
+interleave of the shards is refined (each pass deals the current order out by the
+symbols that precede, stably: as many at once as fit in a word), and the places where
+blocks first part give the longest common prefixes. After fifty symbols a block
 is a repeated interval: all places of one 50-byte string. The smallest
 document of the interval keeps it; every other document loses the bytes.
 
@@ -47,8 +47,8 @@ PART, CHUNK = 8 << 20, 1 << 18
 _ZSTD = pa.Codec("zstd", compression_level=3)
 #: Documents sampled for frequent grams, and the share of segments that makes one frequent.
 SAMPLE_DOCS, FREQUENT = 4000, 1 / 2000
-#: Bytes of a shard at least, and shards of a merge at most.
-SHARD, MAX_SHARDS = 1 << 15, 200
+#: Bytes of a shard.
+SHARD = 1 << 15
 
 _HEAD = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("count", "u1"), ("offset", "u1"), ("several", "?")])
 #: Bytes beside the gram that two segments must share on one side at least to share a string.
@@ -208,6 +208,21 @@ def pack(batch: pa.RecordBatch, buckets: int, frequent: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(h, pa.binary()), pa.array(r, pa.binary()), pa.array(n, pa.int64())], names=["bucket", "heads", "raw", "size"])
 
 
+def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of numbers of so many bits, the same for equal ones, and their order, equal ones by place."""
+    n = len(key)
+    shift = n.bit_length()
+    if bits + shift <= 63:  # number and place in one word
+        word = np.sort(key << shift | np.arange(n))
+        order, key = word & ((1 << shift) - 1), word >> shift
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.append(True, key[1:] != key[:-1])[:n]) - 1
+    return rank, order
+
+
 class Shard:
     """A collection of strings with its suffix array and Burrows-Wheeler transform.
 
@@ -219,48 +234,86 @@ class Shard:
         n = len(symbols)
         at = np.arange(n)
         room = end - at + 1  # symbols up to and with the terminator
+        bits = max(1, int(symbols.max(initial=0)).bit_length())
+        depth, longest = min(7, max(1, (63 - n.bit_length()) // bits)), int(room.max(initial=0))
         key = np.zeros(n, np.int64)
-        padded = np.concatenate([symbols, np.zeros(7, symbols.dtype)]).astype(np.int64)
-        for k in range(7):
-            key = (key << 9) | np.where(room > k, padded[k : k + n], 0)
-        depth, longest = 7, int(room.max(initial=0))
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        padded = np.concatenate([symbols, np.zeros(depth, symbols.dtype)]).astype(np.int64)
+        for k in range(depth):
+            key = (key << bits) | np.where(room > k, padded[k : k + n], 0)
+        rank, self.suffix = _ranked(key, depth * bits)
         while depth < longest:
             ahead = np.where(room > depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
-            rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+            rank, self.suffix = _ranked(rank * (n + 1) + ahead, 2 * n.bit_length())
             depth *= 2
-        self.suffix = np.argsort(rank, kind="stable")
         before = symbols[np.maximum(self.suffix - 1, 0)].copy()
         before[self.suffix == 0] = 0
         self.bwt = before
 
 
-def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _before(bwt: np.ndarray, span: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a transform the ``span`` symbols before its suffix, as one number, and the row of the suffix that begins with them."""
+    symbol = bwt.astype(np.int64)
+    back = np.empty(len(bwt), np.int64)
+    back[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    key, row, done = symbol, back, 1
+    for step in bin(span)[3:]:  # twice as far, and one symbol more where the binary digit says so
+        key, row, done = key | key[row] << done * bits, row[row], 2 * done
+        if step == "1":
+            key, row, done = key | symbol[row] << done * bits, back[row], done + 1
+    return key, row
+
+
+def stride_of(symbols: int, places: int) -> tuple[int, int]:
+    """(symbols that one pass of a merge may deal by, bits of a symbol): they share a word of 63 bits with the place."""
+    bits = max(1, (symbols - 1).bit_length())
+    return max(1, (63 - max(1, (places - 1).bit_length())) // bits), bits
+
+
+def merge(shards: list[np.ndarray], depth: int, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Merge Burrows-Wheeler transforms: (order, lcp).
 
     ``order`` lists places of the concatenated transforms so that suffixes are
     sorted by their first ``depth`` symbols; lcp[i] is the common prefix of the
-    suffixes i - 1 and i, or ``depth`` where it is not shorter.
+    suffixes i - 1 and i, or ``depth`` where it is not shorter. One pass deals by up to
+    ``stride`` symbols, as that many passes by one would; prefixes are then rounded down to what earlier passes had compared.
     """
     symbols = np.concatenate(shards)
     n = len(symbols)
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(x) for x in shards])
-    order = np.arange(n)
-    block = np.zeros(n, np.int64)
+    seen = np.bincount(symbols) > 0
+    found, symbols = np.flatnonzero(seen), (np.cumsum(seen) - 1)[symbols]
+    most, bits = stride_of(len(found), n)
+    stride = min(stride, most, depth)
+    edge = np.cumsum([0, *(len(x) for x in shards)]).tolist()
+    symbols = symbols.astype(np.uint16)
+    shift = max(1, (n - 1).bit_length())
+    mask = (1 << shift) - 1
+    order, block = np.arange(n), np.zeros(n, np.int32)
+    key, back = np.empty(n, np.int64), np.empty(n, np.int64)
     lcp = np.full(n, depth, np.int16)
     if n:
         lcp[0] = 0
-    wide = symbols.astype(np.uint16)
-    for length in range(depth):
-        s = wide[order]
-        dealt = np.argsort(s, kind="stable")
-        source, parted = source[dealt], block[dealt]
-        s = s[dealt]
+    length, span = 0, 0
+    while length < depth:
+        step = (depth - 1) % stride + 1 if not length else stride  # what is left over comes first
+        if step != span:
+            for a, b in zip(edge, edge[1:]):
+                key[a:b], back[a:b] = _before(symbols[a:b], step, bits)
+                back[a:b] += a
+            key <<= shift
+            span = step
+        dealt = key[order]
+        dealt |= np.arange(n)
+        dealt.sort()  # by the symbols before, then by place
+        s = dealt >> shift
+        dealt &= mask
+        parted = block[dealt]
         new = np.zeros(n, bool)
         new[1:] = (s[1:] != s[:-1]) | (parted[1:] != parted[:-1])
         lcp[new & (lcp == depth)] = length
-        block = np.cumsum(new)
-        order[np.argsort(source, kind="stable")] = np.arange(n)  # each shard's suffixes stay in its own order
+        del s, parted
+        block = np.cumsum(new, dtype=np.int32)
+        order = back[order[dealt]]  # each shard's suffixes stay in its own order
+        length += step
     return order, lcp
 
 
@@ -278,8 +331,8 @@ def _owners(raw: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.ndarray
     symbols[inner] = _gather(raw, at, size).astype(np.uint16) + 1
     segment = np.repeat(np.arange(len(size)), room)
     end = (place + size)[segment]
-    per = max(SHARD, -(-n // MAX_SHARDS))
-    cut = np.unique(place[np.searchsorted(place, np.arange(0, n, per))[np.searchsorted(place, np.arange(0, n, per)) < len(place)]])
+    lead = np.searchsorted(place, np.arange(0, n, SHARD))
+    cut = np.unique(place[lead[lead < len(place)]])
     cut = np.append(cut, n)
     if len(cut) == 2 and len(place) > 1:  # two shards at least
         cut = np.array([0, place[len(place) // 2], n])
@@ -288,7 +341,7 @@ def _owners(raw: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.ndarray
         x = Shard(symbols[a:b], end[a:b] - a)
         shards.append(x.bwt)
         suffixes.append(x.suffix + a)
-    order, lcp = merge(shards, LENGTH)
+    order, lcp = merge(shards, LENGTH, LENGTH)
     where = np.concatenate(suffixes)[order]
     whole = end[where] - where >= LENGTH
     interval = np.cumsum(lcp < LENGTH)[whole]

@@ -500,6 +500,30 @@ def test_merged_transforms_are_sorted_with_their_prefixes():
                 assert n == same
 
 
+@pytest.mark.parametrize("letters", [2, 60, 255])
+def test_merging_by_several_symbols_is_merging_by_one(letters):
+    r = np.random.default_rng(letters)
+    for _ in range(15):
+        transforms, held = [], []
+        for _ in range(r.integers(1, 260 if letters == 2 else 5)):  # more shards than a byte counts, too
+            symbols, end = [], []
+            for _ in range(r.integers(1, 6)):
+                s = [*(held[r.integers(len(held))] if held and r.random() < 0.5 else []), *(r.integers(1, letters + 1, r.integers(0, 30)).tolist())][-60:]
+                held.append(s)
+                end += [len(symbols) + len(s)] * (len(s) + 1)
+                symbols += [*s, 0]
+            x = suffix_dedup.Shard(np.array(symbols, np.uint16), np.array(end))
+            content = [symbols[i : end[i] + 1] for i in range(len(symbols))]
+            assert x.suffix.tolist() == sorted(range(len(symbols)), key=lambda i: (content[i], i))
+            transforms.append(x.bwt)
+        for depth in (1, 7, 50):
+            order, lcp = suffix_dedup.merge(transforms, depth)
+            for stride in (2, 6, 50):
+                got, parts = suffix_dedup.merge(transforms, depth, stride)
+                assert (got == order).all() and ((parts < depth) == (lcp < depth)).all()
+    assert suffix_dedup.stride_of(100, 1 << 20)[0] == 6 and suffix_dedup.stride_of(257, 1 << 30)[0] == 3
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_ids_of_any_type_and_ids_with_several_texts(spark, kind):
     """Rows of one id and different texts are documents of their own; nothing of one is cut from another."""
