@@ -73,6 +73,8 @@ GROUP, DEPTH = 64, 64
 CONSTANT, EVIDENCE, LINKS = 90, 20, 50
 #: Matched sizes of pairs of subtrees that are remembered; others are worked out again.
 KNOWN = 1 << 20
+#: Cells of a table that is faster weighed number by number than row by row; the weight is the same.
+PLAIN = 256
 
 
 @lru_cache(maxsize=1 << 12)
@@ -297,7 +299,16 @@ def matching(a: Tree, b: Tree) -> dict[int, int]:
             return size_a[x]
         if a.label[x] != b.label[y]:
             return 0
-        return 1 + below(x, y, False)[0] if a.children[x] and b.children[y] else 1
+        p, q = a.children[x], b.children[y]
+        if len(p) * len(q) > PLAIN:
+            return 1 + below(x, y, False)[0]
+        row = [0] * (len(q) + 1)
+        for c in p:
+            corner = 0
+            for j, d in enumerate(q):
+                w = best(kind_a[c], kind_b[d]) if a.label[c] == b.label[d] else 0
+                corner, row[j + 1] = row[j + 1], max(row[j], row[j + 1], corner + w if w else 0)
+        return 1 + row[-1]
 
     def below(x: int, y: int, pairs: bool) -> tuple[int, list[tuple[int, int]]]:
         p, q = a.children[x], b.children[y]

@@ -144,3 +144,17 @@ def test_wide_shapes_are_matched_as_small_ones():
     one, two = page_text.Tree(f"r(z {wide})"), page_text.Tree(f"r({wide} z)")
     assert len(page_text.matching(one, two)) == 601
     assert len(page_text.Tree(page_text.merged(one, two)).label) == 603
+
+
+@pytest.mark.parametrize("cells", [0, 9, 1 << 40])
+def test_matching_is_the_same_however_tables_are_weighed(monkeypatch, cells):
+    monkeypatch.setattr(page_text, "PLAIN", cells)
+    rng = random.Random(6)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.randrange(0, 7))] if depth else []
+        return rng.choice("abc") + (f"({' '.join(kids)})" if kids else "")
+
+    for _ in range(25):
+        one, two = (page_text.Tree(f"r({tree(3)} {tree(2)} {tree(2)})") for _ in range(2))
+        assert page_text.matching(one, two) == plain(one, two)
