@@ -29,17 +29,33 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame, max_hops: int) -> DataFra
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, component): component is the smallest node that can be reached."""
-    directed = materialise(mirrored(edges).select("src", "dst"))
-    labels = materialise(nodes.select("node", F.col("node").alias("component")))
+    """(node, component): component is the smallest node that can be reached.
+
+    Every node hooks to its smallest neighbour, pointer doubling leads each such tree to its root, and the edges between
+    roots go on; trees at least halve where they meet, so rounds are logarithmic also for long chains.
+    """
+    own = nodes.select("node").distinct()
+    left = mirrored(edges).select("src", "dst").where("src <> dst")
+    for end in ("src", "dst"):
+        left = left.join(own.select(F.col("node").alias(end)), end, "left_semi")
+    left = materialise(left)
+    labels = nodes.select("node", F.col("node").alias("component"))
     for _ in range(max_rounds):
-        near = directed.join(labels, directed["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("near"))
-        seen = labels.join(near, labels["node"] == near["src"], "left").select("node", "component", F.least("component", "near").alias("best"))
-        moved = seen.groupBy("component").agg(F.min("best").alias("to"))
-        after = materialise(seen.join(moved, "component").select("node", F.least("best", "to").alias("to"), (F.least("best", "to") < F.col("component")).alias("changed")))
-        labels = after.select("node", F.col("to").alias("component"))
-        if after.where("changed").isEmpty():
+        if left.isEmpty():
             return labels
+        roots = materialise(left.groupBy(F.col("src").alias("at")).agg(F.least(F.col("src"), F.min("dst")).alias("to")))
+        for _ in range(max_rounds):
+            onward = roots.select(F.col("at").alias("to"), F.col("to").alias("next"))
+            jumped = materialise(roots.join(onward, "to").select("at", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            roots = jumped.select("at", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        else:
+            raise RuntimeError("components: no fixed point")
+        labels = materialise(labels.join(roots, labels["component"] == roots["at"], "left").select("node", F.coalesce("to", "component").alias("component")))
+        for end in ("src", "dst"):
+            left = left.join(roots.select(F.col("at").alias(end), F.col("to").alias(f"{end}_root")), end)
+        left = materialise(left.select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")).where("src <> dst").distinct())
     raise RuntimeError("components: no fixed point")
 
 
