@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 from . import crowds
 
 BOX = ("left", "bottom", "right", "top")
-#: Left polygons of a part.
-MOST = 512
+#: Left polygons of a part; edges of a polygon in one row (larger ones have several, whose results are summed).
+MOST, EDGES = 512, 64
 
 
 def tiled(boxes: DataFrame, size: float) -> DataFrame:
@@ -29,10 +29,19 @@ def tiled(boxes: DataFrame, size: float) -> DataFrame:
     return wide.withColumn("ty", F.explode(F.sequence(t("bottom"), t("top"))))
 
 
-def gathered(e: DataFrame, columns: tuple[str, ...], left: str, right: str) -> DataFrame:
-    """(id, left, bottom, right, top, columns...): a row a polygon, its edges' columns as arrays."""
-    g = e.groupBy(F.col("poly").alias("id")).agg(F.min(F.least(left, right)).alias("left"), F.min("__low").alias("bottom"), F.max(F.greatest(left, right)).alias("right"), F.max("__high").alias("top"), F.collect_list(F.struct(*columns)).alias("__e"))
-    return g.select("id", *BOX, *(F.col(f"__e.{c}").alias(c) for c in columns))
+def gathered(e: DataFrame, columns: tuple[str, ...], left: str, right: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, left, bottom, right, top, carry..., columns...): polygons, the columns of up to EDGES edges of theirs as arrays; ``carry`` are polygons' own columns."""
+    whole = W.partitionBy("poly")
+    low, high = ("ya", "yb") if left == "xa" else ("y0", "y1")
+    b = e.select("poly", *carry, *columns, F.min(F.least(left, right)).over(whole).alias("left"), F.min(F.least(low, high)).over(whole).alias("bottom"), F.max(F.greatest(left, right)).over(whole).alias("right"), F.max(F.greatest(low, high)).over(whole).alias("top"))
+    b = b.withColumn("__k", F.floor((F.row_number().over(whole.orderBy(*columns)) - 1) / EDGES))
+    g = b.groupBy(F.col("poly").alias("id"), *BOX, *carry, "__k").agg(F.collect_list(F.struct(*columns)).alias("__e"))
+    return g.select("id", *BOX, *carry, *(F.col(f"__e.{c}").alias(c) for c in columns))
+
+
+def large(e: DataFrame) -> bool:
+    """Whether some polygon has more than EDGES edges."""
+    return not e.groupBy("poly").count().where(F.col("count") > EDGES).isEmpty()
 
 
 def _padded(t: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
@@ -47,8 +56,8 @@ def _padded(t: pa.Table, columns: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-def met(a: DataFrame, b: DataFrame, size: float, columns: tuple[str, ...], kernel: Callable, results: dict[str, type], once: bool) -> DataFrame:
-    """(a, b, results...) of the pairs for which ``kernel`` (of the columns of either side, row by row) gives something; with ``once`` of pairs a < b."""
+def met(a: DataFrame, b: DataFrame, size: float, columns: tuple[str, ...], kernel: Callable, results: dict[str, type], once: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, results..., and either side's own columns) of the pairs for which ``kernel`` (of the columns of either side, row by row) gives something; with ``once`` of pairs a < b."""
 
     def rule(p: pa.Table, q: pa.Table) -> pa.Table:
         ids, others = (t.column("id").to_numpy(zero_copy_only=False) for t in (p, q))
@@ -70,10 +79,11 @@ def met(a: DataFrame, b: DataFrame, size: float, columns: tuple[str, ...], kerne
                 kept, values = kernel([c[x] for c in u], [c[y] for c in v])
                 found.append((x[kept], y[kept], *(w[kept] for w in values)))
         cat = [np.concatenate([f[n] for f in found]) if found else np.empty(0, d) for n, d in enumerate((np.int64, np.int64, *results.values()))]
-        return pa.table({"a": p.column("id").take(pa.array(cat[0])), "b": q.column("id").take(pa.array(cat[1])), **{c: pa.array(w) for c, w in zip(results, cat[2:])}})
+        at = {"a": (p, pa.array(cat[0])), "b": (q, pa.array(cat[1]))}
+        return pa.table({"a": p.column("id").take(at["a"][1]), "b": q.column("id").take(at["b"][1]), **{c: pa.array(w) for c, w in zip(results, cat[2:])}, **{f"{c}_{k}": t.column(c).take(n) for c in carry for k, (t, n) in at.items()}})
 
     kinds = dict(a.dtypes)["id"], dict(b.dtypes)["id"]
-    schema = ", ".join([f"a {kinds[0]}, b {kinds[1]}", *(f"{c} double" for c in results)])
+    schema = ", ".join([f"a {kinds[0]}, b {kinds[1]}", *(f"{c} double" for c in results), *(f"{c}_{k} double" for c in carry for k in "ab")])
     return crowds.met(tiled(a, size), tiled(b, size), ["tx", "ty"], rule, schema, MOST)
 
 
@@ -104,11 +114,10 @@ def even_odd(e: DataFrame) -> DataFrame:
     return one.select("poly", F.col("from").alias("xa"), F.col("till").alias("xb"), y("from").alias("ya"), y("till").alias("yb"), "sign")
 
 
-def shared(signed_a: DataFrame, signed_b: DataFrame, size: float, once: bool = False) -> DataFrame:
-    """(a, b, area_a, area_b, intersection) of signed edges (``facing``, ``even_odd``) whose boxes meet."""
+def shared(signed_a: DataFrame, signed_b: DataFrame, size: float, once: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, area_a, area_b, and so on for columns to ``carry``, intersection) of signed edges (``facing``, ``even_odd``) whose boxes meet."""
 
     def kernel(u: list[np.ndarray], v: list[np.ndarray]) -> tuple:
-        own = [(f[4] * (f[1] - f[0]) * (f[2] + f[3]) / 2).sum(axis=1) for f in (u, v)]
         (xa, xb, ya, yb, s), (pa_, pb, qa, qb, z) = ([c[:, :, None] for c in u], [c[:, None, :] for c in v])
         lo, hi = np.maximum(xa, pa_), np.minimum(xb, pb)
         wide = np.maximum(hi - lo, 0.0)
@@ -120,7 +129,46 @@ def shared(signed_a: DataFrame, signed_b: DataFrame, size: float, once: bool = F
         cut = (d0 < 0) != (d1 < 0)
         least = np.where(cut, -below * below / np.where(cut, np.abs(d1 - d0), 1.0), below)
         area = (s * z * wide * (q0 + wide * n / 2 + least / 2)).sum(axis=(1, 2))
-        return slice(None), (*own, area)
+        return slice(None), (area,)
+
+    carry = ("area", *carry)
+    sides = [e.withColumn("area", F.sum(F.expr("sign * (xb - xa) * (ya + yb) / 2")).over(W.partitionBy("poly"))) for e in (signed_a, signed_b)]
+    found = met(*(gathered(e, SIGNED, "xa", "xb", carry) for e in sides), size, SIGNED, kernel, {"intersection": float}, once, carry)
+    if large(signed_a) or large(signed_b):
+        found = found.groupBy("a", "b").agg(F.sum("intersection").alias("intersection"), *(F.max(f"{c}_{k}").alias(f"{c}_{k}") for c in carry for k in "ab"))
+    return found.select("a", "b", *(f"{c}_{k}" for c in carry for k in "ab"), "intersection")
+
+
+def covered(spots: DataFrame, e: DataFrame, size: float) -> DataFrame:
+    """(x, y, poly, boundary): polygons that hold a spot (x, y), the boundary included; an odd number of edges to the right is inside."""
+    columns = ("x0", "y0", "x1", "y1")
 
-    sides = [gathered(e.withColumns({"__low": F.least("ya", "yb"), "__high": F.greatest("ya", "yb")}), SIGNED, "xa", "xb") for e in (signed_a, signed_b)]
-    return met(*sides, size, SIGNED, kernel, {"area_a": float, "area_b": float, "intersection": float}, once)
+    def rule(p: pa.Table, q: pa.Table) -> pa.Table:
+        x, y = crowds.column(p, "x"), crowds.column(p, "y")
+        l, m, r, t = (crowds.column(q, c) for c in BOX)
+        u = _padded(q, columns)
+        step = max(1, crowds.BLOCK // u[0].shape[1])
+        found: list[tuple] = []
+        for s in crowds.blocks(len(x), len(l)):
+            i, j = np.nonzero((x[s, None] >= l) & (x[s, None] <= r) & (y[s, None] >= m) & (y[s, None] <= t))
+            i += s.start
+            for k in range(0, len(i), step):
+                at, of = i[k : k + step], j[k : k + step]
+                px, py = x[at][:, None], y[at][:, None]
+                x0, y0, x1, y1 = (c[of] for c in u)
+                real = (x0 != x1) | (y0 != y1)  # not what only fills a row
+                side = (x1 - x0) * (py - y0) - (y1 - y0) * (px - x0)
+                right = ((y0 > py) != (y1 > py)) & np.where(y1 > y0, side > 0, side < 0)
+                on = real & (side == 0) & (px >= np.minimum(x0, x1)) & (px <= np.maximum(x0, x1)) & (py >= np.minimum(y0, y1)) & (py <= np.maximum(y0, y1))
+                n, edge = right.sum(axis=1), on.any(axis=1)
+                kept = slice(None) if many else np.flatnonzero((n % 2 == 1) | edge)
+                found.append((at[kept], of[kept], n[kept], edge[kept]))
+        at, of, n, edge = (np.concatenate([f[k] for f in found]) if found else np.empty(0, d) for k, d in enumerate((np.int64, np.int64, np.int64, bool)))
+        return pa.table({"x": pa.array(x[at]), "y": pa.array(y[at]), "poly": q.column("id").take(pa.array(of)), "n": pa.array(n), "boundary": pa.array(edge)})
+
+    many = large(e)
+    a = spots.select("x", "y", crowds.tile("x", size).alias("tx"), crowds.tile("y", size).alias("ty"))
+    out = crowds.met(a, tiled(gathered(e, columns, "x0", "x1"), size), ["tx", "ty"], rule, f"x double, y double, poly {dict(e.dtypes)['poly']}, n long, boundary boolean", MOST)
+    if many:
+        out = out.groupBy("x", "y", "poly").agg(F.sum("n").alias("n"), F.max("boundary").alias("boundary")).where("n % 2 = 1 OR boundary")
+    return out.drop("n")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import pairs
+from . import crowds, pairs
 
 EDGE = ("x0", "y0", "x1", "y1")
 
@@ -48,40 +48,33 @@ def _tiles(df: DataFrame, left: Column, bottom: Column, right: Column, top: Colu
 
 
 def box_pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """(a, b) of boxes (columns id, left, bottom, right, top) that overlap or touch; they meet by tile."""
+    """(a, b) of boxes (columns id, left, bottom, right, top) that overlap or touch; they meet by tile, each pair in the tile of the lower left corner that they share."""
     box = ("left", "bottom", "right", "top")
     u = _tiles(a.select(F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in box)), *(F.col(f"a_{c}") for c in box), size)
     v = _tiles(b.select(F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in box)), *(F.col(f"b_{c}") for c in box), size)
     meet = (F.col("a_left") <= F.col("b_right")) & (F.col("b_left") <= F.col("a_right")) & (F.col("a_bottom") <= F.col("b_top")) & (F.col("b_bottom") <= F.col("a_top"))
-    return u.join(v, ["tx", "ty"]).where(meet).select("a", "b").distinct()
+    corner = (_tile(F.greatest("a_left", "b_left"), size) == F.col("tx")) & (_tile(F.greatest("a_bottom", "b_bottom"), size) == F.col("ty"))
+    # the tables are small, their pairs are not: a fixed number of partitions
+    n = crowds.width(a)
+    return u.repartition(n, "tx", "ty").join(v.repartition(n, "tx", "ty").hint("merge"), ["tx", "ty"]).where(meet & corner).select("a", "b")
 
 
 def covering(points: DataFrame, e: DataFrame, size: float) -> DataFrame:
     """(point, poly, boundary): polygons that hold a point (columns point, x, y), its boundary included.
 
-    Points meet polygons by tile of the box, then only the edges of their own
-    band of y; an odd number of edges to the right is inside.
+    Points on one spot are tried once; spots meet polygons by tile of the box, by blocks of arrays.
     """
-    box = _tiles(boxes(e, ["poly"]), *(F.col(c) for c in ("left", "bottom", "right", "top")), size)
-    near = points.withColumn("tx", _tile("x", size)).withColumn("ty", _tile("y", size)).join(box, ["tx", "ty"])
-    near = near.where(F.col("x").between(F.col("left"), F.col("right")) & F.col("y").between(F.col("bottom"), F.col("top"))).select("point", "x", "y", "ty", "poly")
-    bands = e.withColumn("ty", F.explode(F.sequence(_tile(F.least("y0", "y1"), size), _tile(F.greatest("y0", "y1"), size))))
-    both = near.join(bands, ["poly", "ty"])
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    # a band holds every edge that reaches the point's height, and each of them once
-    side = dx * (F.col("y") - F.col("y0")) - dy * (F.col("x") - F.col("x0"))
-    straddles = (F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))
-    # going up, a point left of the edge has it on its right; going down, one on the other side
-    right = straddles & F.when(dy > 0, side > 0).otherwise(side < 0)
-    on = (side == 0) & F.col("x").between(F.least("x0", "x1"), F.greatest("x0", "x1")) & F.col("y").between(F.least("y0", "y1"), F.greatest("y0", "y1"))
-    counted = both.groupBy("point", "poly").agg(F.count_if(right).alias("n"), F.max(on).alias("boundary"))
-    return counted.where((F.col("n") % 2 == 1) | F.col("boundary")).select("point", "poly", "boundary")
+    return points.select("point", "x", "y").join(_spots(points, e, size), ["x", "y"]).select("point", "poly", "boundary")
+
+
+def _spots(points: DataFrame, e: DataFrame, size: float) -> DataFrame:
+    return pairs.covered(points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct(), e, size)
 
 
 def assign(points: DataFrame, e: DataFrame, size: float) -> DataFrame:
     """(point, poly, status): the only covering polygon, or why there is none."""
-    hits = covering(points, e, size).groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.min("poly").alias("one"))
-    out = points.select("point").join(hits, "point", "left")
+    hits = _spots(points, e, size).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("poly").alias("one"))
+    out = points.select("point", "x", "y").join(hits, ["x", "y"], "left")
     return out.select("point", F.when(F.col("n") == 1, F.col("one")).alias("poly"), F.when(F.col("n") == 1, "assigned").when(F.col("n") > 1, "ambiguous").otherwise("unassigned").alias("status"))
 
 
@@ -190,10 +183,9 @@ def union_area(e: DataFrame, keys: list[str], band: float) -> DataFrame:
 
 def pair_areas(a: DataFrame, b: DataFrame, size: float, band: float, once: bool = False) -> DataFrame:
     """(a, b, intersection, union, a_only, b_only) of polygons whose boxes meet and that share area (more than rounding makes); with ``once`` of pairs a < b."""
-    found = pairs.shared(pairs.even_odd(a), pairs.even_odd(b), size, once).where("intersection > 1e-9")
-    own = measures(a, ["poly"]).select(F.col("poly").alias("a"), F.col("area").alias("own_a")), measures(b, ["poly"]).select(F.col("poly").alias("b"), F.col("area").alias("own_b"))
-    made = found.join(F.broadcast(own[0]), "a").join(F.broadcast(own[1]), "b")
-    return made.select("a", "b", "intersection", (F.col("area_a") + F.col("area_b") - F.col("intersection")).alias("union"), (F.col("own_a") - F.col("intersection")).alias("a_only"), (F.col("own_b") - F.col("intersection")).alias("b_only"))
+    signed = [pairs.even_odd(e).join(measures(e, ["poly"]).select("poly", F.col("area").alias("own")), "poly") for e in (a, b)]
+    found = pairs.shared(*signed, size, once, ("own",)).where("intersection > 1e-9")
+    return found.select("a", "b", "intersection", (F.col("area_a") + F.col("area_b") - F.col("intersection")).alias("union"), (F.col("own_a") - F.col("intersection")).alias("a_only"), (F.col("own_b") - F.col("intersection")).alias("b_only"))
 
 
 def class_shares(e: DataFrame, key: str, label: str, labels: list[str], band: float, slack: float = 1.0) -> DataFrame:
